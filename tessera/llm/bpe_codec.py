@@ -11,12 +11,13 @@ from __future__ import annotations
 import base64
 import hashlib
 import struct
+from array import array
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .chunks import ChunkEncoder, spaced_chunks
+from .chunks import ChunkEncoder, byte_letters
 from .common import small_batches, table
 from .token_store import tokenizer_path
 
@@ -29,13 +30,6 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
-def byte_letters() -> list[str]:
-    """A visible character for each byte: itself where it is printable in Latin-1, else the next one from U+0100 on."""
-    visible = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
-    hidden = [b for b in range(256) if b not in visible]
-    return [chr(b) if b in visible else chr(0x100 + hidden.index(b)) for b in range(256)]
-
-
 def _varint(n: int) -> bytes:
     out = bytearray()
     while n > 0x7F:
@@ -77,18 +71,19 @@ class BpeCodec:
         ranks = read_ranks(path)
         if sorted(ranks.values()) != list(range(len(ranks))):
             raise ValueError("ranks must be 0, 1, 2 ... without gaps")
-        self.ranks, self.letters = ranks, byte_letters()
+        self.ranks, self.letters = ranks, dict(enumerate(byte_letters()))
         self.bytes_of = [token for token, _ in sorted(ranks.items(), key=lambda x: x[1])]
         self.pattern = regex.compile(public_tokenizers.PATTERN)
         self.model = sentencepiece.SentencePieceProcessor(model_proto=sentencepiece_model(ranks))
-        self.chunks = ChunkEncoder(spaced_chunks, self._encode_many)
+        self.chunks = ChunkEncoder(True, self._learn)
 
-    def _encode_many(self, chunks: list[str]) -> list[list[int]]:
-        found = [[m.encode("utf-8", "replace") for m in self.pattern.findall(c)] for c in chunks]
-        new = list({p for ps in found for p in ps if p not in self.ranks})
-        letters = self.letters
-        ids = dict(zip(new, self.model.encode(["".join([letters[b] for b in p]) for p in new], num_threads=1), strict=True)) if new else {}
-        return [[i for p in ps for i in ([self.ranks[p]] if p in self.ranks else ids[p])] for ps in found]
+    def _learn(self, new: set[str], known: dict[str, bytes]) -> None:
+        found = {c: [m.encode() for m in self.pattern.findall(c)] for c in new}
+        words = list({p for ps in found.values() for p in ps if p not in self.ranks})
+        mapped = [w.decode("latin-1").translate(self.letters) for w in words]
+        ids = {w: array("I", x).tobytes() for w, x in zip(words, self.model.encode(mapped, num_threads=1), strict=True)} if words else {}
+        for chunk, parts in found.items():
+            known[chunk] = b"".join([ids[p] if p in ids else struct.pack("<I", self.ranks[p]) for p in parts])
 
     def encode(self, text: str | None) -> bytes:
         """Little-endian uint32 ids of a text; none for null or empty text."""
@@ -107,7 +102,7 @@ def codec(path: str) -> BpeCodec:
 
 def _ids(batches, path: str):
     for batch in batches:
-        out = [codec(path).encode(t) for t in batch.column("text").to_pylist()]
+        out = codec(path).chunks.encode_all(batch.column("text").to_pylist())
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(x) // 4 for x in out], pa.int64()), pa.array(out, pa.binary())], names=["doc_id", "n_tokens", "ids"])
 
 

@@ -8,44 +8,148 @@ each distinct chunk is given to the tokenizer once and later found in a dictiona
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Callable
+from itertools import chain, filterfalse
 
 import numpy as np
 
 #: Distinct chunks that a worker remembers; then it starts afresh. Bounds a worker's memory at about 150 MB.
 CACHE_LIMIT = 500_000
-_RUN = re.compile(r"\s\s")
+#: Words given to the tokenizer at a time.
+WORDS = 2000
 _SINGLE = re.compile(r"(?<=\S)(?=[ \n]\S)")
+_TAIL = ".,;:!?*$&%#|()"
 
 
-def spaced_chunks(text: str) -> list[str]:
-    """Chunks with the space or line feed before them, for patterns in which a word takes up its leading space."""
-    if _RUN.search(text) or "\0" in text:
-        return _SINGLE.split(text)
-    return text.replace(" ", "\0 ").replace("\n", "\0\n").split("\0")
+class ChunkEncoder:
+    """encode() gives a text's ids as little-endian uint32 bytes. learn(strings, known) puts the ids of new strings into a dictionary.
 
+    spaced: words take up the space before them. A text is cut at its spaces; `after_space` has the ids of a chunk with
+    the space before it, or None where white space meets the cut, in which case the text is cut at single spaces only.
+    Else white space is dropped by the tokenizer, and a chunk's ids are the same anywhere.
+    """
 
-def bare_chunks(text: str) -> list[str]:
-    """Chunks without white space around them, for tokenizers that drop it."""
-    return text.replace("\n", " ").split(" ")
+    def __init__(self, spaced: bool, learn: Callable[[set[str], dict[str, bytes]], None], limit: int = CACHE_LIMIT):
+        self.spaced, self.learn, self.limit = spaced, learn, limit
+        self.known, self.after_space = {"": b""}, {"": None}
 
+    def _exact(self, strings) -> None:
+        """See to it that the ids of strings that are texts by themselves are known."""
+        if new := set(filterfalse(self.known.__contains__, strings)):
+            self.learn(new, self.known)
 
-class ChunkEncoder:
-    """encode_many(list of chunks) -> list of id lists; encode() gives a text's ids as little-endian uint32 bytes."""
+    def _learn_spaced(self, new: set[str]) -> None:
+        plain, parts, strings, known = [], {}, set(), self.known
+        for chunk in new:
+            body = chunk.rstrip(_TAIL)
+            if body.isalpha():  # by all patterns in use, letters and the punctuation after them are two pre-tokens
+                plain.append((chunk, " " + body, chunk[len(body) :]))
+                continue
+            if not chunk or chunk[0].isspace() or chunk[-1].isspace():
+                self.after_space[chunk] = None
+                continue
+            lines = chunk.split("\n")
+            cut = len(lines) > 1 and all(x and not x[0].isspace() and not x[-1].isspace() for x in lines)
+            parts[chunk] = [" " + lines[0], *("\n" + x for x in lines[1:])] if cut else [" " + chunk]
+            strings.update(parts[chunk])
+        strings.update([w for _, w, _ in plain], {t for _, _, t in plain})
+        self._exact(strings)
+        for chunk, word, tail in plain:
+            self.after_space[chunk] = known[word] + known[tail] if tail else known[word]
+        for chunk, p in parts.items():
+            self.after_space[chunk] = b"".join([known[x] for x in p])
 
-    def __init__(self, split: Callable[[str], list[str]], encode_many: Callable[[list[str]], list[list[int]]], limit: int = CACHE_LIMIT):
-        self.split, self.encode_many, self.limit, self.known = split, encode_many, limit, {"": b""}
+    def encode_all(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of each text; what is new in all of them is learnt at once."""
+        if len(self.known) + len(self.after_space) > 2 * self.limit:
+            self.known, self.after_space = {"": b""}, {"": None}
+        cut = [(t or "").split(" ") if self.spaced else (t or "").replace("\n", " ").split(" ") for t in texts]
+        if not self.spaced:
+            self._exact(chain.from_iterable(cut))
+            return [b"".join(map(self.known.__getitem__, c)) for c in cut]
+        after = self.after_space
+        firsts = [c[0] for c in cut]
+        for c in cut:
+            c[0] = c[-1]  # in the place of the first, which has no space before it
+        if new := set(filterfalse(after.__contains__, chain.from_iterable(cut))):
+            self._learn_spaced(new)
+        out = [list(map(after.__getitem__, c)) for c in cut]
+        odd = {i: _SINGLE.split(texts[i]) if texts[i] else [""] for i, p in enumerate(out) if None in p or not firsts[i] or firsts[i][-1].isspace()}
+        self._exact(chain(firsts, chain.from_iterable(odd.values())))
+        for i, first in enumerate(firsts):
+            out[i][0] = self.known[first]
+        return [b"".join(map(self.known.__getitem__, odd[i]) if i in odd else p) for i, p in enumerate(out)]
 
     def encode(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        chunks = self.split(text)
-        known = self.known
-        if new := set(chunks).difference(known):
-            if len(known) > self.limit:
-                known.clear()
-                new = set(chunks)
-            new = list(new)
-            for chunk, ids in zip(new, self.encode_many(new), strict=True):
-                known[chunk] = np.array(ids, "<u4").tobytes()
-        return b"".join(map(known.__getitem__, chunks))
+        return self.encode_all([text])[0]
+
+
+def byte_letters() -> list[str]:
+    """A visible character for each byte, as byte-level vocabularies write it: itself where it is printable in Latin-1, else the
+    next one from U+0100 on."""
+    visible = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    hidden = [b for b in range(256) if b not in visible]
+    return [chr(b) if b in visible else chr(0x100 + hidden.index(b)) for b in range(256)]
+
+
+class JsonTokenizer:
+    """A byte-level BPE tokenizer from a file of the tokenizers library, taught to a ChunkEncoder.
+
+    A chunk of letters with some punctuation after it is two pre-tokens by the patterns of such files. Its letters are given
+    to the library's model without the pattern, many words in one call with a line feed between them; all other chunks are given to the
+    whole tokenizer. lower: the tokenizer composes (NFC) and lower-cases first.
+    """
+
+    def __init__(self, path: str, lower: bool):
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
+        self.whole, self.model, self.lower = Tokenizer.from_file(path), Tokenizer.from_file(path), lower
+        self.whole.encode_special_tokens = self.model.encode_special_tokens = True
+        letters = byte_letters()
+        self.letters, self.mark = {b: letters[b] for b in range(256)}, letters[10]
+        self.model.normalizer = normalizers.Sequence([])
+        self.model.pre_tokenizer = pre_tokenizers.Split(self.mark, "isolated")
+        (self.mark_id,) = self.model.encode(self.mark, add_special_tokens=False).ids
+
+    def _word(self, body: str) -> str | None:
+        """The one pre-token that body is, as the model reads it; None if the whole tokenizer has to tell."""
+        if not (body.isalpha() or (not self.lower and body[:1] == " " and body[1:].isalpha())):
+            return None
+        if not self.lower:
+            return body
+        if body.isascii():
+            return body.lower()
+        # sigma: Python lower-cases it by its place in the word, the library does not
+        return body.lower() if "Σ" not in body and unicodedata.is_normalized("NFC", body) and len(body.lower()) == len(body) else None
+
+    def _words(self, words: list[str], known: dict[str, bytes]) -> None:
+        for i in range(0, len(words), WORDS):
+            part = words[i : i + WORDS]
+            text = "\n".join(part).encode().decode("latin-1").translate(self.letters)
+            ids = np.array(self.model.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+            ends = [*np.flatnonzero(ids == self.mark_id).tolist(), len(ids)]
+            raw, at = ids.tobytes(), 0
+            for word, end in zip(part, ends, strict=True):
+                known[word] = raw[4 * at : 4 * end]
+                at = end + 1
+
+    def learn(self, new: set[str], known: dict[str, bytes]) -> None:
+        split, words, whole = [], set(), set()
+        for chunk in new:
+            body = chunk.rstrip(_TAIL)
+            head, start = ("\n", 1) if body[:1] == "\n" and not self.lower else ("", 0)
+            word = self._word(body[start:])
+            if word is None:
+                whole.add(chunk)
+                continue
+            tail = chunk[len(body) :]
+            split.append((chunk, head, word, tail))
+            words.add(word)
+            whole.update((head, tail))
+        whole = [w for w in whole if w not in known]
+        for chunk, e in zip(whole, self.whole.encode_batch_fast(whole, add_special_tokens=False), strict=True):
+            known[chunk] = np.array(e.ids, "<u4").tobytes()
+        self._words([w for w in words if w not in known], known)
+        for chunk, head, word, tail in split:
+            known[chunk] = known[head] + known[word] + known[tail]

@@ -20,7 +20,6 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .chunks import bare_chunks
 from .common import small_batches, table
 from .token_store import json_encoder
 
@@ -103,7 +102,7 @@ class Packer:
 
 
 def _pack(batches, tokenizer: str, end_id: int, contexts, with_ids: bool):
-    encoder, end = json_encoder(tokenizer, bare_chunks), np.array([end_id], "<u4").tobytes()
+    encoder, end = json_encoder(tokenizer, spaced=False), np.array([end_id], "<u4").tobytes()
     packer = Packer(contexts, TaskContext.get().partitionId())
 
     def out(rows):
@@ -115,8 +114,8 @@ def _pack(batches, tokenizer: str, end_id: int, contexts, with_ids: bool):
         return pa.RecordBatch.from_arrays(arrays, names=names + ["ids"] * with_ids)
 
     for batch in batches:
-        for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-            packer.add(doc_id, encoder.encode(text) + end)
+        for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encoder.encode_all(batch.column("text").to_pylist()), strict=True):
+            packer.add(doc_id, ids + end)
             if packer.held >= BUFFER_TOKENS:
                 yield out(packer.pack())
         if len(packer.rows) >= 1000:

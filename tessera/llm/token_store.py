@@ -9,6 +9,7 @@ shards has one short row for each, whatever the number of documents.
 
 from __future__ import annotations
 
+import os
 import zlib
 
 import numpy as np
@@ -17,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .chunks import ChunkEncoder, spaced_chunks
+from .chunks import ChunkEncoder, JsonTokenizer
 from .common import new_path, shuffle_partitions, small_batches, table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -33,25 +34,20 @@ def tokenizer_path(name: str) -> str:
     return name if "/" in name else public_tokenizers.path(name)
 
 
-def json_encoder(path: str, split) -> ChunkEncoder:
-    """One encoder for each worker process and vocabulary."""
+def json_encoder(path: str, spaced: bool) -> ChunkEncoder:
+    """One encoder for each worker process and vocabulary. spaced: words take up the space before them; else white space is
+    dropped and case lowered."""
     if path not in _encoders:
-        import os
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        model = Tokenizer.from_file(tokenizer_path(path))
-        model.encode_special_tokens = True
-        _encoders[path] = ChunkEncoder(split, lambda xs: [e.ids for e in model.encode_batch_fast(xs, add_special_tokens=False)])
+        _encoders[path] = ChunkEncoder(spaced, JsonTokenizer(tokenizer_path(path), lower=not spaced).learn)
     return _encoders[path]
 
 
 def _encode(batches, tokenizer: str, end_id: int):
-    encoder, end = json_encoder(tokenizer, spaced_chunks), np.array([end_id], "<u4").tobytes()
+    encoder, end = json_encoder(tokenizer, spaced=True), np.array([end_id], "<u4").tobytes()
     start, shard = 0, TaskContext.get().partitionId()
     for batch in batches:
-        ids = [encoder.encode(t) + end for t in batch.column("text").to_pylist()]
+        ids = [x + end for x in encoder.encode_all(batch.column("text").to_pylist())]
         n = np.array([len(x) // 4 for x in ids], "i8")
         starts = start + np.concatenate([[0], np.cumsum(n)[:-1]]).astype("i8") if len(n) else n
         start += int(n.sum())
@@ -76,7 +72,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, end_id:
     sorted_docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).repartitionByRange(shuffle_partitions(spark), "doc_id").sortWithinPartitions("doc_id")
     rows = sorted_docs.mapInArrow(lambda it: _encode(it, tokenizer, end_id), "shard int, doc_id long, shard_start long, n_tokens long, ids array<int>")
     rows.write.options(**{
-        "compression": "zstd",
+        "compression": "snappy",
         "parquet.block.size": str(ROW_GROUP_BYTES),
         "parquet.page.size": str(PAGE_BYTES),
         "parquet.enable.dictionary": str(encoding == "dictionary").lower(),
@@ -93,12 +89,15 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(f"{path}/data").join(index, "shard").select("doc_id", (F.col("before") + F.col("shard_start")).alias("start"), "n_tokens", "ids")
 
 
-def ids_crc32(ids: F.Column) -> F.Column:
-    """Unsigned CRC-32 of an id list as little-endian 32-bit integers."""
-    return F.pandas_udf(lambda xs: xs.map(lambda x: zlib.crc32(np.asarray(x, "<i4").tobytes())), "long")(ids)
+def _checksums(batches):
+    for batch in batches:
+        ids = batch.column("ids")
+        offsets, raw = ids.offsets.to_numpy(), ids.values.to_numpy(zero_copy_only=False).astype("<i4", copy=False)
+        sums = [zlib.crc32(raw[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "start", "n_tokens")), pa.array(sums, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
 
 def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "tokens")
     write_tokens(table(spark, sf_dir, "documents"), path)
-    return read_tokens(spark, path).select("doc_id", "start", "n_tokens", ids_crc32("ids").alias("ids_crc32"))
+    return read_tokens(spark, path).mapInArrow(_checksums, "doc_id long, start long, n_tokens long, ids_crc32 long")

@@ -331,15 +331,13 @@ def test_bpe_codec(spark, odd):
 def test_chunks_of_json_tokenizers():
     from tokenizers import Tokenizer
 
-    from tessera.llm import chunks
-
     rng = random.Random(9)
-    alphabet = ["a", "the ", " ", "  ", "\n", "\t", "'s", "é", "é", "́", "日", "\U0001f600", "9", "!", " ", " ", "\x1c", "\x85", "\0", "Σ", "İ", "tion", "<|endoftext|>", "'"]
-    for name, split in ((token_store.TOKENIZER, chunks.spaced_chunks), (packing.TOKENIZER, chunks.bare_chunks)):
+    alphabet = ["a", "the ", " ", "  ", "\n", "\t", "'s", "é", "é", "́", "日", "\U0001f600", "9", "!", " ", " ", "\x1c", "\x85", "\0", "Σ", "İ", "tion", "<|endoftext|>", "'", "Ab", "..", "***", ".", "ﬁ", "Å", "ǅ"]
+    for name, spaced in ((token_store.TOKENIZER, True), (packing.TOKENIZER, False)):
         model = Tokenizer.from_file(token_store.tokenizer_path(name))
         model.encode_special_tokens = True
-        encoder = token_store.json_encoder(name, split)
-        for _ in range(1500):
+        encoder = token_store.json_encoder(name, spaced)
+        for _ in range(4000):
             t = "".join(rng.choices(alphabet, k=rng.randint(0, 30)))
             assert np.frombuffer(encoder.encode(t), "<u4").tolist() == model.encode(t, add_special_tokens=False).ids, repr(t)
 
@@ -358,5 +356,5 @@ def test_pipeline(spark):
     want = {i for i, c in roots.items() if i == c}
     got = corpus_pipeline.run(spark, SF).collect()
     assert {r.doc_id for r in got} == want
-    encoder = token_store.json_encoder(packing.TOKENIZER, packing.bare_chunks)
+    encoder = token_store.json_encoder(packing.TOKENIZER, False)
     assert sum(r.length for r in got) == sum(len(encoder.encode(r.text)) // 4 + 1 for r in best.values() if r.doc_id in want)
