@@ -1,6 +1,9 @@
-"""All queries over the reference operators, with their DuckDB counterparts."""
+"""All queries of the library by name and, where SQL can express them, their DuckDB counterparts."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import access, catalog, events, retrieval, text
+
+_MODULES = (retrieval, access, catalog, events, text)
+QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
+ORACLES = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}
