@@ -37,13 +37,13 @@ def unique(stream: DataFrame, late: str = "1 hour") -> DataFrame:
     return stream.withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"])
 
 
-def tumbling_counts(changes: DataFrame, width: str = "1 day", late: str = "1 hour") -> DataFrame:
-    """Events of each kind in each window; the same for a stream (append mode) and a table. An extension."""
-    source = changes.withWatermark("ts", late) if changes.isStreaming else changes
+def tumbling_counts(changes: DataFrame, width: str = "1 day", late: str | None = "1 hour") -> DataFrame:
+    """Events of each kind in each window; the same for a stream (append mode; late: None where it has a watermark already) and a table. An extension."""
+    source = changes.withWatermark("ts", late) if changes.isStreaming and late else changes
     return source.groupBy(F.window("ts", width).alias("w"), "change_type").agg(F.count("*").alias("n")).select(F.col("w.start").alias("window_start"), "change_type", "n")
 
 
-def sessions(changes: DataFrame, gap: str = "6 hours", late: str = "1 hour") -> DataFrame:
+def sessions(changes: DataFrame, gap: str = "6 hours", late: str | None = "1 hour") -> DataFrame:
     """Bursts of events on a context, cut where nothing happens for so long. An extension."""
-    source = changes.withWatermark("ts", late) if changes.isStreaming else changes
+    source = changes.withWatermark("ts", late) if changes.isStreaming and late else changes
     return source.groupBy(F.session_window("ts", gap).alias("w"), "context_id").agg(F.count("*").alias("n")).select("context_id", F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), "n")
