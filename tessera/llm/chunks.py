@@ -27,11 +27,12 @@ class ChunkEncoder:
 
     spaced: words take up the space before them. A text is cut at its spaces; `after_space` has the ids of a chunk with
     the space before it, or None where white space meets the cut, in which case the text is cut at single spaces only.
-    Else white space is dropped by the tokenizer, and a chunk's ids are the same anywhere.
+    Else white space is dropped by the tokenizer, and a chunk's ids are the same anywhere. learn_words, where given, learns strings
+    that are a space and letters.
     """
 
-    def __init__(self, spaced: bool, learn: Callable[[set[str], dict[str, bytes]], None], limit: int = CACHE_LIMIT):
-        self.spaced, self.learn, self.limit = spaced, learn, limit
+    def __init__(self, spaced: bool, learn: Callable[[set[str], dict[str, bytes]], None], limit: int = CACHE_LIMIT, learn_words: Callable[[list[str], dict[str, bytes]], None] | None = None):
+        self.spaced, self.learn, self.limit, self.learn_words = spaced, learn, limit, learn_words
         self.known, self.after_space = {"": b""}, {"": None}
 
     def _exact(self, strings) -> None:
@@ -53,7 +54,12 @@ class ChunkEncoder:
             cut = len(lines) > 1 and all(x and not x[0].isspace() and not x[-1].isspace() for x in lines)
             parts[chunk] = [" " + lines[0], *("\n" + x for x in lines[1:])] if cut else [" " + chunk]
             strings.update(parts[chunk])
-        strings.update([w for _, w, _ in plain], {t for _, _, t in plain})
+        words = {w for _, w, _ in plain}.difference(known)
+        if self.learn_words is None:
+            strings |= words
+        elif words:
+            self.learn_words(list(words), known)
+        strings.update({t for _, _, t in plain})
         self._exact(strings)
         for chunk, word, tail in plain:
             self.after_space[chunk] = known[word] + known[tail] if tail else known[word]
@@ -123,7 +129,8 @@ class JsonTokenizer:
         # sigma: Python lower-cases it by its place in the word, the library does not
         return body.lower() if "Σ" not in body and unicodedata.is_normalized("NFC", body) and len(body.lower()) == len(body) else None
 
-    def _words(self, words: list[str], known: dict[str, bytes]) -> None:
+    def learn_words(self, words: list[str], known: dict[str, bytes]) -> None:
+        """The ids of strings that are one pre-token each."""
         for i in range(0, len(words), WORDS):
             part = words[i : i + WORDS]
             text = "\n".join(part).encode().decode("latin-1").translate(self.letters)
@@ -150,6 +157,6 @@ class JsonTokenizer:
         whole = [w for w in whole if w not in known]
         for chunk, e in zip(whole, self.whole.encode_batch_fast(whole, add_special_tokens=False), strict=True):
             known[chunk] = np.array(e.ids, "<u4").tobytes()
-        self._words([w for w in words if w not in known], known)
+        self.learn_words([w for w in words if w not in known], known)
         for chunk, head, word, tail in split:
             known[chunk] = known[head] + known[word] + known[tail]

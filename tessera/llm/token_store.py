@@ -39,7 +39,8 @@ def json_encoder(path: str, spaced: bool) -> ChunkEncoder:
     dropped and case lowered."""
     if path not in _encoders:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        _encoders[path] = ChunkEncoder(spaced, JsonTokenizer(tokenizer_path(path), lower=not spaced).learn)
+        tokenizer = JsonTokenizer(tokenizer_path(path), lower=not spaced)
+        _encoders[path] = ChunkEncoder(spaced, tokenizer.learn, learn_words=tokenizer.learn_words)
     return _encoders[path]
 
 
