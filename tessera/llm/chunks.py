@@ -26,50 +26,59 @@ class ChunkEncoder:
     """encode() gives a text's ids as little-endian uint32 bytes. learn(strings, known) puts the ids of new strings into a dictionary.
 
     spaced: words take up the space before them. A text is cut at its spaces; `after_space` has the ids of a chunk with
-    the space before it, or None where white space meets the cut, in which case the text is cut at single spaces only.
-    Else white space is dropped by the tokenizer, and a chunk's ids are the same anywhere. learn_words, where given, learns strings
-    that are a space and letters.
+    the space before it, or nothing where white space meets the cut, in which case the text is cut at single spaces only.
+    Else white space is dropped by the tokenizer, and a chunk's ids are the same anywhere. learn_words, where given, puts the ids of
+    words of letters with a string before each into a dictionary.
     """
 
-    def __init__(self, spaced: bool, learn: Callable[[set[str], dict[str, bytes]], None], limit: int = CACHE_LIMIT, learn_words: Callable[[list[str], dict[str, bytes]], None] | None = None):
+    def __init__(self, spaced: bool, learn: Callable[[set[str], dict[str, bytes]], None], limit: int = CACHE_LIMIT, learn_words: Callable[[list[str], dict[str, bytes], str], None] | None = None):
         self.spaced, self.learn, self.limit, self.learn_words = spaced, learn, limit, learn_words
-        self.known, self.after_space = {"": b""}, {"": None}
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known, self.after_space = {"": b""}, {"": b""}
 
     def _exact(self, strings) -> None:
         """See to it that the ids of strings that are texts by themselves are known."""
         if new := set(filterfalse(self.known.__contains__, strings)):
             self.learn(new, self.known)
 
+    def _learn_words(self, words: list[str]) -> None:
+        if self.learn_words is not None:
+            self.learn_words(words, self.after_space, " ")
+            return
+        strings = [" " + w for w in words]
+        self._exact(strings)
+        self.after_space.update(zip(words, map(self.known.__getitem__, strings), strict=True))
+
     def _learn_spaced(self, new: set[str]) -> None:
-        plain, parts, strings, known = [], {}, set(), self.known
-        for chunk in new:
+        words = {c for c in new if c.isalpha()}
+        tailed, parts, strings, known, after = [], {}, set(), self.known, self.after_space
+        for chunk in new - words:
             body = chunk.rstrip(_TAIL)
             if body.isalpha():  # by all patterns in use, letters and the punctuation after them are two pre-tokens
-                plain.append((chunk, " " + body, chunk[len(body) :]))
+                tailed.append((chunk, body))
                 continue
             if not chunk or chunk[0].isspace() or chunk[-1].isspace():
-                self.after_space[chunk] = None
+                after[chunk] = b""
                 continue
             lines = chunk.split("\n")
             cut = len(lines) > 1 and all(x and not x[0].isspace() and not x[-1].isspace() for x in lines)
             parts[chunk] = [" " + lines[0], *("\n" + x for x in lines[1:])] if cut else [" " + chunk]
             strings.update(parts[chunk])
-        words = {w for _, w, _ in plain}.difference(known)
-        if self.learn_words is None:
-            strings |= words
-        elif words:
-            self.learn_words(list(words), known)
-        strings.update({t for _, _, t in plain})
+        words.update([b for _, b in tailed if b not in after])
+        self._learn_words(list(words))
+        strings.update({c[len(b) :] for c, b in tailed})
         self._exact(strings)
-        for chunk, word, tail in plain:
-            self.after_space[chunk] = known[word] + known[tail] if tail else known[word]
+        for chunk, body in tailed:
+            after[chunk] = after[body] + known[chunk[len(body) :]]
         for chunk, p in parts.items():
-            self.after_space[chunk] = b"".join([known[x] for x in p])
+            after[chunk] = b"".join([known[x] for x in p])
 
     def encode_all(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text; what is new in all of them is learnt at once."""
         if len(self.known) + len(self.after_space) > 2 * self.limit:
-            self.known, self.after_space = {"": b""}, {"": None}
+            self._forget()
         cut = [(t or "").split(" ") if self.spaced else (t or "").replace("\n", " ").split(" ") for t in texts]
         if not self.spaced:
             self._exact(chain.from_iterable(cut))
@@ -78,10 +87,14 @@ class ChunkEncoder:
         firsts = [c[0] for c in cut]
         for c in cut:
             c[0] = c[-1]  # in the place of the first, which has no space before it
-        if new := set(filterfalse(after.__contains__, chain.from_iterable(cut))):
+        out = [list(map(after.get, c)) for c in cut]
+        gaps = [[i for i, x in enumerate(p) if x is None] for p in out]
+        if new := {c[i] for c, g in zip(cut, gaps, strict=True) for i in g}:
             self._learn_spaced(new)
-        out = [list(map(after.__getitem__, c)) for c in cut]
-        odd = {i: _SINGLE.split(texts[i]) if texts[i] else [""] for i, p in enumerate(out) if None in p or not firsts[i] or firsts[i][-1].isspace()}
+            for c, p, g in zip(cut, out, gaps, strict=True):
+                for i in g:
+                    p[i] = after[c[i]]
+        odd = {i: _SINGLE.split(texts[i]) if texts[i] else [""] for i, p in enumerate(out) if b"" in p or not firsts[i] or firsts[i][-1].isspace()}
         self._exact(chain(firsts, chain.from_iterable(odd.values())))
         for i, first in enumerate(firsts):
             out[i][0] = self.known[first]
@@ -129,17 +142,15 @@ class JsonTokenizer:
         # sigma: Python lower-cases it by its place in the word, the library does not
         return body.lower() if "Σ" not in body and unicodedata.is_normalized("NFC", body) and len(body.lower()) == len(body) else None
 
-    def learn_words(self, words: list[str], known: dict[str, bytes]) -> None:
-        """The ids of strings that are one pre-token each."""
+    def learn_words(self, words: list[str], known: dict[str, bytes], before: str = "") -> None:
+        """The ids of strings that are one pre-token each, together with what stands before them."""
         for i in range(0, len(words), WORDS):
             part = words[i : i + WORDS]
-            text = "\n".join(part).encode().decode("latin-1").translate(self.letters)
+            text = (before + ("\n" + before).join(part)).encode().decode("latin-1").translate(self.letters)
             ids = np.array(self.model.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
-            ends = [*np.flatnonzero(ids == self.mark_id).tolist(), len(ids)]
-            raw, at = ids.tobytes(), 0
-            for word, end in zip(part, ends, strict=True):
-                known[word] = raw[4 * at : 4 * end]
-                at = end + 1
+            ends = np.append(np.flatnonzero(ids == self.mark_id), len(ids)) * 4
+            raw, starts = ids.tobytes(), np.append(0, ends[:-1] + 4)
+            known.update(zip(part, [raw[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], strict=True))
 
     def learn(self, new: set[str], known: dict[str, bytes]) -> None:
         split, words, whole = [], set(), set()
