@@ -3,7 +3,8 @@
 A token's input is the embedding of its word (words that enough training documents use) plus the mean of embeddings of its
 character n-grams (hashed bytes, with marks at both ends), so that inflected and unseen forms are covered. A forward and a backward GRU
 read windows of WINDOW words that overlap by half; attention pools a window's states into one logit. A document's score is
-that of its highest window: every window of the whole text is read, however long it is.
+that of its highest window: every window of the whole text is read, however long it is. A long run of word characters (a clause of
+a script without spaces, words joined by underscores) is read as overlapping pieces, so that all of its n-grams count.
 
 Training sees a bounded sample of labelled documents (MAX_TOXIC and MAX_CLEAN, drawn by a hash of doc_id). Labels are given to documents, so
 each round trains on the window of a toxic document that the model rates highest and, of clean documents, on the window it
@@ -13,6 +14,7 @@ rates highest and a random one. The first round's windows are rated by log-odds
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,16 +36,60 @@ DECAY = 0.5
 THRESHOLD = 0.7
 #: Distinct words that a worker remembers before it starts afresh.
 WORD_CACHE = 400_000
+#: Bytes of the longest run that is one word, of a longer run's pieces, and from one piece's begin to the next one's.
+LONG_RUN, PIECE, PIECE_STEP = 64, 24, 12
+#: Words that are scored in one pass; a multiple of STRIDE.
+PART = 96_000
+#: At an end of a piece that is none of its run.
+CUT = "\0"
 _WORD = re.compile(r"\w+")
 
 
+def pieces(run: str) -> Iterator[str]:
+    """A long run as pieces cut between characters, each of which shares bytes enough with the next for every n-gram to lie in one."""
+    data = run.encode("utf-8", "replace")
+
+    def cut(at: int) -> int:
+        while at < len(data) and data[at] & 0xC0 == 0x80:
+            at -= 1
+        return min(at, len(data))
+
+    for at in range(0, len(data), PIECE_STEP):
+        end = cut(at + PIECE)
+        yield CUT * (at > 0) + data[cut(at) : end].decode() + CUT * (end < len(data))
+        if end == len(data):
+            return
+
+
+def _long(run: str) -> bool:
+    return len(run) > LONG_RUN // 4 and len(run.encode("utf-8", "replace")) > LONG_RUN
+
+
 def words_of(text: str | None) -> list[str]:
-    return _WORD.findall((text or "").lower())
+    words = _WORD.findall((text or "").lower())
+    if max(map(len, words), default=0) > LONG_RUN // 4:
+        words = [w for run in words for w in (pieces(run) if _long(run) else (run,))]
+    return words
+
+
+def parts_of(text: str | None) -> Iterator[list[str]]:
+    """The words of a text in lists of bounded length, whose windows are together the windows of the whole text."""
+    if len(text or "") <= PART:
+        yield words_of(text)
+        return
+    held: list[str] = []
+    for m in _WORD.finditer(text.lower()):
+        for word in pieces(m[0]) if _long(m[0]) else (m[0],):
+            held.append(word)
+            if len(held) == PART + WINDOW:
+                yield held[:PART]
+                held = held[PART - WINDOW + STRIDE :]
+    yield held
 
 
 def gram_buckets(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Bucket numbers of all 3- and 4-grams of bytes of `<word>`, word after word, and where each word's begin."""
-    raw = [b"<" + w.encode("utf-8", "replace")[:64] + b">" for w in words]
+    raw = [b"<" * (w[:1] != CUT) + w.strip(CUT).encode("utf-8", "replace") + b">" * (w[-1:] != CUT) for w in words]
     data = np.frombuffer(b"".join(raw) + b"\0\0\0", np.uint8).astype(np.uint32)
     n = np.array([len(x) for x in raw])
     begin = np.cumsum(n) - n
@@ -209,16 +255,21 @@ class ToxicityModel:
     def scores(self, texts: list[str | None]) -> np.ndarray:
         if self.constant is not None or not texts:
             return np.full(len(texts), self.constant or 0.0)
-        out, docs = [], [words_of(t) for t in texts]
-        i = 0
-        while i < len(docs):  # groups of bounded words, so that very long texts do not meet in one pass
-            n, j = 0, i
-            while j < len(docs) and (j == i or n + len(docs[j]) < 100_000):
-                n += len(docs[j])
-                j += 1
-            out += [float(w.max()) for w in self.window_logits(docs[i:j])]
-            i = j
-        return 1 / (1 + np.exp(-np.array(out, np.float64)))
+        out, held, n = np.full(len(texts), -np.inf), [], 0
+
+        def flush():
+            for (i, _), w in zip(held, self.window_logits([part for _, part in held]), strict=True):
+                out[i] = max(out[i], float(w.max()))
+
+        for i, text in enumerate(texts):
+            for part in parts_of(text):
+                if held and n + len(part) > PART:  # groups of bounded words, also within a very long text
+                    flush()
+                    held, n = [], 0
+                held.append((i, part))
+                n += len(part)
+        flush()
+        return 1 / (1 + np.exp(-out))
 
 
 def _log_odds(docs: list[list[str]], y: np.ndarray):

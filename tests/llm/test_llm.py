@@ -119,6 +119,45 @@ def test_toxicity_windows_cover_text():
         assert set(range(n)) <= {i for b in toxicity.windows(n) for i in range(b, b + toxicity.WINDOW)} and all(b == 0 or b + toxicity.WINDOW <= n for b in toxicity.windows(n))
 
 
+def test_toxicity_long_runs():
+    """Runs without spaces are read to their end: all their n-grams, and a toxic word wherever it stands."""
+    rng = random.Random(8)
+    for run in ("a" * 64, "b" * 65, "".join(rng.choices("abc_é日本語\U0001f600", k=700)), "語" * 22, "x" * 50 + "\U0001f600" * 9, "e" * 77):
+        run = run.replace("\U0001f600", "𠮷")
+        words = toxicity.words_of("so " + run + " it")
+        assert words[0] == "so" and words[-1] == "it" and all(len(w.encode()) <= toxicity.LONG_RUN for w in words)
+        marked = b"<" + run.encode() + b">"
+        want = {marked[i : i + n] for n in (3, 4) for i in range(len(marked) - n + 1)}
+        got = set()
+        for w in words[1:-1]:
+            raw = b"<" * (w[0] != toxicity.CUT) + w.strip(toxicity.CUT).encode() + b">" * (w[-1] != toxicity.CUT)
+            got |= {raw[i : i + n] for n in (3, 4) for i in range(len(raw) - n + 1)}
+        assert got == want
+        assert set(toxicity.gram_buckets([run])[0]) == set(toxicity.gram_buckets(words[1:-1])[0])
+    mild = "".join(chr(c) for c in range(0x4E00, 0x4E40))
+    clean = lambda n: "".join(rng.choices(mild, k=n))
+    texts = [clean(30) + ("惡毒" if i % 2 else "") + clean(30) for i in range(400)]
+    model = toxicity.train(texts, [i % 2 for i in range(400)])
+    far = [clean(3000) + "惡毒" + clean(3000) for _ in range(20)]
+    assert (model.scores(far) > toxicity.THRESHOLD).mean() > 0.9 and (model.scores([t.replace("惡毒", "") for t in far]) > toxicity.THRESHOLD).mean() < 0.1
+
+
+def test_toxicity_parts(monkeypatch):
+    """Scores of texts in parts are those of whole texts."""
+    rng = random.Random(4)
+    model = toxicity.train(["you idiot", "kind words here", "what an idiot", "a fine day"] * 5, [1, 0, 1, 0] * 5)
+    texts = [" ".join(rng.choices(["you", "idiot", "kind", "words", "here", "fine", "day"], k=k)) for k in (0, 1, 31, 95, 96, 97, 127, 128, 129, 144, 145, 500, 1000)]
+    want = [max(w.max() for w in model.window_logits([toxicity.words_of(t)])) for t in texts]
+    monkeypatch.setattr(toxicity, "PART", 96)
+    for t in texts:
+        at, begins = 0, []
+        for part in toxicity.parts_of(t):
+            begins += [at + b for b in toxicity.windows(len(part))]
+            at += toxicity.PART - toxicity.WINDOW + toxicity.STRIDE
+        assert begins == toxicity.windows(len(toxicity.words_of(t)))
+    assert np.allclose(model.scores(texts), 1 / (1 + np.exp(-np.array(want, np.float64))), atol=1e-6)
+
+
 def test_toxicity_gradients():
     """Against differences of the loss."""
     rng, net = np.random.default_rng(0), toxicity.Network()
