@@ -1,14 +1,19 @@
 """Closures over team trees and lineage graphs, and reads of dependency edges.
 
-Closures are recursive common table expressions; Spark runs a level at a time and stops at 100 levels or a million rows. Team trees and
-lineage between tables stay far below both.
+Closures over teams are recursive common table expressions; Spark runs a level at a time and fails beyond 100 levels or a million rows.
+Team trees stay far below both. Lineage is followed to its end, however deep it is.
 """
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Levels after which what was seen becomes one table again, so that a deep walk does not join ever more pieces.
+MERGE_LEVELS = 16
+
 
 def visible_teams(memberships: DataFrame, teams: DataFrame) -> DataFrame:
     """agent_id, path, direct: teams of each agent and all teams above them. A team may be both direct and above another."""
@@ -24,30 +29,33 @@ def visible_teams(memberships: DataFrame, teams: DataFrame) -> DataFrame:
     return memberships.join(chains, "team_id").groupBy("agent_id", "path").agg(F.bool_or("direct").alias("direct"))
 
 
-def reachable(edges: DataFrame, start: str, downstream: bool = True, most: int = 100) -> DataFrame:
+def reachable(edges: DataFrame, start: str, downstream: bool = True) -> DataFrame:
     """Node, depth of all nodes that can be reached from one, each with its least depth; the start is left out.
 
-    A path never visits a node twice, so cycles end. `most` bounds the depth. The frontier of each level is deduplicated
+    A path never visits a node twice, so cycles end; depth has no bound. The frontier of each level is deduplicated
     before it is followed: work is bounded by the edges, not by the number of paths.
     """
     spark = edges.sparkSession
     a, b = ("upstream", "downstream") if downstream else ("downstream", "upstream")
     seen = frontier = spark.createDataFrame([(start, 0)], "node string, depth int")
-    for depth in range(1, most + 1):
+    for depth in count(1):
         step = edges.select(F.col(a).alias("from"), F.col(b).alias("node")).join(frontier.select(F.col("node").alias("from")), "from", "left_semi").select("node").distinct()
         frontier = step.join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(depth))
         frontier = _settled(frontier)
         if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier)
+        if depth % MERGE_LEVELS == 0:
+            seen = _settled(seen.repartition("node"))
     return seen.filter("depth > 0")
 
 
 def _settled(df: DataFrame) -> DataFrame:
-    """Cut the lineage of a level, where a shared folder for checkpoints is set; else it is kept in memory."""
+    """Cut the lineage of a level: in the shared folder for checkpoints, or, where none is set, on the executors. Plans would double with
+    each level otherwise."""
     if df.sparkSession.sparkContext.getCheckpointDir():
         return df.checkpoint()
-    return df.persist()
+    return df.localCheckpoint()
 
 
 def lineage_of(edges: DataFrame, nodes: DataFrame, start: str, downstream: bool = True) -> DataFrame:

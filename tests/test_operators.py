@@ -76,6 +76,11 @@ def test_lineage_depth_and_cycles(spark):
     assert {(r.node, r.depth) for r in graph.reachable(edges, "items", downstream=False).collect()} == {("orders", 1), ("users", 1)}
 
 
+def test_lineage_deeper_than_a_hundred(spark):
+    edges = spark.createDataFrame([(f"n{i}", f"n{i + 1}") for i in range(103)] + [("n103", "n0")], "upstream string, downstream string").coalesce(1).cache()
+    assert {(r.node, r.depth) for r in graph.reachable(edges, "n0").collect()} == {(f"n{i}", i) for i in range(1, 104)}
+
+
 def test_feedback_latest_counts(spark):
     t = dt.datetime(2024, 1, 1)
     rows = [(1, t, 7, "r1", "a", "adopted"), (2, t, 7, "r1", "a", "ignored"), (3, t, 7, " ", "a", "adopted"), (4, t, 7, None, "a", "adopted")]
