@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
@@ -10,6 +10,8 @@ from . import access, retrieval
 
 # Descriptions inferred from the columns that a table has, the first rule that fits.
 RULES = ((("order_id", "product_id"), "订单明细"), (("order_id", "amount"), "支付记录"), (("user_id", "total_amount"), "订单数据"), (("email",), "用户信息"), (("price",), "商品信息"))
+#: Groups over which the templates of one context are dealt.
+SALTS = 64
 TABLE_WORD, HEADER = "表", ("| 字段 | 类型 | 说明 |", "|---|---|---|")
 
 
@@ -72,8 +74,15 @@ def neighbours(joins: DataFrame) -> DataFrame:
 
 
 def top_templates(templates: DataFrame, most: int = 5) -> DataFrame:
-    """The most used query templates of each context (ties: smallest id) as a comma-separated list of ids."""
-    kept = templates.groupBy("context_id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("hit_count")).alias("n"), F.col("id")))), 1, most).alias("t"))
+    """The most used query templates of each context (ties: smallest id) as a comma-separated list of ids.
+
+    A context's rows are dealt over SALTS groups that keep their first ones each, so that no task holds a whole large context.
+    """
+    rows = templates.select("context_id", "id", (-F.col("hit_count")).alias("n"), F.pmod(F.xxhash64("id"), F.lit(SALTS)).alias("salt"))
+    for key in (["context_id", "salt"], ["context_id"]):
+        place = F.row_number().over(Window.partitionBy(*key).orderBy("n", "id"))
+        rows = rows.withColumn("place", place).filter(F.col("place") <= most).drop("place")
+    kept = rows.groupBy("context_id").agg(F.array_sort(F.collect_list(F.struct("n", "id"))).alias("t"))
     return kept.select("context_id", F.array_join(F.transform("t", lambda x: x["id"].cast("string")), ",").alias("templates"))
 
 

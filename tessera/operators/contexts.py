@@ -45,6 +45,9 @@ def updated(contexts: DataFrame, commands: DataFrame) -> DataFrame:
 
     A command takes effect if `expected` is the version that the ones before it left (428 without one, 409 otherwise, 404 for a
     deleted row). An update adds 1 to the version and revives a stale row. `errors` counts the refused commands.
+
+    Bound: the commands of one id, contents included, become one array in one row, so all of them have to fit a task's memory (and
+    2 GB); beyond that the query fails, it loses none.
     """
     per_row = commands.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("seq", "op", "expected", "content"))).alias("__c"))
     joined = contexts.join(per_row, "id", "left")

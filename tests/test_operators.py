@@ -130,6 +130,18 @@ def test_second_sync_has_no_events(spark):
     assert not catalog.synced(new.join(first.select("table_name", "version"), "table_name"), new).filter("has_event").count()
 
 
+def test_top_templates_of_a_large_context(spark):
+    rows = spark.range(20_000).select(F.when(F.col("id") % 10 < 9, 1).otherwise(F.col("id") % 7 + 2).alias("context_id"), "id", (F.col("id") % 1000).alias("hit_count"))
+    top = catalog.top_templates(rows)
+    got = {r.context_id: r.templates for r in top.collect()}
+    want = {}
+    for r in sorted(rows.collect(), key=lambda r: (-r.hit_count, r.id)):
+        want.setdefault(r.context_id, []).append(str(r.id))
+    assert got == {c: ",".join(ids[:5]) for c, ids in want.items()}
+    plan = top._jdf.queryExecution().optimizedPlan().toString()  # what is collected has been cut to 5 of each salt, then of each context
+    assert plan.index("collect_list") < plan.index("<= 5") and plan.count("row_number()") >= 2
+
+
 def test_capture_and_recall(spark):
     turns = spark.createDataFrame([
         (1, 0, "user", "x" * 250 + "\nWhich endpoint returns the list?\nthanks"), (1, 1, "assistant", "Here is a plan that always works fine for us. The API path is /api/v1/items and requires a header. ```code must``` Short use.\n- Always send the token with each request you make."),
