@@ -53,10 +53,12 @@ def _fingerprints(batches, size: int):
         yield pa.RecordBatch.from_arrays([batch.column("row_key"), batch.column("doc_id"), pa.array(out)], names=["row_key", "doc_id", "fp"])
 
 
-def fingerprints(docs: DataFrame, size: int = SHINGLE_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """row_key (the row's place in docs' scan), doc_id, fp (signed 64 bits); one row for each row of docs."""
+def fingerprints(docs: DataFrame, size: int = SHINGLE_WORDS, id_col: str = "doc_id", text_col: str = "text", key_col: str | None = None) -> DataFrame:
+    """row_key, doc_id, fp (signed 64 bits); one row for each row of docs. row_key is docs' key_col, or, without one, the row's
+    place in this one scan of docs, by which no other scan finds it."""
     small_batches(docs.sparkSession)
-    rows = docs.select(F.monotonically_increasing_id().alias("row_key"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    key = F.col(key_col) if key_col else F.monotonically_increasing_id()
+    rows = docs.select(key.alias("row_key"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(lambda it: _fingerprints(it, size), "row_key long, doc_id long, fp long")
 
 
@@ -194,12 +196,13 @@ def simhash_components(fps: DataFrame, budget: int = MAX_BITS) -> DataFrame:
 
 def near_dedup(docs: DataFrame, size: int = SHINGLE_WORDS, budget: int = MAX_BITS, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(decisions, survivors): row_key, doc_id, fp, component_id, keeper for each row of docs; docs' rows that stay, one for each
-    component. Null texts count as empty, repeated rows are copies, an empty table gives empty results. docs must be a table read
-    from files (its rows are found again by their place in the scan)."""
-    fps = written(fingerprints(docs, size, id_col, text_col), "fingerprints")
+    component. Null texts count as empty, repeated rows are copies, an empty table gives empty results. docs are written once with
+    their row_key: a second scan of docs may be split in another way."""
+    rows = written(docs.withColumn("__row_key", F.monotonically_increasing_id()), "rows", compression="zstd")
+    fps = written(fingerprints(rows, size, id_col, text_col, "__row_key"), "fingerprints")
     decisions = simhash_components(fps, budget)
     keepers = decisions.filter("row_key = keeper").select(F.col("row_key").alias("__row_key"))
-    survivors = docs.withColumn("__row_key", F.monotonically_increasing_id()).join(keepers, "__row_key", "left_semi").drop("__row_key")
+    survivors = rows.join(keepers, "__row_key", "left_semi").drop("__row_key")
     return decisions, survivors
 
 

@@ -230,6 +230,20 @@ def test_simhash_odd(spark, odd):
     assert simhash.near_dedup(empty(spark))[1].count() == 0
 
 
+def test_simhash_splits_change(spark):
+    """Survivors are the rows that were decided on, also where a later scan of the table is split in another way."""
+    path, setting = new_path(spark, "split"), "spark.sql.files.minPartitionNum"
+    rows = [(i, f"text {i // 2} " + " ".join(f"w{i // 2 * 7 + k}" for k in range(40)), "en", "a", 1) for i in range(80)]
+    spark.createDataFrame(rows, DOCS).repartition(8).write.parquet(path)
+    try:
+        spark.conf.set(setting, "8")
+        survivors = simhash.near_dedup(spark.read.parquet(path))[1]
+        spark.conf.set(setting, "1")
+        assert sorted(r.doc_id for r in survivors.collect()) == list(range(0, 80, 2))
+    finally:
+        spark.conf.unset(setting)
+
+
 # 4
 def test_exact_odd(spark, odd):
     decisions, survivors = exact_dedup.exact_dedup(odd)
