@@ -11,13 +11,13 @@ from __future__ import annotations
 import base64
 import hashlib
 import struct
-from array import array
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .chunks import ChunkEncoder, byte_letters
+from .chunks import ChunkEncoder, byte_letters, joined
 from .common import small_batches, table
 from .token_store import tokenizer_path
 
@@ -75,15 +75,23 @@ class BpeCodec:
         self.bytes_of = [token for token, _ in sorted(ranks.items(), key=lambda x: x[1])]
         self.pattern = regex.compile(public_tokenizers.PATTERN)
         self.model = sentencepiece.SentencePieceProcessor(model_proto=sentencepiece_model(ranks))
-        self.chunks = ChunkEncoder(True, self._learn)
+        self.chunks = ChunkEncoder(True, self._exact, self._words)
 
-    def _learn(self, new: set[str], known: dict[str, bytes]) -> None:
-        found = {c: [m.encode() for m in self.pattern.findall(c)] for c in new}
-        words = list({p for ps in found.values() for p in ps if p not in self.ranks})
-        mapped = [w.decode("latin-1").translate(self.letters) for w in words]
-        ids = {w: array("I", x).tobytes() for w, x in zip(words, self.model.encode(mapped, num_threads=1), strict=True)} if words else {}
-        for chunk, parts in found.items():
-            known[chunk] = b"".join([ids[p] if p in ids else struct.pack("<I", self.ranks[p]) for p in parts])
+    def _tokens(self, tokens: list[bytes]) -> list:
+        """Ids of pre-tokens: one that has a rank is that id, others are merged by the model."""
+        merged = [t for t in tokens if t not in self.ranks]
+        mapped = [t.decode("latin-1").translate(self.letters) for t in merged]
+        found = iter(self.model.encode(mapped, num_threads=1)) if mapped else iter(())
+        return [[self.ranks[t]] if t in self.ranks else next(found) for t in tokens]
+
+    def _words(self, strings: list[str]):
+        return joined(self._tokens([s.encode() for s in strings]))
+
+    def _exact(self, strings: list[str]):
+        found = [[m.encode() for m in self.pattern.findall(s)] for s in strings]
+        tokens = list({t for f in found for t in f})
+        ids = dict(zip(tokens, self._tokens(tokens), strict=True))
+        return joined([[i for t in f for i in ids[t]] for f in found])
 
     def encode(self, text: str | None) -> bytes:
         """Little-endian uint32 ids of a text; none for null or empty text."""
@@ -101,9 +109,9 @@ def codec(path: str) -> BpeCodec:
 
 
 def _ids(batches, path: str):
-    for batch in batches:
-        out = codec(path).chunks.encode_all(batch.column("text").to_pylist())
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(x) // 4 for x in out], pa.int64()), pa.array(out, pa.binary())], names=["doc_id", "n_tokens", "ids"])
+    for batch, flat, ends in codec(path).chunks.encode_batches(batches):
+        ids = pa.BinaryArray.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer((4 * ends).astype("<i4")), pa.py_buffer(flat.astype("<u4", copy=False))])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(ends)), ids], names=["doc_id", "n_tokens", "ids"])
 
 
 def encode_documents(docs: DataFrame, path: str = RANKS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -113,9 +113,10 @@ def _pack(batches, tokenizer: str, end_id: int, contexts, with_ids: bool):
             arrays.append(pa.array([np.frombuffer(x, "<i4") for x in cols[3]], pa.list_(pa.int32())))
         return pa.RecordBatch.from_arrays(arrays, names=names + ["ids"] * with_ids)
 
-    for batch in batches:
-        for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encoder.encode_all(batch.column("text").to_pylist()), strict=True):
-            packer.add(doc_id, ids + end)
+    for batch, flat, ends in encoder.encode_batches(batches):
+        raw = flat.astype("<u4", copy=False).tobytes()
+        for doc_id, a, b in zip(batch.column("doc_id").to_pylist(), ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+            packer.add(doc_id, raw[4 * a : 4 * b] + end)
             if packer.held >= BUFFER_TOKENS:
                 yield out(packer.pack())
         if len(packer.rows) >= 1000:

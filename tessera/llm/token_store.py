@@ -39,23 +39,18 @@ def json_encoder(path: str, spaced: bool) -> ChunkEncoder:
     dropped and case lowered."""
     if path not in _encoders:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        tokenizer = JsonTokenizer(tokenizer_path(path), lower=not spaced)
-        _encoders[path] = ChunkEncoder(spaced, tokenizer.learn, learn_words=tokenizer.learn_words)
+        tokenizer = JsonTokenizer(tokenizer_path(path))
+        _encoders[path] = ChunkEncoder(spaced, tokenizer.exact, tokenizer.words, not spaced, tokenizer.markers)
     return _encoders[path]
 
 
 def _encode(batches, tokenizer: str, end_id: int):
-    encoder, end = json_encoder(tokenizer, spaced=True), np.array([end_id], "<u4").tobytes()
-    start, shard = 0, TaskContext.get().partitionId()
-    for batch in batches:
-        ids = [x + end for x in encoder.encode_all(batch.column("text").to_pylist())]
-        n = np.array([len(x) // 4 for x in ids], "i8")
-        starts = start + np.concatenate([[0], np.cumsum(n)[:-1]]).astype("i8") if len(n) else n
-        start += int(n.sum())
-        values = pa.array(np.frombuffer(b"".join(ids), "<i4"), pa.int32())
-        offsets = pa.array(np.concatenate([[0], np.cumsum(n)]).astype("i4"))
+    encoder, start, shard = json_encoder(tokenizer, spaced=True), 0, TaskContext.get().partitionId()
+    for batch, ids, ends in encoder.encode_batches(batches):
+        ids, ends = np.insert(ids, ends[1:], end_id), ends + np.arange(len(ends))
+        starts, start = start + ends[:-1], start + int(ends[-1])
         yield pa.RecordBatch.from_arrays(
-            [pa.array(np.full(len(n), shard, "i4")), batch.column("doc_id"), pa.array(starts), pa.array(n), pa.ListArray.from_arrays(offsets, values)],
+            [pa.array(np.full(len(starts), shard, "i4")), batch.column("doc_id"), pa.array(starts), pa.array(np.diff(ends)), pa.ListArray.from_arrays(pa.array(ends.astype("i4")), pa.array(ids.view("i4")))],
             names=["shard", "doc_id", "shard_start", "n_tokens", "ids"],
         )
 
