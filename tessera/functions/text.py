@@ -75,10 +75,20 @@ def summary(text: Column, fallback: Column) -> Column:
     return F.when(F.coalesce(flat, F.lit("")) == "", fallback).otherwise(F.left(flat, F.lit(200)))
 
 
-def occurrences(text: Column, keyword: Column) -> Column:
-    """Where a keyword begins (from 0), overlapping ones too, found by pieces between occurrences of its first character."""
-    places = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(text) - F.length(keyword) + 1))
-    return F.when((F.length(keyword) > 0) & (F.instr(text, keyword) > 0), F.transform(F.filter(places, lambda i: F.substring(text, i, F.length(keyword)) == keyword), lambda i: i - 1)).otherwise(F.array().cast("array<int>"))
+def positions(text: Column, words: list[str]) -> Column:
+    """Where any of some literal words begins (from 0), overlapping ones too: the text is cut before each of them, in one pass."""
+    if not words:
+        return F.array().cast("array<int>")
+    any_of = "|".join("\\Q" + w.replace("\\E", "\\E\\\\E\\Q") + "\\E" for w in words)
+    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+    step = lambda s, piece: F.struct((s["at"] + F.length(piece)).alias("at"), F.array_append(s["out"], s["at"]).alias("out"))
+    cuts = F.aggregate(F.split(text, f"(?={any_of})"), begin, step, lambda s: s["out"])
+    return F.when(text.rlike(f"^(?:{any_of})"), cuts).otherwise(F.slice(cuts, F.lit(2), F.greatest(F.lit(0), F.size(cuts) - 1)))
+
+
+def occurrences(text: Column, keyword: str) -> Column:
+    """Where a keyword begins (from 0), overlapping ones too; none for an empty keyword."""
+    return F.coalesce(positions(text, [keyword] if keyword else []), F.array().cast("array<int>"))
 
 
 def last_segment(uri: Column) -> Column:

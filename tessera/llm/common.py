@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -43,16 +44,46 @@ def written(df: DataFrame, label: str, **options: str) -> DataFrame:
     """Cut lineage: write df to the shared folder as Parquet and read it back. Lost executors cost nothing that was written."""
     spark, path = df.sparkSession, new_path(df.sparkSession, label)
     df.write.options(**options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    made = spark.read.schema(df.schema).parquet(path)
+    if _open:
+        _open[-1].append((path, made))
+    return made
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(conf).delete(folder, True)
 
 
 def remove(df: DataFrame) -> None:
     """Delete the files behind a table made by written() that no later plan reads."""
-    spark = df.sparkSession
-    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(conf).delete(path, True)
+        _delete(df.sparkSession, folder)
+
+
+#: Tables written within each temporary() that is open.
+_open: list[list[tuple[str, DataFrame]]] = []
+
+
+@contextmanager
+def temporary():
+    """Tables written inside are deleted at the end, but for those given to keep()."""
+    kept: list[DataFrame] = []
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.append(df)
+        return df
+
+    _open.append([])
+    try:
+        yield keep
+    finally:
+        for path, made in _open.pop():
+            if not any(made is k for k in kept):
+                _delete(made.sparkSession, path)
+            elif _open:
+                _open[-1].append((path, made))
 
 
 def _checksum(edges: DataFrame) -> tuple:

@@ -2,23 +2,25 @@
 
 1. Each task that reads documents inserts their normalised bytes into a trie of its own and keeps one row for each distinct
    text: the best original row, how many rows had it, and their ids. A text that a third of all rows repeat leaves a task
-   as one row. These rows are written to the shared folder.
-2. They are dealt by length and content hash; the task that owns a partition inserts the full byte strings into a compressed
-   radix trie, whose terminal nodes keep the best row. Beyond a memory bound the subtree below the largest first byte is
-   spilled to a file of the task and finished later by itself.
-3. Verdicts, one for each row of step 1, are joined back to its members.
+   as one row for each LOCAL_BYTES that the task reads.
+2. These rows are dealt by length and content hash; the task that owns a partition inserts the full byte strings into a compressed
+   radix trie, whose terminal nodes keep the best row and the smallest identifier. Beyond a bound, which counts labels and whole rows, the heaviest
+   subtree below the first branching node is spilled to a file of the task (in Spark's local folder, as a shuffle spills; at most
+   the partition's bytes, and a task that runs again writes its own) and finished later by itself, without the prefix its strings share.
+3. For survivors the owner sends on the rows that stay: rows are shuffled once and nothing is joined. For decisions the short rows of
+   step 1 are written, and verdicts are joined to them by number.
 
 White space is [\\x20\\x09-\\x0D]. Null texts count as empty. Of equal texts the row with the most code points stays, then the
-one with the smallest id (null ids last), then the one read first, so exactly one of repeated rows stays.
+one with the smallest id (null ids last), then the one read first, so exactly one of repeated rows stays. An empty table gives
+empty results; other columns are carried as they are, whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
-import json
 import os
-import struct
 import tempfile
+from array import array
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -29,8 +31,8 @@ from pyspark.sql import types as T
 from .common import shuffle_partitions, small_batches, table, written
 
 WHITE_SPACE = b" \t\n\v\f\r"
-#: Bytes of edge labels that an owner holds before it spills a subtree.
-TRIE_BYTES = 128 << 20
+#: Bytes of rows and labels that a reading task holds before it sends on what it has, and that an owner holds before it spills.
+LOCAL_BYTES, OWNER_BYTES = 48 << 20, 128 << 20
 
 
 def normalised(text: str | None) -> bytes:
@@ -84,9 +86,16 @@ class PatriciaTrie:
         node[2] = value if node[2] is None else better(node[2], value)
         return node[2]
 
-    def heaviest(self) -> int:
-        """The first byte of the subtree with the most label bytes."""
-        return max(self.root[1], key=lambda b: sum(len(n[0]) for n in self._nodes(self.root[1][b])))
+    def heaviest(self) -> bytes | None:
+        """The prefix of the subtree with the most label bytes, of those below the first node where strings part or one ends. None
+        where a single string is left."""
+        path, node = b"", self.root
+        while len(node[1]) == 1 and node[2] is None:
+            (node,) = node[1].values()
+            path += node[0]
+        if not node[1]:
+            return None
+        return path + bytes([max(node[1], key=lambda b: sum(len(n[0]) for n in self._nodes(node[1][b])))])
 
     def _nodes(self, node):
         stack = [node]
@@ -94,161 +103,196 @@ class PatriciaTrie:
             yield (node := stack.pop())
             stack.extend(node[1].values())
 
-    def pop(self, byte: int):
-        """Remove the subtree below a first byte: (key, value) of its strings."""
-        stack = [(b"", self.root[1].pop(byte))]
-        while stack:
-            head, (label, children, value) = stack.pop()
-            self.held -= len(label)
-            head += label
-            if value is not None:
-                yield head, value
-            stack.extend((head, c) for c in children.values())
-
-    def items(self):
-        stack = [(b"", self.root)]
-        while stack:
-            head, (label, children, value) = stack.pop()
-            if value is not None:
-                yield head + label, value
-            stack.extend((head + label, c) for c in children.values())
+    def pop(self, prefix: bytes) -> list:
+        """Remove the subtree that heaviest() named: the values of its strings."""
+        node = self.root
+        while len(prefix) > 1:
+            node = node[1][prefix[0]]
+            prefix = prefix[len(node[0]) :]
+        gone = list(self._nodes(node[1].pop(prefix[0])))
+        self.held -= sum(len(n[0]) for n in gone)
+        return [n[2] for n in gone if n[2] is not None]
+
+    def values(self) -> list:
+        return [n[2] for n in self._nodes(self.root) if n[2] is not None]
+
+
+def _merge(a: list, b: list) -> list:
+    """Values are [order, place of the row, number of rows, their reps]."""
+    first = a if a[0] <= b[0] else b
+    if a[3] is not None:
+        a[3].extend(b[3])
+    return [first[0], first[1], a[2] + b[2], a[3]]
 
 
 class Owner:
-    """The trie of one partition. A value is [order of the best row, its rep, number of rows, reps]."""
-
-    def __init__(self, limit: int = TRIE_BYTES, depth: int = 0):
-        self.limit, self.depth, self.trie, self.spilled = limit, depth, PatriciaTrie(), {}
-
-    @staticmethod
-    def _merge(a, b):
-        return [*(a[:2] if a[:2] <= b[:2] else b[:2]), a[2] + b[2], a[3] + b[3]]
-
-    def add(self, key: bytes, order: tuple, rep: int, n: int, reps: list | None = None) -> None:
-        if key and key[0] in self.spilled:
-            self._spill(key[0], [(key, [order, rep, n, reps or [rep]])])
-            return
-        self.trie.insert(key, [order, rep, n, reps or [rep]], self._merge)
-        if self.trie.held > self.limit and len(self.trie.root[1]) > 1:
-            byte = self.trie.heaviest()
-            self._spill(byte, self.trie.pop(byte))
-
-    def _spill(self, byte: int, items) -> None:
-        if byte not in self.spilled:
-            self.spilled[byte] = tempfile.TemporaryFile(prefix="trie-")
-        out = self.spilled[byte]
-        for key, value in items:
-            about = json.dumps(value).encode()
-            out.write(struct.pack("<II", len(key), len(about)) + key + about)
-
-    def classes(self):
-        """(best rep, number of rows, reps) of each distinct text."""
-        for _, (_, rep, n, reps) in self.trie.items():
-            yield rep, n, reps
-        self.trie = PatriciaTrie()
-        for f in self.spilled.values():
-            f.seek(0)
-            below = Owner(self.limit, self.depth + 1)  # without the shared first byte, so that it can split further
-            while head := f.read(8):
-                k, a = struct.unpack("<II", head)
-                key, (order, rep, n, reps) = f.read(k), json.loads(f.read(a))
-                below.add(key[1:], tuple(order), rep, n, reps)
-            f.close()
-            yield from below.classes()
-
-
-def _order(n_points: int, doc_id) -> tuple:
-    return (-n_points, doc_id is None, doc_id or 0)
-
-
-def _local(batches, id_at: int, text_at: int, schema: pa.Schema):
-    """One row for each distinct text of a task; flushed when the texts held reach a bound (a text may then have two)."""
+    """The trie of one partition. Rows stay in Arrow batches, with the columns rep, `id_col` and `text_col`; members: whether the reps of
+    all rows of a text are kept, or the best row only."""
+
+    def __init__(self, id_col: str, text_col: str, members: bool, limit: int = OWNER_BYTES, skip: int = 0):
+        self.id_col, self.text_col, self.members, self.limit, self.skip = id_col, text_col, members, limit, skip
+        self.trie, self.batches, self.count, self.bytes, self.spilled = PatriciaTrie(), [], 0, 0, {}
+
+    def add(self, batch: pa.RecordBatch, counts: list[int], reps: list | None = None) -> None:
+        aside: dict[bytes, list[int]] = {}
+        sizes = sorted({len(p) for p in self.spilled})
+        columns = (batch.column(c).to_pylist() for c in (self.text_col, self.id_col, "rep"))
+        values = []
+        for i, (text, doc_id, rep) in enumerate(zip(*columns, strict=True)):
+            key = normalised(text)[self.skip :]
+            mine = (reps[i] if reps else array("q", [rep])) if self.members else None
+            values.append([(-len(text or ""), doc_id is None, doc_id or 0, rep), self.count + i, counts[i], mine])
+            if prefix := next((key[:n] for n in sizes if key[:n] in self.spilled), None):
+                aside.setdefault(prefix, []).append(i)
+            else:
+                self.trie.insert(key, values[i], _merge)
+        self.batches.append(batch)
+        self.count += len(batch)
+        self.bytes += batch.nbytes
+        for prefix, at in aside.items():
+            self._write(prefix, batch.take(pa.array(at)), [values[i] for i in at])
+        if self.bytes + self.trie.held > self.limit:
+            self._shrink()
+
+    def _rows(self, values: list) -> pa.RecordBatch:
+        rows = pa.Table.from_batches(self.batches).take(pa.array([v[1] for v in values], pa.int64())).combine_chunks()
+        return rows.to_batches()[0]
+
+    def _compact(self) -> None:
+        if values := self.trie.values():
+            self.batches, self.count = [self._rows(values)], len(values)
+            for i, v in enumerate(values):
+                v[1] = i
+        else:
+            self.batches, self.count = [], 0
+        self.bytes = sum(b.nbytes for b in self.batches)
+
+    def _shrink(self) -> None:
+        """Let go of rows that are not best; spill subtrees until half of the bound is free again."""
+        self._compact()
+        while self.bytes + self.trie.held > self.limit // 2 and (prefix := self.trie.heaviest()):
+            values = self.trie.pop(prefix)
+            rows = self._rows(values)
+            self._write(prefix, rows, values)
+            self.bytes -= rows.nbytes
+        self._compact()
+
+    def _write(self, prefix: bytes, rows: pa.RecordBatch, values: list) -> None:
+        about = {"__n": pa.array([v[2] for v in values], pa.int64()), "__reps": pa.array([v[3] for v in values], pa.list_(pa.int64()))}
+        rows = pa.RecordBatch.from_arrays([*rows.columns, *about.values()], names=[*rows.schema.names, *about])
+        if prefix not in self.spilled:
+            out = tempfile.TemporaryFile(prefix="trie-", dir=os.environ.get("SPARK_LOCAL_DIRS", "").split(",")[0] or None)
+            self.spilled[prefix] = out, pa.ipc.new_stream(out, rows.schema)
+        self.spilled[prefix][1].write_batch(rows)
+
+    def groups(self, size: int = 512):
+        """(best rows, numbers of rows, reps) of all distinct texts, some at a time."""
+        values = self.trie.values()
+        for i in range(0, len(values), size):
+            part = values[i : i + size]
+            yield self._rows(part), [v[2] for v in part], [v[3] for v in part]
+        self.trie, self.batches = PatriciaTrie(), []
+        for prefix, (out, writer) in self.spilled.items():
+            writer.close()
+            out.seek(0)
+            below = Owner(self.id_col, self.text_col, self.members, self.limit, self.skip + len(prefix))
+            for batch in pa.ipc.open_stream(out):
+                reps = [array("q", r) for r in batch.column("__reps").to_pylist()] if self.members else None
+                below.add(batch.select(batch.schema.names[:-2]), batch.column("__n").to_pylist(), reps)
+            out.close()
+            yield from below.groups(size)
+
+
+def _local(batches, id_col: str, text_col: str, members: bool):
+    """One row for each distinct text of a task; sent on when the rows held reach a bound (a text may then have two)."""
     task, made = TaskContext.get().partitionId(), 0
 
-    def flush(trie):
-        nonlocal made
-        rows = []
-        for key, (order, row, members) in trie.items():
-            rep = task << 32 | made
-            made += 1
-            ids = [m[1] for m in members]
-            best = next(i for i, m in enumerate(members) if m[0] == order)
-            rows.append((rep, len(key), hashlib.sha256(key).digest(), order[0], ids, best, row))
-        for i in range(0, len(rows), 512):
-            part = list(zip(*rows[i : i + 512], strict=True))
-            part[6] = pa.StructArray.from_arrays([pa.array([r[j] for r in part[6]], f.type) for j, f in enumerate(schema)], fields=list(schema))
-            yield pa.RecordBatch.from_arrays([pa.array(part[0], pa.int64()), pa.array(part[1], pa.int64()), pa.array(part[2], pa.binary()), pa.array(part[3], pa.int64()), pa.array(part[4], pa.list_(pa.int64())), pa.array(part[5], pa.int32()), part[6]], names=["rep", "n_bytes", "digest", "neg_points", "ids", "best", "row"])
-
     def better(a, b):
         first = a if a[0] <= b[0] else b
-        a[2].extend(b[2])
-        return [first[0], first[1], a[2]]
+        return [first[0], first[1], a[2] + b[2]]
 
-    trie, seen = PatriciaTrie(), 0
+    def flush(trie, held):
+        nonlocal made
+        rows = pa.Table.from_batches(held)
+        found = trie.values()
+        for i in range(0, len(found), 512):
+            part = found[i : i + 512]
+            keys = [normalised(t) for t in rows.column(text_col).take(pa.array([v[1] for v in part])).to_pylist()]
+            digests = [hashlib.sha256(k).digest() for k in keys]
+            more = {"rep": pa.array(range(task << 32 | made, (task << 32 | made) + len(part)), pa.int64()), "n_bytes": pa.array(map(len, keys), pa.int64()), "h": pa.array([int.from_bytes(d[:8], "big", signed=True) for d in digests], pa.int64())}
+            if members:
+                ids = [[m[1] for m in v[2]] for v in part]
+                more |= {"digest": pa.array(digests, pa.binary()), "ids": pa.array(ids, pa.list_(pa.int64())), "best": pa.array([next(j for j, m in enumerate(v[2]) if m[0] == v[0]) for v in part], pa.int32())}
+            made += len(part)
+            (own,) = rows.take(pa.array([v[1] for v in part])).combine_chunks().to_batches()
+            yield pa.RecordBatch.from_arrays([*own.columns, *more.values()], names=[*own.schema.names, *more])
+
+    trie, held, count, size = PatriciaTrie(), [], 0, 0
+    for batch in batches:
+        for i, (text, doc_id) in enumerate(zip(batch.column(text_col).to_pylist(), batch.column(id_col).to_pylist(), strict=True)):
+            order = (-len(text or ""), doc_id is None, doc_id or 0)
+            trie.insert(normalised(text), [order, count + i, [(order, doc_id)] if members else []], better)
+        held.append(batch)
+        count, size = count + len(batch), size + batch.nbytes
+        if size + trie.held > LOCAL_BYTES:
+            yield from flush(trie, held)
+            trie, held, count, size = PatriciaTrie(), [], 0, 0
+    if held:
+        yield from flush(trie, held)
+
+
+def _verdicts(batches):
+    owner = Owner("doc_id", "text", members=True)
     for batch in batches:
-        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            order = _order(len(row[text_at] or ""), row[id_at])
-            trie.insert(normalised(row[text_at]), [order, row, [(order, row[id_at])]], better)
-            seen += 1
-        if trie.held > TRIE_BYTES // 2 or seen >= 200_000:
-            yield from flush(trie)
-            trie, seen = PatriciaTrie(), 0
-    yield from flush(trie)
-
-
-def _own(batches):
-    owner = Owner()
+        owner.add(batch, batch.column("n").to_pylist())
+    for rows, counts, reps in owner.groups():
+        keep = list(zip(rows.column("rep").to_pylist(), rows.column("doc_id").to_pylist(), counts, strict=True))
+        flat = [(r, *k) for k, mine in zip(keep, reps, strict=True) for r in mine]
+        for i in range(0, len(flat), 10_000):
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*flat[i : i + 10_000], strict=True)], names=["rep", "keep_rep", "keep_id", "group_size"])
+
+
+def _stay(batches, id_col: str, text_col: str, n_columns: int):
+    owner = Owner(id_col, text_col, members=False)
     for batch in batches:
-        for rep, points, doc_id, n, text in zip(*(batch.column(c).to_pylist() for c in ("rep", "neg_points", "doc_id", "n", "text")), strict=True):
-            owner.add(normalised(text), (points, doc_id is None, doc_id or 0), rep, n)
-    found = [(r, keep, n) for keep, n, reps in owner.classes() for r in reps]
-    cols = list(zip(*found, strict=True)) or [[]] * 3
-    for i in range(0, max(1, len(found)), 10_000):
-        yield pa.RecordBatch.from_arrays([pa.array(c[i : i + 10_000], pa.int64()) for c in cols], names=["rep", "keep_rep", "group_size"])
+        owner.add(batch, [1] * len(batch))
+    for rows, _, _ in owner.groups():
+        yield rows.select(rows.schema.names[:n_columns])
 
 
-def local_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Step 1, written to the shared folder. `row` has all columns of the best row, whatever they are called."""
+def local_texts(docs: DataFrame, id_col: str, text_col: str, members: bool) -> DataFrame:
+    """Step 1: the best row of each distinct text with rep, n_bytes and h (which deal it to an owner) and, with members, the text's digest, the ids of
+    its rows and the best one's place in them."""
     small_batches(docs.sparkSession)
-    ddl = T.StructType([T.StructField(f"c{i}", f.dataType) for i, f in enumerate(docs.schema)])
-    plain = docs.toDF(*[f.name for f in ddl])
-    id_at, text_at = docs.columns.index(id_col), docs.columns.index(text_col)
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    arrow = to_arrow_schema(ddl)
-    out = T.StructType([T.StructField("rep", T.LongType()), T.StructField("n_bytes", T.LongType()), T.StructField("digest", T.BinaryType()), T.StructField("neg_points", T.LongType()), T.StructField("ids", T.ArrayType(T.LongType())), T.StructField("best", T.IntegerType()), T.StructField("row", ddl)])
-    return written(plain.mapInArrow(lambda it: _local(it, id_at, text_at, arrow), out), "texts", compression="zstd")
-
-
-def owned(texts: DataFrame, id_at: int, text_at: int) -> DataFrame:
-    """Step 2: rep, keep_rep (the rep whose best row stays), group_size."""
-    n = shuffle_partitions(texts.sparkSession)
-    rows = texts.select("rep", "neg_points", F.col(f"row.c{id_at}").cast("long").alias("doc_id"), F.size("ids").cast("long").alias("n"), "n_bytes", F.xxhash64("digest").alias("h"), F.col(f"row.c{text_at}").alias("text"))
-    return rows.repartition(n, "n_bytes", "h").drop("n_bytes", "h").mapInArrow(_own, "rep long, keep_rep long, group_size long")
-
-
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(decisions, survivors) for docs.
-
-    decisions: one row for each row of docs with doc_id, keep_id, group_size, kept and text_sha256 (of the normalised text).
-    survivors: the rows that stay, with docs' columns. An empty table gives empty results.
-    """
-    id_at, text_at = docs.columns.index(id_col), docs.columns.index(text_col)
-    texts = local_texts(docs, id_col, text_col)
-    verdicts = written(owned(texts, id_at, text_at), "verdicts")
-    keepers = verdicts.filter("rep = keep_rep").select("keep_rep", "rep")
-    keep_ids = texts.select("rep", F.col(f"row.c{id_at}").cast("long").alias("keep_id")).join(keepers, "rep").select("keep_rep", "keep_id")
-    judged = verdicts.join(keep_ids, "keep_rep")
-    members = texts.select("rep", "ids", "best", F.lower(F.hex("digest")).alias("text_sha256")).join(judged, "rep")
-    decisions = members.select("rep", "keep_rep", "best", "keep_id", "group_size", "text_sha256", F.posexplode("ids").alias("at", "doc_id"))
-    decisions = decisions.select("doc_id", "keep_id", "group_size", ((F.col("rep") == F.col("keep_rep")) & (F.col("at") == F.col("best"))).alias("kept"), "text_sha256")
-    survivors = texts.select("rep", "row").join(keepers.select("rep"), "rep", "left_semi").select(*[F.col(f"row.c{i}").alias(c) for i, c in enumerate(docs.columns)])
-    return decisions, survivors
+    fields = [*docs.schema.fields, *(T.StructField(n, T.LongType()) for n in ("rep", "n_bytes", "h"))]
+    if members:
+        fields += [T.StructField("digest", T.BinaryType()), T.StructField("ids", T.ArrayType(T.LongType())), T.StructField("best", T.IntegerType())]
+    return docs.mapInArrow(lambda it: _local(it, id_col, text_col, members), T.StructType(fields))
+
+
+def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row for each row of docs with doc_id, keep_id, group_size, kept and text_sha256 (of the normalised text)."""
+    plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    texts = written(local_texts(plain, "doc_id", "text", True), "texts", compression="zstd")
+    rows = texts.select("rep", F.size("ids").cast("long").alias("n"), "doc_id", "text", "n_bytes", "h").repartition(shuffle_partitions(docs.sparkSession), "n_bytes", "h")
+    verdicts = written(rows.select("rep", "n", "doc_id", "text").mapInArrow(_verdicts, "rep long, keep_rep long, keep_id long, group_size long"), "verdicts")
+    judged = texts.select("rep", "ids", "best", F.lower(F.hex("digest")).alias("text_sha256")).join(verdicts, "rep")
+    judged = judged.select("rep", "keep_rep", "best", "keep_id", "group_size", "text_sha256", F.posexplode("ids").alias("at", "doc_id"))
+    return judged.select("doc_id", "keep_id", "group_size", ((F.col("rep") == F.col("keep_rep")) & (F.col("at") == F.col("best"))).alias("kept"), "text_sha256")
+
+
+def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs that stay, with docs' columns."""
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    mine, text = names[docs.columns.index(id_col)], names[docs.columns.index(text_col)]
+    plain = docs.toDF(*names)
+    rows = local_texts(plain, mine, text, False).repartition(shuffle_partitions(docs.sparkSession), "n_bytes", "h").drop("n_bytes", "h")
+    return rows.mapInArrow(lambda it: _stay(it, mine, text, len(names)), plain.schema).toDF(*docs.columns)
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return exact_dedup(docs)[0]
+    return decisions(docs)
 
 
 ORACLE_SQL = r"""

@@ -1,28 +1,28 @@
 """Operator 3: SimHash near-dedup by a binary-trie self-join.
 
-Equal fingerprints are one trie leaf, so copies are grouped first. A pair within k = 2 differing bits agrees in at least two of
-four 16-bit blocks: for each of the six ways to choose two blocks, the trie is rooted with those blocks' bits on top and is
-cut below them; a subtree is the group of fingerprints that share these 32 bits. In a subtree, node pairs are traversed together with
-the differing bits so far, and a pair is dropped once these exceed the budget. A subtree with very many fingerprints
-is cut again, by the same argument, over the 32 bits that are left (three blocks of 11, 11 and 10, one of which agrees), and then
-over the rest (three of 7): what remains below is at most 14 bits, so no task ever holds an unbounded group and no pair
-is lost. Every link is found; none is emitted twice from a subtree. A fingerprint has at most 2,080 neighbours within 2 bits.
+Equal fingerprints are one trie leaf, so copies are grouped first. Node pairs of the trie are the rows of a frontier, (a, b, differing
+bits): each level joins the children of a and the children of b, adds the bits in which they differ, and drops pairs over the budget k and
+pairs of a node with itself that has one leaf. Two fingerprints within k bits agree in one of k + 1 parts of their bits; so there
+are k + 1 tries, each of the fingerprints turned so that another part is on top, and each is entered at the nodes below its top part, where
+no bit differs yet. This leaves out the pairs of upper nodes, which are many in a full trie, and loses no link.
+
+The first levels go down few bits, so a node has 16 children there and a pair of nodes 256 pairs of children at most; below, where nodes have
+few leaves, more bits. A node has few neighbours within k bits, so no key of a join grows with a group of near copies, and all
+steps are joins and counts that Spark splits.
 """
 
 from __future__ import annotations
 
-from itertools import combinations
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import connected_components, shuffle_partitions, small_batches, table, written
+from .common import connected_components, small_batches, table, temporary, written
 
 SHINGLE_WORDS, SEED, MAX_BITS = 3, 42, 2
-#: Fingerprints of a subtree that one task traverses before the subtree is cut again.
-SUBTREE = 2048
+#: Bits that the levels of the traversal go down; the last number repeats.
+STEPS = (4, 4, 5, 10)
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
@@ -62,123 +62,35 @@ def fingerprints(docs: DataFrame, size: int = SHINGLE_WORDS, id_col: str = "doc_
     return rows.mapInArrow(lambda it: _fingerprints(it, size), "row_key long, doc_id long, fp long")
 
 
-def trie_pairs(a: list[int], b: list[int] | None, bit: int, budget: int, out: list) -> None:
-    """Pairs within budget differing bits, between sorted lists of distinct numbers that are the leaves below two nodes (or
-    one node, where b is None). Within a list all bits above `bit` agree; between lists they have been accounted for.
-
-    Nodes are compressed: bits in which neither list branches are passed in one step, their differences counted at once.
-    """
-    same = b is None
-    if not a or (len(a) < 2 if same else not b):
-        return
-    branch = max((a[0] ^ a[-1]).bit_length(), 0 if same else (b[0] ^ b[-1]).bit_length()) - 1
-    if not same:
-        budget -= (((a[0] ^ b[0]) & ((2 << bit) - 1)) >> (branch + 1)).bit_count()
-        if budget < 0:
-            return
-    if branch < 0 or len(a) * len(a if same else b) <= 32:
-        mask = (2 << branch) - 1 if branch >= 0 else 0
-        for i, x in enumerate(a):
-            out += [(x, y) for y in (a[i + 1 :] if same else b) if ((x ^ y) & mask).bit_count() <= budget]
-        return
-    one = 1 << branch
-    a0, a1 = [x for x in a if not x & one], [x for x in a if x & one]
-    if same:
-        b0, b1 = a0, a1
-        trie_pairs(a0, None, branch - 1, budget, out)
-        trie_pairs(a1, None, branch - 1, budget, out)
-    else:
-        b0, b1 = [x for x in b if not x & one], [x for x in b if x & one]
-        trie_pairs(a0, b0, branch - 1, budget, out)
-        trie_pairs(a1, b1, branch - 1, budget, out)
-    if budget:
-        trie_pairs(a0, b1, branch - 1, budget - 1, out)
-        if not same:
-            trie_pairs(a1, b0, branch - 1, budget - 1, out)
-
-
-def _subtrees(batches, budget: int):
-    """Rows are sorted by (way, top): a subtree's fingerprints come one after the other, maybe across batches."""
-    key, held = None, []
-
-    def links(members):
-        out: list = []
-        trie_pairs(sorted({m & (2**64 - 1) for m in members}), None, 63, budget, out)
-        return out
-
-    def send(pairs):
-        u = np.array([p[0] for p in pairs], np.uint64).view(np.int64)
-        v = np.array([p[1] for p in pairs], np.uint64).view(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["a", "b"])
-
-    found: list = []
-    for batch in batches:
-        for way, top, fp in zip(*(batch.column(c).to_pylist() for c in ("way", "top", "fp")), strict=True):
-            if (way, top) != key:
-                found += links(held)
-                key, held = (way, top), []
-            held.append(fp)
-        if len(found) >= 20_000:
-            yield send(found)
-            found = []
-    yield send(found + links(held))
-
-
-def _blocks(fp, mask: int):
-    return fp.bitwiseAND(F.lit(mask - (1 << 64) if mask >> 63 else mask))
-
-
-def _pext(masks: int) -> list[int]:
-    return [i for i in range(63, -1, -1) if masks >> i & 1]
-
-
-def _cut(bits: list[int], parts: int) -> list[int]:
-    """Masks of the parts into which a list of bit places is cut."""
-    step = -(-len(bits) // parts)
-    return [sum(1 << i for i in bits[k : k + step]) for k in range(0, len(bits), step)]
+def _prefix(name: str, depth: int) -> F.Column:
+    return F.shiftrightunsigned(name, 64 - depth)
 
 
-def near_links(fps: DataFrame, budget: int = MAX_BITS) -> DataFrame:
-    """Distinct fp -> (a, b), a below b as unsigned numbers: all pairs of different fingerprints within `budget` bits, maybe repeated.
+def near_links(fps: DataFrame, budget: int = MAX_BITS, steps: tuple[int, ...] = STEPS) -> DataFrame:
+    """Distinct fp -> (a, b): all pairs of different fingerprints within `budget` bits, each once or more, in one order or the other.
 
-    For budget k, k + 2 blocks are made and two of them agree; hot subtrees are cut into k + 1 parts, twice.
+    A frontier of node pairs (way, a, b, differing bits) of the binary trie goes down some bits at a time.
     """
-    spark = fps.sparkSession
-    blocks = _cut(list(range(63, -1, -1)), budget + 2)
-    ways = [sum(c) for c in combinations(blocks, 2)]
-    level = fps.select("fp", F.explode(F.array(*[F.struct(F.lit(i).cast("string").alias("way"), _blocks(F.col("fp"), m).alias("top"), F.lit(m - (1 << 64) if m >> 63 else m).alias("mask")) for i, m in enumerate(ways)])).alias("w")).select("fp", "w.*")
-    ready = []
-    for depth in range(3):
-        level = written(level, f"subtrees{depth}") if depth else level
-        sizes = level.groupBy("way", "top").agg(F.count("*").alias("n")).filter("n > 1")
-        members = level.join(sizes, ["way", "top"])
-        ready.append((members.filter(f"n <= {SUBTREE}") if depth < 2 else members).select("way", "top", "fp"))
-        if depth < 2:
-            hot = members.filter(f"n > {SUBTREE}")
-            parts = []
-            for i, m in enumerate(_refinements(ways, depth, budget)):
-                parts.append(F.struct(F.concat_ws(".", "way", F.lit(i).cast("string")).alias("way"), m.alias("mask")))
-            level = hot.select("fp", F.explode(F.array(*parts)).alias("w")).select("fp", "w.way", F.col("fp").bitwiseAND(F.col("w.mask")).alias("top"), "w.mask")
-    n = shuffle_partitions(spark)
-    rows = ready[0].unionByName(ready[1]).unionByName(ready[2])
-    return rows.repartition(n, "way", "top").sortWithinPartitions("way", "top", "fp").mapInArrow(lambda it: _subtrees(it, budget), "a long, b long")
-
-
-def _refinements(ways: list[int], depth: int, budget: int):
-    """For a hot subtree of any way at this depth: the masks that add one part of the bits left, as columns that depend on `way`."""
-    signed = lambda m: m - (1 << 64) if m >> 63 else m
-    table: list[dict[str, int]] = [{} for _ in range(budget + 1)]
-    level = {str(i): m for i, m in enumerate(ways)}
-    for d in range(depth + 1):
-        below = {}
-        for way, mask in level.items():
-            for i, part in enumerate(_cut(_pext(~mask & (2**64 - 1)), budget + 1)):
-                below[f"{way}.{i}"] = mask | part
-                if d == depth:
-                    table[i][way] = signed(mask | part)
-        level = below
-    for masks in table:
-        yield F.create_map(*[F.lit(x) for kv in masks.items() for x in kv])[F.col("way")]
+    root = 64 // (budget + 1)
+    turns = [64 * k // (budget + 1) for k in range(budget + 1)]
+    turned = [F.shiftleft("fp", s).bitwiseOR(F.shiftrightunsigned("fp", 64 - s)) if s else F.col("fp") for s in turns]
+    leaves = fps.select(F.posexplode(F.array(*turned)).alias("way", "leaf")).withColumn("top", _prefix("leaf", root))
+    pairs = leaves.groupBy("way", "top").agg(F.count("*").alias("n")).filter("n > 1")
+    live = written(leaves.join(pairs.select("way", "top"), ["way", "top"]).drop("top"), "leaves")  # leaves whose top bits no other shares have no link
+    pairs = pairs.select("way", F.col("top").alias("a"), F.col("top").alias("b"), F.lit(0).alias("errors"))
+    depth = root
+    while depth < 64:
+        below = min(64, depth + (steps[0] if steps else 64))
+        steps, bits = steps[1:] or steps[-1:], below - depth
+        kids = live.groupBy("way", _prefix("leaf", depth).alias("node"), _prefix("leaf", below).alias("kid")).agg(F.count("*").alias("n"))
+        left = kids.select("way", F.col("node").alias("a"), F.col("kid").alias("x"), F.col("n").alias("leaves"))
+        right = kids.select("way", F.col("node").alias("b"), F.col("kid").alias("y"))
+        differ = F.bit_count(F.col("x").bitwiseXOR(F.col("y")).bitwiseAND(F.lit((1 << bits) - 1)))
+        pairs = pairs.join(left, ["way", "a"]).join(right, ["way", "b"]).filter("a <> b or x <= y").withColumn("errors", (F.col("errors") + differ).cast("int"))
+        pairs = pairs.filter(F.col("errors") <= budget).filter("x <> y or leaves > 1").select("way", F.col("x").alias("a"), F.col("y").alias("b"), "errors")
+        depth = below
+    back = lambda c: F.coalesce(*[F.when(F.col("way") == k, F.shiftrightunsigned(c, s).bitwiseOR(F.shiftleft(c, 64 - s)) if s else F.col(c)) for k, s in enumerate(turns)])
+    return pairs.filter("a <> b").select(back("a").alias("a"), back("b").alias("b"))
 
 
 def simhash_components(fps: DataFrame, budget: int = MAX_BITS) -> DataFrame:
@@ -194,16 +106,17 @@ def simhash_components(fps: DataFrame, budget: int = MAX_BITS) -> DataFrame:
     return fps.join(named, "fp")
 
 
-def near_dedup(docs: DataFrame, size: int = SHINGLE_WORDS, budget: int = MAX_BITS, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(decisions, survivors): row_key, doc_id, fp, component_id, keeper for each row of docs; docs' rows that stay, one for each
-    component. Null texts count as empty, repeated rows are copies, an empty table gives empty results. docs are written once with
-    their row_key: a second scan of docs may be split in another way."""
+def survivors(docs: DataFrame, size: int = SHINGLE_WORDS, budget: int = MAX_BITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs' rows that stay, one for each component. Null texts count as empty, repeated rows are copies, an empty table gives an empty
+    result; a column of docs called __row_key is an error. docs are written once with their row_key: a second scan of docs may be split in another way. Rows that go
+    are named in a table, which Spark broadcasts where it is small enough by its setting; else the rows are shuffled once."""
+    if "__row_key" in docs.columns:
+        raise ValueError("docs have a column __row_key")
     rows = written(docs.withColumn("__row_key", F.monotonically_increasing_id()), "rows", compression="zstd")
-    fps = written(fingerprints(rows, size, id_col, text_col, "__row_key"), "fingerprints")
-    decisions = simhash_components(fps, budget)
-    keepers = decisions.filter("row_key = keeper").select(F.col("row_key").alias("__row_key"))
-    survivors = rows.join(keepers, "__row_key", "left_semi").drop("__row_key")
-    return decisions, survivors
+    with temporary() as keep:
+        fps = written(fingerprints(rows, size, id_col, text_col, "__row_key"), "fingerprints")
+        gone = keep(written(simhash_components(fps, budget).filter("row_key <> keeper").select(F.col("row_key").alias("__row_key")), "gone"))
+    return rows.join(gone, "__row_key", "left_anti").drop("__row_key")
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,8 @@ read windows of WINDOW words that overlap by half; attention pools a window's st
 that of its highest window: every window of the whole text is read, however long it is. A long run of word characters (a clause of
 a script without spaces, words joined by underscores) is read as overlapping pieces, so that all of its n-grams count.
 
-Training sees a bounded sample of labelled documents (MAX_TOXIC and MAX_CLEAN, drawn by a hash of doc_id). Labels are given to documents, so
+Training sees a bounded sample of labelled documents (MAX_TOXIC and MAX_CLEAN, drawn by a hash of doc_id, MAX_CHARS of each). Words outside the list of
+MAX_WORDS count by their n-grams. Labels are given to documents, so
 each round trains on the window of a toxic document that the model rates highest and, of clean documents, on the window it
 rates highest and a random one. The first round's windows are rated by log-odds of words and n-grams.
 """
@@ -26,13 +27,13 @@ from .common import small_batches, table
 WINDOW, STRIDE = 32, 16
 DIM, HIDDEN, GRAM_BUCKETS = 16, 8, 8192
 #: Bounds of the labelled sample that training reads.
-MAX_TOXIC, MAX_CLEAN = 1000, 2400
-MIN_WORD_DOCS, MAX_WORDS = 5, 4000
+MAX_TOXIC, MAX_CLEAN, MAX_CHARS = 1000, 2400, 20_000_000
+MIN_WORD_DOCS, MAX_WORDS = 4, 20_000
 ROUNDS, EPOCHS, BATCH, RATE, SEED = 3, 4, 128, 0.01, 11
 #: Steps of a round at least: a small sample is passed over more often.
 MIN_STEPS = 120
 #: Weight decay of the embeddings.
-DECAY = 0.5
+DECAY = 0.3
 THRESHOLD = 0.7
 #: Distinct words that a worker remembers before it starts afresh.
 WORD_CACHE = 400_000
@@ -90,10 +91,11 @@ def parts_of(text: str | None) -> Iterator[list[str]]:
 def gram_buckets(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Bucket numbers of all 3- and 4-grams of bytes of `<word>`, word after word, and where each word's begin."""
     raw = [b"<" * (w[:1] != CUT) + w.strip(CUT).encode("utf-8", "replace") + b">" * (w[-1:] != CUT) for w in words]
+    raw = [x if len(x) > 2 else x.ljust(3, b"\0") for x in raw]  # an n-gram never reaches into the next word
     data = np.frombuffer(b"".join(raw) + b"\0\0\0", np.uint8).astype(np.uint32)
     n = np.array([len(x) for x in raw])
     begin = np.cumsum(n) - n
-    k3, k4 = np.maximum(n - 2, 1), np.maximum(n - 3, 1)
+    k3, k4 = n - 2, n - 3
     three = data[:-3] * 961 + data[1:-2] * 31 + data[2:-1]
     four = three * 31 + data[3:] * np.uint32(2654435761) + np.uint32(77)
     three, four = (((x * np.uint32(2654435761)) >> np.uint32(15)) % GRAM_BUCKETS for x in (three, four))
@@ -116,30 +118,34 @@ def _sigmoid(x):
 
 
 class Network:
-    """Parameters and passes; x is (batch, WINDOW, DIM), mask (batch, WINDOW) with 1 where there is a word."""
+    """Parameters and passes; x is (WINDOW, batch, DIM), mask (WINDOW, batch) with 1 where there is a word. W, U and c hold both
+    directions, which run side by side: the backward one on the window in reverse."""
 
     def __init__(self, seed: int = SEED):
         rng = np.random.default_rng(seed)
-        r = lambda *s: (rng.standard_normal(s) * 0.3 / np.sqrt(s[0])).astype(np.float32)
-        self.p = {"grams": (rng.standard_normal((GRAM_BUCKETS, DIM)) * 0.02).astype(np.float32), "att": r(2 * HIDDEN), "out": r(2 * HIDDEN), "bias": np.full(1, -1, np.float32)}
-        for d in "fb":
-            self.p |= {f"W{d}": r(DIM, 3 * HIDDEN) * 3, f"U{d}": r(HIDDEN, 3 * HIDDEN) * 3, f"c{d}": np.zeros(3 * HIDDEN, np.float32)}
-
-    def _gru(self, gx, mask, u, back: bool, keep: bool):
-        """gx: (time, batch, 3 HIDDEN) input parts of update, reset and candidate."""
-        steps, b, _ = gx.shape
-        h, out, saved = np.zeros((b, HIDDEN), np.float32), np.empty((steps, b, HIDDEN), np.float32), [None] * steps
-        for t in range(steps - 1, -1, -1) if back else range(steps):
+        r = lambda fan, *s: rng.standard_normal(s) * 0.3 / np.sqrt(fan)
+        self.p = {"grams": rng.standard_normal((GRAM_BUCKETS, DIM)) * 0.02, "att": r(2 * HIDDEN, 2 * HIDDEN), "out": r(2 * HIDDEN, 2 * HIDDEN), "bias": np.full(1, -1.0)}
+        self.p |= {"W": 3 * r(DIM, 2, DIM, 3 * HIDDEN), "U": 3 * r(HIDDEN, 2, HIDDEN, 3 * HIDDEN), "c": np.zeros((2, 3 * HIDDEN))}
+
+    def inputs(self, x):
+        """Input parts of update, reset and candidate for both directions: (..., 6 HIDDEN)."""
+        return np.concatenate([x @ self.p["W"][k] + self.p["c"][k] for k in (0, 1)], axis=-1)
+
+    def _states(self, g, mask, keep: bool):
+        """g: (time, batch, 6 HIDDEN). States of both directions (time, batch, 2 HIDDEN), and what the way back needs."""
+        steps, b, n = len(g), g.shape[1], HIDDEN
+        g = np.stack([g[:, :, : 3 * n], g[::-1, :, 3 * n :]], axis=1)
+        m = np.stack([mask, mask[::-1]], axis=1)[..., None]
+        h, out, saved, u = np.zeros((2, b, n), g.dtype), np.empty((steps, 2, b, n), g.dtype), [], self.p["U"]
+        for t in range(steps):
             hu = h @ u
-            zr = _sigmoid(gx[t, :, : 2 * HIDDEN] + hu[:, : 2 * HIDDEN])
-            z, r = zr[:, :HIDDEN], zr[:, HIDDEN:]
-            c = np.tanh(gx[t, :, 2 * HIDDEN :] + r * hu[:, 2 * HIDDEN :])
-            new = c + z * (h - c)
-            m = mask[t][:, None]
+            zr = _sigmoid(g[t, :, :, : 2 * n] + hu[:, :, : 2 * n])
+            z, r = zr[:, :, :n], zr[:, :, n:]
+            c = np.tanh(g[t, :, :, 2 * n :] + r * hu[:, :, 2 * n :])
             if keep:
-                saved[t] = (h, z, r, c, hu[:, 2 * HIDDEN :], m)
-            h = out[t] = h + m * (new - h)
-        return out, saved
+                saved.append((h, z, r, c, hu[:, :, 2 * n :], m[t]))
+            h = out[t] = h + m[t] * (c + z * (h - c) - h)
+        return np.concatenate([out[:, 0], out[::-1, 1]], axis=2), saved
 
     def _pool(self, hs, mask):
         e = hs @ self.p["att"] + (mask - 1) * 1e4
@@ -148,45 +154,43 @@ class Network:
         ctx = np.einsum("tb,tbh->bh", a, hs)
         return a, ctx, ctx @ self.p["out"] + self.p["bias"][0]
 
-    def logits(self, gf, gb, mask):
-        """gf, gb: (time, batch, 3 HIDDEN) input parts for both directions, biases included."""
-        hs = np.concatenate([self._gru(gf, mask, self.p["Uf"], False, False)[0], self._gru(gb, mask, self.p["Ub"], True, False)[0]], axis=2)
-        return self._pool(hs, mask)[2]
+    def logits(self, g, mask):
+        """g: (time, batch, 6 HIDDEN), as of inputs()."""
+        return self._pool(self._states(g, mask, False)[0], mask)[2]
 
     def gradients(self, x, mask, y, weight):
-        """x: (time, batch, DIM). Returns loss, gradients of the parameters and of x."""
-        p, g = self.p, {}
-        runs = {d: self._gru(x @ p[f"W{d}"] + p[f"c{d}"], mask, p[f"U{d}"], d == "b", True) for d in "fb"}
-        hs = np.concatenate([runs["f"][0], runs["b"][0]], axis=2)
+        """Returns loss, gradients of the parameters and of x."""
+        p, g, n = self.p, {}, HIDDEN
+        hs, saved = self._states(self.inputs(x), mask, True)
         a, ctx, logit = self._pool(hs, mask)
         prob = _sigmoid(logit)
         loss = float(-(weight * (y * np.log(prob + 1e-7) + (1 - y) * np.log(1 - prob + 1e-7))).mean())
-        d = (weight * (prob - y) / len(y)).astype(np.float32)
-        g["out"], g["bias"] = ctx.T @ d, np.array([d.sum()], np.float32)
+        d = weight * (prob - y) / len(y)
+        g["out"], g["bias"] = ctx.T @ d, np.array([d.sum()])
         dctx = d[:, None] * p["out"]
         da = np.einsum("bh,tbh->tb", dctx, hs)
         de = a * (da - (a * da).sum(axis=0))
         g["att"] = np.einsum("tb,tbh->h", de, hs)
         dhs = a[:, :, None] * dctx + de[:, :, None] * p["att"]
-        dx = np.zeros_like(x)
-        for k, way in enumerate("fb"):
-            u, saved = p[f"U{way}"], runs[way][1]
-            dgx = np.zeros((*x.shape[:2], 3 * HIDDEN), np.float32)
-            dh, du = np.zeros((x.shape[1], HIDDEN), np.float32), np.zeros_like(u)
-            for t in range(len(x)) if way == "b" else range(len(x) - 1, -1, -1):
-                h, z, r, c, hu, m = saved[t]
-                dh = dh + dhs[t, :, k * HIDDEN : (k + 1) * HIDDEN]
-                dn = dh * m
-                dc, dz = dn * (1 - z) * (1 - c * c), dn * (h - c) * z * (1 - z)
-                dr = dc * hu * r * (1 - r)
-                dhu = np.concatenate([dz, dr, dc * r], axis=1)
-                dgx[t] = np.concatenate([dz, dr, dc], axis=1)
-                du += h.T @ dhu
-                dh = dh * (1 - m) + dn * z + dhu @ u.T
-            g[f"U{way}"], g[f"c{way}"] = du, dgx.sum(axis=(0, 1))
-            g[f"W{way}"] = np.einsum("tbd,tbh->dh", x, dgx)
-            dx += dgx @ p[f"W{way}"].T
-        return loss, g, dx
+        dhs = np.stack([dhs[:, :, :n], dhs[::-1, :, n:]], axis=1)
+        dg, dhu = np.zeros((*dhs.shape[:3], 3 * n)), np.zeros((*dhs.shape[:3], 3 * n))
+        dh, ut = np.zeros(dhs.shape[1:]), p["U"].transpose(0, 2, 1)
+        for t in range(len(x) - 1, -1, -1):
+            h, z, r, c, hu, m = saved[t]
+            dh = dh + dhs[t]
+            dn = dh * m
+            dc, dz = dn * (1 - z) * (1 - c * c), dn * (h - c) * z * (1 - z)
+            dr = dc * hu * r * (1 - r)
+            dhu[t] = np.concatenate([dz, dr, dc * r], axis=2)
+            dg[t] = np.concatenate([dz, dr, dc], axis=2)
+            dh = dh * (1 - m) + dn * z + dhu[t] @ ut
+        before = np.stack([s[0] for s in saved])
+        flat = lambda v, k: v[:, k].reshape(-1, v.shape[-1])
+        g["U"] = np.stack([flat(before, k).T @ flat(dhu, k) for k in (0, 1)])
+        g["c"] = dg.sum(axis=(0, 2))
+        both = (dg[:, 0], dg[::-1, 1])
+        g["W"] = np.stack([x.reshape(-1, x.shape[-1]).T @ v.reshape(-1, 3 * n) for v in both])
+        return loss, g, sum(v @ p["W"][k].T for k, v in enumerate(both))
 
 
 class ToxicityModel:
@@ -205,12 +209,12 @@ class ToxicityModel:
 
     def _start(self):
         """Forget remembered words: row numbers and the GRUs' input parts."""
-        self.rows, self.parts, self.n = {}, np.zeros((1024, 6 * HIDDEN), np.float32), 0
+        self.rows, self.parts, self.n = {}, np.zeros((1024, 6 * HIDDEN), self.net.p["att"].dtype), 0
 
     def embed(self, words: list[str]) -> np.ndarray:
         grams, starts = gram_buckets(words)
         sizes = np.diff(np.append(starts, len(grams)))
-        x = np.add.reduceat(self.net.p["grams"][grams], starts, axis=0) / sizes[:, None].astype(np.float32)
+        x = np.add.reduceat(self.net.p["grams"][grams], starts, axis=0) / sizes[:, None].astype(self.net.p["grams"].dtype)
         if "words" in self.net.p:
             at = np.array([self.vocabulary.get(w, -1) for w in words])
             x[at >= 0] += self.net.p["words"][at[at >= 0]]
@@ -222,10 +226,9 @@ class ToxicityModel:
             self._start()
             new = list(set().union(*docs))
         if new:
-            p, x = self.net.p, self.embed(new)
-            part = np.concatenate([x @ p["Wf"] + p["cf"], x @ p["Wb"] + p["cb"]], axis=1)
+            part = self.net.inputs(self.embed(new))
             if self.n + len(new) > len(self.parts):
-                self.parts = np.concatenate([self.parts, np.zeros((max(len(self.parts), len(new)), self.parts.shape[1]), np.float32)])
+                self.parts = np.concatenate([self.parts, np.zeros((max(len(self.parts), len(new)), self.parts.shape[1]), self.parts.dtype)])
             self.parts[self.n : self.n + len(new)] = part
             self.rows |= {w: self.n + i for i, w in enumerate(new)}
             self.n += len(new)
@@ -245,11 +248,10 @@ class ToxicityModel:
             else:
                 index.append(r[np.array(begins)[:, None] + np.arange(WINDOW)])
                 mask.append(np.ones((len(begins), WINDOW), bool))
-        index, mask = np.concatenate(index), np.concatenate(mask).astype(np.float32)
-        out = np.empty(len(index), np.float32)
+        index, mask = np.concatenate(index), np.concatenate(mask).astype(self.parts.dtype)
+        out = np.empty(len(index), self.parts.dtype)
         for i in range(0, len(index), 1024):
-            part = self.parts[index[i : i + 1024].T]
-            out[i : i + 1024] = self.net.logits(part[:, :, : 3 * HIDDEN], part[:, :, 3 * HIDDEN :], np.ascontiguousarray(mask[i : i + 1024].T))
+            out[i : i + 1024] = self.net.logits(self.parts[index[i : i + 1024].T], np.ascontiguousarray(mask[i : i + 1024].T))
         return np.split(out, np.cumsum(per_doc)[:-1])
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
@@ -269,7 +271,7 @@ class ToxicityModel:
                 held.append((i, part))
                 n += len(part)
         flush()
-        return 1 / (1 + np.exp(-out))
+        return np.round(1 / (1 + np.exp(-out)), 6)
 
 
 def _log_odds(docs: list[list[str]], y: np.ndarray):
@@ -289,9 +291,43 @@ def _log_odds(docs: list[list[str]], y: np.ndarray):
     return word_odds, gram_odds, frequent
 
 
+class _Words:
+    """The distinct words of the training texts as numbers: their n-grams and their rows in the word list."""
+
+    def __init__(self, docs: list[list[str]], model: ToxicityModel):
+        self.all = sorted(set().union(*docs)) or ["_"]
+        number = {w: i for i, w in enumerate(self.all)}
+        self.docs = [np.array([number[w] for w in d], np.int64) for d in docs]
+        self.grams, self.starts = gram_buckets(self.all)
+        self.sizes = np.diff(np.append(self.starts, len(self.grams)))
+        self.row = np.array([model.vocabulary.get(w, -1) for w in self.all])
+
+    def mean(self, table: np.ndarray) -> np.ndarray:
+        """The mean of each word's n-grams in a table of buckets."""
+        return (np.add.reduceat(table[self.grams], self.starts, axis=0).T / self.sizes).T
+
+
+def _summed(values: np.ndarray, groups: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct groups and the sums of their rows, in an order that does not change."""
+    order = np.argsort(groups, kind="stable")
+    found, starts = np.unique(groups[order], return_index=True)
+    return found, np.add.reduceat(values[order], starts, axis=0)
+
+
+def _filled(tokens: np.ndarray, docs: list[np.ndarray], clean: np.ndarray, rng) -> np.ndarray:
+    """A short text's only window; half the time with words of a clean document around it, as windows of long texts have them."""
+    if len(tokens) == WINDOW or rng.random() < 0.5:
+        return tokens
+    other = docs[clean[rng.integers(len(clean))]]
+    at = rng.integers(max(1, len(other) - WINDOW + 1))
+    other, cut = other[at : at + WINDOW - len(tokens)], rng.integers(WINDOW - len(tokens) + 1)
+    return np.concatenate([other[:cut], tokens, other[cut:]])
+
+
 def train(texts: list[str], labels: list[int], rounds: int = ROUNDS, epochs: int = EPOCHS, seed: int = SEED) -> ToxicityModel:
-    """A model fitted to labelled texts. Without examples of both labels the score is constant: the only label's, or 0."""
-    model, y = ToxicityModel(), np.array(labels, np.float32)
+    """A model fitted to labelled texts, in double precision: rounding that differs by machine or threads stays far below what
+    decides a window or a prediction. Without examples of both labels the score is constant: the only label's, or 0."""
+    model, y = ToxicityModel(), np.array(labels, np.float64)
     if len(set(labels)) < 2:
         model.constant = float(y[0]) if len(y) else 0.0
         return model
@@ -299,64 +335,65 @@ def train(texts: list[str], labels: list[int], rounds: int = ROUNDS, epochs: int
     word_odds, gram_odds, frequent = _log_odds(docs, y)
     model.vocabulary = {w: i for i, w in enumerate(frequent)}
     p = model.net.p
-    p["words"] = (rng.standard_normal((len(frequent), DIM)) * 0.02).astype(np.float32)
+    p["words"] = rng.standard_normal((max(1, len(frequent)), DIM)) * 0.02
     if frequent:  # the first dimension starts from the log-odds, so that a few examples of a word go a long way
         p["words"][:, 0] = [np.clip(word_odds[w], -3, 6) / 3 for w in frequent]
     p["grams"][:, 0] = np.clip(gram_odds, -3, 6) / 3
+    words = _Words(docs, model)
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in p.items()}
-    begins, step = [windows(len(d)) for d in docs], 0
+    begins, step, clean = [windows(len(d)) for d in docs], 0, np.flatnonzero(y == 0)
     for k in range(rounds):
         if k == 0:
-            rate = {}
-            for d in docs:
-                if new := [w for w in set(d) if w not in rate]:
-                    grams, starts = gram_buckets(new)
-                    mean = np.add.reduceat(gram_odds[grams], starts) / np.diff(np.append(starts, len(grams)))
-                    rate |= {w: max(0.0, word_odds.get(w, 0.0)) + max(0.0, m) for w, m in zip(new, mean.tolist(), strict=True)}
-            best = [int(np.argmax([sum(sorted((rate[w] for w in d[b : b + WINDOW]), reverse=True)[:3]) for b in bs])) for d, bs in zip(docs, begins, strict=True)]
+            rate = np.maximum(0, [word_odds.get(w, 0.0) for w in words.all]) + np.maximum(0, words.mean(gram_odds))
+            rated = [np.stack([np.sort(rate[d[b : b + WINDOW]])[-3:].sum() for b in bs]) for d, bs in zip(words.docs, begins, strict=True)]
         else:
             model._start()
-            best = [int(np.argmax(x)) for i in range(0, len(docs), 64) for x in model.window_logits(docs[i : i + 64])]
+            rated = [x for i in range(0, len(docs), 64) for x in model.window_logits(docs[i : i + 64])]
+        best = [int(np.argmax(np.round(x, 4))) for x in rated]  # of windows that differ by rounding only, the first
         picks = [(i, begins[i][b]) for i, b in enumerate(best)] + [(i, begins[i][rng.integers(len(begins[i]))]) for i in range(len(docs)) if y[i] == 0]
         weight1 = max(1.0, 0.4 * sum(y[i] == 0 for i, _ in picks) / max(1.0, y.sum()))
         for _ in range(max(epochs, -(-MIN_STEPS * BATCH // len(picks)))):
             order = rng.permutation(len(picks))
             for at in range(0, len(order), BATCH):
                 batch = [picks[j] for j in order[at : at + BATCH]]
-                toks = [docs[i][b : b + WINDOW] for i, b in batch]
-                yb = np.array([y[i] for i, _ in batch], np.float32)
+                yb = np.array([y[i] for i, _ in batch])
                 step += 1
-                _step(model, toks, yb, np.where(yb > 0, weight1, 1).astype(np.float32), moments, step, rng)
+                toks = [_filled(words.docs[i][b : b + WINDOW], words.docs, clean, rng) for i, b in batch]
+                _step(model, words, toks, yb, np.where(yb > 0, weight1, 1.0), moments, step, rng)
+    model.net.p = {k: v.astype(np.float32) for k, v in p.items()}
     model._start()
     return model
 
 
-def _step(model: ToxicityModel, toks, y, weight, moments, step: int, rng) -> None:
+def _step(model: ToxicityModel, words: _Words, toks: list[np.ndarray], y, weight, moments, step: int, rng) -> None:
     """One Adam step. Word embeddings are left out at random, so that n-grams learn what words they stand for."""
     p = model.net.p
-    words = list(dict.fromkeys(w for t in toks for w in t)) or ["_"]
-    row = {w: i for i, w in enumerate(words)}
-    grams, starts = gram_buckets(words)
-    sizes = np.diff(np.append(starts, len(grams))).astype(np.float32)
-    table_x = np.add.reduceat(p["grams"][grams], starts, axis=0) / sizes[:, None]
-    at = np.array([model.vocabulary.get(w, -1) for w in words])
-    at[rng.random(len(at)) < 0.3] = -1
-    known = at >= 0
-    table_x[known] += p["words"][at[known]]
-    index, mask = np.zeros((WINDOW, len(toks)), np.int64), np.zeros((WINDOW, len(toks)), np.float32)
-    for j, t in enumerate(toks):
-        index[: len(t), j], mask[: len(t), j] = [row[w] for w in t], 1
-    _, g, dx = model.net.gradients(table_x[index], mask, y, weight)
+    used, place = np.unique(np.concatenate(toks), return_inverse=True)
+    if not len(used):
+        used = np.zeros(1, np.int64)
+    sizes = words.sizes[used]
+    at = np.repeat(words.starts[used] - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
+    grams = words.grams[at]
+    table_x = np.add.reduceat(p["grams"][grams], np.cumsum(sizes) - sizes, axis=0) / sizes[:, None]
+    row = np.where(rng.random(len(used)) < 0.3, -1, words.row[used])
+    known = row >= 0
+    table_x[known] += p["words"][row[known]]
+    n = np.array([len(t) for t in toks])
+    mask = (np.arange(WINDOW)[:, None] < n).astype(np.float64)
+    index = np.zeros((len(toks), WINDOW), np.int64)
+    index[mask.T > 0] = place
+    _, g, dx = model.net.gradients(table_x[index.T], mask, y, weight)
     dtable = np.zeros_like(table_x)
-    np.add.at(dtable, index.ravel(), (dx * mask[:, :, None]).reshape(-1, DIM))
-    g["grams"] = np.zeros_like(p["grams"])
-    np.add.at(g["grams"], grams, np.repeat(dtable / sizes[:, None], sizes.astype(int), axis=0))
-    g["words"] = np.zeros_like(p["words"])
-    np.add.at(g["words"], at[known], dtable[known])
-    norm = float(np.sqrt(sum((v * v).sum() for v in g.values())))
+    if len(place):
+        seen, sums = _summed(dx.transpose(1, 0, 2)[mask.T > 0], place)
+        dtable[seen] = sums
+    for k, (at, sums) in {"grams": _summed(np.repeat(dtable / sizes[:, None], sizes, axis=0), grams), "words": (row[known], dtable[known])}.items():
+        g[k] = np.zeros_like(p[k])
+        g[k][at] = sums
+    shrink = min(1.0, 5 / (float(np.sqrt(sum((v * v).sum() for v in g.values()))) + 1e-9))
     for k, v in g.items():
-        v = v * min(1.0, 5 / (norm + 1e-9))
         m, s = moments[k]
+        v *= shrink
         m *= 0.9
         m += 0.1 * v
         s *= 0.999
@@ -370,21 +407,29 @@ def held_out(doc_id) -> F.Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN) -> tuple[list[str], list[int]]:
-    """At most so many labelled texts of each kind outside the held-out third, in an order that only doc_id decides.
+def training_sample(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN, max_chars: int = MAX_CHARS) -> tuple[list[str], list[int]]:
+    """At most so many labelled texts of each kind outside the held-out third, with at most max_chars characters together for each kind, in an
+    order that only doc_id decides; a text over what is left of that bound is passed over.
 
-    Rows without a label or doc_id are not used; a doc_id labelled twice counts as toxic if one label says so.
+    Rows without a label or doc_id are not used; a doc_id labelled twice counts as toxic if one label says so; of several texts of
+    one doc_id the least one counts.
     """
     known = labels.select(F.col("doc_id").cast("long"), F.col("toxic").cast("int")).filter("doc_id is not null and toxic in (0, 1)")
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).filter(~held_out(F.col("doc_id"))).withColumn("draw", F.xxhash64("doc_id"))
-    known = known.join(docs.select(F.col("doc_id").cast("long")).distinct(), "doc_id", "left_semi")
-    chosen = known.filter("toxic = 1").orderBy("draw", "doc_id").limit(max_toxic).unionByName(known.filter("toxic = 0").orderBy("draw", "doc_id").limit(max_clean))
-    chosen = chosen.select("doc_id", "toxic").collect()  # at most max_toxic + max_clean short rows
-    if not chosen:
+    texts = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    sizes = texts.groupBy("doc_id").agg(F.max(F.length("text")).alias("size"))
+    known = known.join(sizes, "doc_id")
+    label = {}
+    for toxic, most in ((1, max_toxic), (0, max_clean)):
+        left = max_chars
+        for r in known.filter(F.col("toxic") == toxic).orderBy("draw", "doc_id").limit(most).collect():  # short rows
+            if r["size"] <= left:
+                left -= r["size"]
+                label[r.doc_id] = toxic
+    if not label:
         return [], []
-    label = {r.doc_id: r.toxic for r in chosen}
-    found = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).filter(F.col("doc_id").isin(list(label)))
-    rows = sorted(set(map(tuple, found.dropDuplicates(["doc_id"]).collect())))
+    found = texts.filter(F.col("doc_id").isin(list(label))).groupBy("doc_id").agg(F.min("text").alias("text"))
+    rows = sorted(map(tuple, found.collect()))
     return [t for _, t in rows], [label[i] for i, _ in rows]
 
 
@@ -393,7 +438,11 @@ def fit(docs: DataFrame, labels: DataFrame, **bounds: int) -> ToxicityModel:
 
 
 def score_documents(docs: DataFrame, model: ToxicityModel, text_col: str = "text", out_col: str = "score") -> DataFrame:
-    """docs with a score from 0 to 1 for each row's whole text. Null texts are empty ones, which have a score too."""
+    """docs with a score from 0 to 1 (six decimals) for each row's whole text.
+
+    Null texts are empty ones, which have a score too; repeated rows have the same score, an empty table gives an empty one. A column of docs
+    with the name of out_col is replaced; other columns are carried as they are.
+    """
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

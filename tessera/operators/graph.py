@@ -11,6 +11,8 @@ from itertools import count
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import settled
+
 #: Levels after which what was seen becomes one table again, so that a deep walk does not join ever more pieces.
 MERGE_LEVELS = 16
 
@@ -41,23 +43,15 @@ def reachable(edges: DataFrame, start: str, downstream: bool = True) -> DataFram
     for depth in count(1):
         step = edges.select(F.col(a).alias("from"), F.col(b).alias("node")).join(frontier.select(F.col("node").alias("from")), "from", "left_semi").select("node").distinct()
         frontier = step.join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(depth))
-        frontier = _settled(frontier)
+        frontier = settled(frontier)
         if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier)
         if depth % MERGE_LEVELS == 0:
-            seen = _settled(seen.repartition("node"))
+            seen = settled(seen.repartition("node"))
     return seen.filter("depth > 0")
 
 
-def _settled(df: DataFrame) -> DataFrame:
-    """Cut the lineage of a level: in the shared folder for checkpoints, or, where none is set, on the executors. Plans would double with
-    each level otherwise."""
-    if df.sparkSession.sparkContext.getCheckpointDir():
-        return df.checkpoint()
-    return df.localCheckpoint()
-
-
 def lineage_of(edges: DataFrame, nodes: DataFrame, start: str, downstream: bool = True) -> DataFrame:
     """Reachable nodes that are not archived or deleted; hidden nodes are still walked through. nodes: node, status."""
     found = reachable(edges, start, downstream)

@@ -57,9 +57,9 @@ def summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir).select("doc_id", text.summary(F.col("text"), F.lit("empty")).alias("summary"))
 
 
-@query("H13_occurrences")
+@query("H13_occurrences", f"""SELECT id, at - 1 AS at FROM (SELECT id, l1_content, unnest(range(1, length(l1_content) + 1))::INT AS at FROM contexts WHERE account_id = '{ACCOUNT}') WHERE substr(l1_content, at, 2) = 'th'""")
 def occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return common.contexts(spark, sf_dir).select("id", F.explode(text.occurrences(F.col("l1_content"), F.lit("th"))).alias("at"))
+    return common.contexts(spark, sf_dir).select("id", F.explode(text.occurrences(F.col("l1_content"), "th")).alias("at"))
 
 
 @query("A07_folders", "SELECT id, left(sha256(account_id || chr(0) || uri), 16) AS folder FROM contexts")

@@ -2,11 +2,13 @@
 
 import base64
 import hashlib
+import os
 import random
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -111,7 +113,27 @@ def test_toxicity_held_out(spark):
     rows = docs.join(labels, "doc_id").filter(toxicity.held_out(docs["doc_id"])).select("text", "toxic").collect()
     said = model.scores([r.text for r in rows]) >= toxicity.THRESHOLD
     truth = np.array([r.toxic for r in rows]) == 1
-    assert (said == truth).mean() > 0.95 and said[truth].mean() > 0.7
+    assert (said == truth).mean() > 0.95 and said[truth].mean() > 0.9
+
+
+def test_toxicity_same_everywhere(tmp_path):
+    """Training and scores do not depend on threads, on the order of sets, or on the texts that are scored together."""
+    import subprocess
+    import sys
+
+    code = """
+import random
+from tessera.llm import toxicity
+rng = random.Random(3)
+word = lambda: "".join(rng.choices(["a", "be", "to", "é", "x"], k=rng.randint(1, 5)))
+texts = [" ".join(word() for _ in range(rng.randint(0, 60))) + (" badword" if i % 3 == 0 else "") for i in range(300)]
+model = toxicity.train(texts, [int(i % 3 == 0) for i in range(300)], rounds=2)
+together = model.scores(texts).tolist()
+assert together == [float(model.scores([t])[0]) for t in texts]
+print(together)
+"""
+    said = [subprocess.run([sys.executable, "-c", code], env=dict(os.environ, OPENBLAS_NUM_THREADS=t, OMP_NUM_THREADS=t, PYTHONHASHSEED=t, PYTHONPATH=os.getcwd()), capture_output=True, text=True, check=True).stdout for t in ("1", "8")]
+    assert said[0] == said[1]
 
 
 def test_toxicity_windows_cover_text():
@@ -166,7 +188,7 @@ def test_toxicity_gradients():
     mask[4:, 1] = 0
     y, w = np.array([1.0, 0, 1]), np.array([1.0, 2, 1])
     _, g, dx = net.gradients(x, mask, y, w)
-    for k in ("Wf", "Ub", "cf", "att", "out"):
+    for k in ("W", "U", "c", "att", "out"):
         at = tuple(0 for _ in net.p[k].shape)
         was = net.p[k][at]
         net.p[k][at] = was + 1e-3
@@ -205,9 +227,8 @@ def test_simhash_brute_force(spark):
     assert {(r.doc_id, int(r.fingerprint, 16), r.component_id) for r in got} == {(i, fps[i], want[i]) for i in fps} and len(got) == len(rows)
 
 
-@pytest.mark.parametrize("subtree", [2048, 4])
-def test_trie_self_join(spark, monkeypatch, subtree):
-    monkeypatch.setattr(simhash, "SUBTREE", subtree)
+@pytest.mark.parametrize("budget,steps", [(2, simhash.STEPS), (2, (1, 3, 20)), (1, (40,)), (3, simhash.STEPS)])
+def test_trie_self_join(spark, budget, steps):
     rng = random.Random(5)
     fps = {0, 2**64 - 1}
     for _ in range(12):
@@ -216,18 +237,18 @@ def test_trie_self_join(spark, monkeypatch, subtree):
         fps |= {c ^ (1 << b) for b in range(20)}
     fps = sorted(fps)
     df = spark.createDataFrame([(f - 2**64 if f >> 63 else f,) for f in fps], "fp long")
-    got = {tuple(sorted((r.a % 2**64, r.b % 2**64))) for r in simhash.near_links(df).collect()}
-    assert got == {(a, b) for i, a in enumerate(fps) for b in fps[i + 1 :] if (a ^ b).bit_count() <= 2}
+    got = {tuple(sorted((r.a % 2**64, r.b % 2**64))) for r in simhash.near_links(df, budget, steps).collect()}
+    assert got == {(a, b) for i, a in enumerate(fps) for b in fps[i + 1 :] if (a ^ b).bit_count() <= budget}
 
 
 def test_simhash_odd(spark, odd):
-    decisions, survivors = simhash.near_dedup(odd)
-    rows = decisions.collect()
+    rows = simhash.simhash_components(simhash.fingerprints(odd)).collect()
+    survivors = simhash.survivors(odd)
     assert len(rows) == len(ODD) and {r.fp for r in rows if r.doc_id in (3, 4, None)} == {0}
     assert {r.component_id for r in rows if r.doc_id in (3, 4, None)} == {3}
     kept = survivors.collect()
     assert survivors.columns == odd.columns and Counter(r.doc_id for r in kept) == Counter([1, 3, 5, 6, 7])
-    assert simhash.near_dedup(empty(spark))[1].count() == 0
+    assert simhash.survivors(empty(spark)).count() == 0
 
 
 def test_simhash_splits_change(spark):
@@ -237,7 +258,7 @@ def test_simhash_splits_change(spark):
     spark.createDataFrame(rows, DOCS).repartition(8).write.parquet(path)
     try:
         spark.conf.set(setting, "8")
-        survivors = simhash.near_dedup(spark.read.parquet(path))[1]
+        survivors = simhash.survivors(spark.read.parquet(path))
         spark.conf.set(setting, "1")
         assert sorted(r.doc_id for r in survivors.collect()) == list(range(0, 80, 2))
     finally:
@@ -246,7 +267,7 @@ def test_simhash_splits_change(spark):
 
 # 4
 def test_exact_odd(spark, odd):
-    decisions, survivors = exact_dedup.exact_dedup(odd)
+    decisions, survivors = exact_dedup.decisions(odd), exact_dedup.survivors(odd)
     groups = defaultdict(list)
     for i, t, *_ in ODD:
         groups["".join((t or "").split(" ")).replace("\n", "").replace("\t", "")].append((-len(t or ""), i is None, i or 0))
@@ -258,21 +279,28 @@ def test_exact_odd(spark, odd):
         best = min(rows)
         assert {r.keep_id for r in mine} == {None if best[1] else best[2]} and {r.group_size for r in mine} == {len(rows)} and sum(r.kept for r in mine) == 1
     assert survivors.columns == odd.columns and sorted(map(str, survivors.collect())) == sorted({str(r) for r in odd.collect()} & {str(r) for r in survivors.collect()})
-    assert exact_dedup.exact_dedup(empty(spark))[0].count() == 0
+    assert exact_dedup.decisions(empty(spark)).count() == 0 and exact_dedup.survivors(empty(spark)).count() == 0
 
 
-def test_trie_spills():
+@pytest.mark.parametrize("shared", [b"", b"<p>"])
+def test_trie_spills(shared):
+    """Also where all texts begin alike, and where only the rows are long."""
     rng = random.Random(1)
-    texts = [bytes(rng.choices(b"abc", k=rng.randint(0, 7))) * rng.randint(1, 3) for _ in range(3000)]
-    owner = exact_dedup.Owner(limit=200)
-    for i, t in enumerate(texts):
-        owner.add(t, (-len(t), False, i), i, 1)
-    assert owner.spilled
-    got = {texts[keep]: (keep, n, sorted(reps)) for keep, n, reps in owner.classes()}
+    texts = [(shared + bytes(rng.choices(b"abc", k=rng.randint(0, 7))) * rng.randint(1, 3)).decode() for _ in range(3000)]
+    rows = pa.RecordBatch.from_pydict({"rep": range(3000), "doc_id": range(3000), "text": texts, "other": ["y" * 100] * 3000})
     want = defaultdict(list)
     for i, t in enumerate(texts):
         want[t].append(i)
-    assert got == {t: (min(x), len(x), x) for t, x in want.items()}
+    for members in (True, False):
+        owner = exact_dedup.Owner("doc_id", "text", members, limit=20_000)
+        for i in range(0, 3000, 100):
+            owner.add(rows.slice(i, 100), [1] * 100)
+        assert owner.spilled
+        got = {}
+        for best, counts, reps in owner.groups():
+            for r, n, mine in zip(best.to_pylist(), counts, reps, strict=True):
+                got[r["text"]] = (r["doc_id"], n, sorted(mine) if members else None)
+        assert got == {t: (min(x), len(x), x if members else None) for t, x in want.items()}
 
 
 # 5
@@ -323,7 +351,6 @@ def test_token_store(spark, odd, encoding):
     from tokenizers import Tokenizer
 
     model = Tokenizer.from_file(token_store.tokenizer_path(token_store.TOKENIZER))
-    model.encode_special_tokens = True
     for docs in (odd, documents(spark), empty(spark)):
         path = new_path(spark, "store")
         token_store.write_tokens(docs, path, encoding=encoding)
@@ -339,7 +366,6 @@ def test_packing(spark, odd):
     from tokenizers import Tokenizer
 
     model = Tokenizer.from_file(token_store.tokenizer_path(packing.TOKENIZER))
-    model.encode_special_tokens = True
     for docs in (odd, documents(spark)):
         got = packing.pack_documents(docs).collect()
         pieces, sequences = defaultdict(list), defaultdict(list)
@@ -388,7 +414,6 @@ def test_chunks_of_json_tokenizers():
     alphabet = ["a", "the ", " ", "  ", "\n", "\t", "'s", "é", "é", "́", "日", "\U0001f600", "9", "!", " ", " ", "\x1c", "\x85", "\0", "Σ", "İ", "tion", "<|endoftext|>", "'", "Ab", "..", "***", ".", "ﬁ", "Å", "ǅ"]
     for name, spaced in ((token_store.TOKENIZER, True), (packing.TOKENIZER, False)):
         model = Tokenizer.from_file(token_store.tokenizer_path(name))
-        model.encode_special_tokens = True
         encoder = token_store.json_encoder(name, spaced)
         for _ in range(4000):
             t = "".join(rng.choices(alphabet, k=rng.randint(0, 30)))

@@ -1,6 +1,8 @@
 """Facts of operators on small rows."""
 
 import datetime as dt
+import json
+import random
 
 import pytest
 from hypothesis import given, settings
@@ -151,38 +153,81 @@ def test_capture_and_recall(spark):
     assert [(r.conv_id, r.memory) for r in agent_text.captures(turns).collect()] == [(1, "The API path is /api/v1/items and requires a header.\nAlways send the token with each request you make.")]
 
 
-def test_section_tree_by_headings():
+def docs_of(spark, texts, *more):
+    return spark.createDataFrame([(i, t, *[m[i] for m in more]) for i, t in enumerate(texts)], "doc_id long, text string" + ", raw string" * len(more))
+
+
+def test_sections_by_headings(spark):
     doc = "# One\nintro\n## Two\nbody two\n# Three\nbody three"
-    rows = sections.section_tree(doc)
-    assert [(r[1], r[3], r[4]) for r in rows] == [(None, "Document", 0), (0, "One", 1), (1, "Two", 2), (0, "Three", 1)]
-    assert sections.section_tree(None)[0][5:7] == (0, 0)
-
-
-@settings(max_examples=60, deadline=None)
-@given(st.text(alphabet="ab. \n#", max_size=3000), st.integers(70, 200))
-def test_section_tree_invariants(doc, limit):
-    rows = sections.section_tree(doc, max_tokens=limit)
-    assert [r[0] for r in rows] == list(range(len(rows))) and len({r[2] for r in rows}) == len(rows)
-    assert rows[0][5:7] == (0, len(doc))
-    parents = {r[1] for r in rows}
-    for r in rows:
-        assert 0 <= r[5] <= r[6] <= len(doc)
-        if r[0] and r[0] not in parents:
-            assert r[6] - r[5] < 4 * limit + 4
-
-
-def test_proposed_sections():
-    one = '{"node_id": "%s", "parent_node_id": %s, "title": "t", "start_offset": %d, "end_offset": %d, "summary": "s"}'
-    good = '```json\n{"sections": [' + one % ("a", "null", 3, 1) + "," + one % ("b", '"a"', 5, 99) + "]}\n```"
-    assert [(n.id, n.start, n.end) for n in sections.settled(sections.proposed(good, 20), 20)] == [("a", 0, 20), ("b", 5, 20)]
-    loop = '{"sections": [' + one % ("r", "null", 0, 1) + "," + one % ("a", '"b"', 0, 1) + "," + one % ("b", '"a"', 0, 1) + "]}"
-    assert sections.settled(sections.proposed(loop, 9), 9) is None
-    assert sections.proposed("no json", 9) is None
-
-
-def test_page_text():
+    rows = sections.section_rows(docs_of(spark, [doc, None, "plain"])).orderBy("doc_id", "section_no").collect()
+    assert [(r.parent_no, r.title, r.depth, r.start_offset, r.end_offset) for r in rows if r.doc_id == 0] == [(None, "Document", 0, 0, 46), (0, "One", 1, 2, 15), (1, "Two", 2, 15, 30), (0, "Three", 1, 30, 46)]
+    assert [(r.title, r.start_offset, r.end_offset) for r in rows if r.doc_id == 1] == [("Document", 0, 0)]
+    assert [(r.title, r.start_offset, r.end_offset, r.summary) for r in rows if r.doc_id == 2] == [("Document", 0, 5, "plain"), ("Section 1", 0, 5, "plain")]
+
+
+def test_section_invariants(spark):
+    """Random texts with blank lines, sentences and headings of all levels."""
+    rng, limit = random.Random(4), 70
+    texts = ["".join(rng.choices("ab. \n#", weights=(5, 5, 1, 2, 1, k % 3), k=rng.randint(0, 3000))) for k in range(40)]
+    texts += ["\n".join("#" * rng.randint(1, 6) + f" t{i}\n" + "w " * rng.randint(0, 300) for i in range(30)) for _ in range(10)]
+    found = sections.section_rows(docs_of(spark, texts), max_tokens=limit).collect()
+    by = {i: sorted((r for r in found if r.doc_id == i), key=lambda r: r.section_no) for i in range(len(texts))}
+    for i, rows in by.items():
+        assert [r.section_no for r in rows] == list(range(len(rows))) and len({r.node_id for r in rows}) == len(rows)
+        assert (rows[0].start_offset, rows[0].end_offset, rows[0].parent_no) == (0, len(texts[i]), None)
+        parents, stack = {r.parent_no for r in rows}, []
+        for r in rows:
+            assert 0 <= r.start_offset <= r.end_offset <= len(texts[i])
+            while stack and stack[-1] != r.parent_no:
+                stack.pop()  # pre-order: a parent is on the way back to the root
+            assert r.depth == len(stack) and (r.parent_no is None) == (not stack)
+            stack.append(r.section_no)
+            if r.section_no and r.section_no not in parents:
+                assert r.end_offset - r.start_offset < 4 * limit + 4
+        leaves = [r for r in rows if r.section_no and r.section_no not in parents]
+        if rows[1:] and rows[1].node_id.startswith("seq"):
+            assert "".join(texts[i][r.start_offset : r.end_offset] for r in leaves) == texts[i]
+
+
+def test_breaks():
+    """Cuts against a search from the end of the window."""
+    rng = random.Random(6)
+    for _ in range(300):
+        text = "".join(rng.choices("ab. \n", k=rng.randint(1, 120)))
+        a = rng.randrange(len(text))
+        b = rng.randint(a, len(text))
+        want = next((at + n for mark, n in (("\n\n", 2), ("\n", 1), (". ", 2)) if (at := text.rfind(mark, a, b)) > a), None)
+        assert sections.Breaks(text).last(a, b) == want
+
+
+def test_groups_of_siblings(spark):
+    """A section over the bound whose children fit is replaced by parts that hold as many of them as can be."""
+    doc = "# A\n" + "".join(f"## B{i}\n" + "x" * 90 + "\n" for i in range(6)) + "# Z\nend"
+    one = lambda n, up, a, b: {"node_id": n, "parent_node_id": up, "title": n, "start_offset": a, "end_offset": b, "summary": "s"}
+    raw = json.dumps({"sections": [one("r", None, 0, 9), one("a", "r", 0, 582), *[one(f"b{i}", "a", 4 + 97 * i, 101 + 97 * i) for i in range(6)]]})
+    rows = sections.section_rows(docs_of(spark, [doc], [raw]), proposal_col="raw", max_tokens=50).orderBy("section_no").collect()
+    assert [(r.node_id, r.depth) for r in rows] == [("r", 0), ("a-part-1", 1), ("b0", 2), ("b1", 2), ("a-part-2", 1), ("b2", 2), ("b3", 2), ("a-part-3", 1), ("b4", 2), ("b5", 2)]
+    assert [(r.start_offset, r.end_offset) for r in rows if r.node_id.startswith("a")] == [(4, 198), (198, 392), (392, 586)]
+
+
+def test_proposed_sections(spark):
+    one = lambda n, up, a=0, b=5, **more: {"node_id": n, "parent_node_id": up, "title": "t", "start_offset": a, "end_offset": b, "summary": "s"} | more
+    raws = [
+        "```json\n" + json.dumps({"sections": [one("a", None, 3, 1), one("b", "a", 5, 99)]}) + "\n```", json.dumps({"sections": [one("r", None), one("a", "b"), one("b", "a")]}), "no json", None, json.dumps({"sections": [one("a", None), one("a", None)]}),
+        json.dumps({"sections": [one("a", "gone"), one("r", None)]}), json.dumps({"sections": [one("a", None, note=1)]}), json.dumps({"sections": [one("x", None, 0, 4), one("y", None, 4, 9), one("z", "y", 2, 3)]}), json.dumps({"sections": [one(f"n{i}", f"n{i - 1}" if i else None, 1, 2) for i in range(150)]}),
+    ]
+    rows = sections.section_rows(docs_of(spark, ["k" * 20] * len(raws), raws), proposal_col="raw").orderBy("doc_id", "section_no").collect()
+    shown = {i: [(r.node_id, r.depth, r.start_offset, r.end_offset) for r in rows if r.doc_id == i] for i in range(len(raws))}
+    assert shown[0] == [("a", 0, 0, 20), ("b", 1, 5, 20)]
+    assert all(shown[i] == [("seq-root", 0, 0, 20), ("seq-0001", 1, 0, 20)] for i in (1, 2, 3, 4, 5, 6))
+    assert shown[7] == [("__document_root__", 0, 0, 20), ("x", 1, 0, 4), ("y", 1, 2, 9), ("z", 2, 2, 3)]
+    assert [d for _, d, *_ in shown[8]] == list(range(150))
+
+
+def test_page_texts(spark):
     page = "A GREAT BOOK\nOF MANY THINGS\n\nSome text here.\nCONFERENCE ON THINGS 2024\n1\n2.1\nMETHODS USED\ntext\nCONFERENCE ON THINGS 2024\npage 2\nCONFERENCE ON THINGS 2024\nend."
-    assert sections.page_text(page) == "# A GREAT BOOK OF MANY THINGS\n\nSome text here.\n### 2.1 METHODS USED\ntext\nend."
+    got = {r.doc_id: r.markdown for r in sections.page_texts(docs_of(spark, [page, None, "", "3 RESULTS\n\n\n a  b \nREFERENCES\nNOTES"])).collect()}
+    assert got == {0: "# A GREAT BOOK OF MANY THINGS\n\nSome text here.\n### 2.1 METHODS USED\ntext\nend.", 1: "", 2: "", 3: "## 3 RESULTS\n\na b\n## REFERENCES\nNOTES"}
 
 
 def test_snippets_by_tree_and_windows(spark):
