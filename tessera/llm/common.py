@@ -18,9 +18,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Bound the memory of Arrow batches by rows; wide rows (whole documents) make the default of 10,000 too large."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+def small_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
+    """Bound the memory of Arrow batches by rows; wide rows (whole documents) make the default of 10,000 too large. Every operator that uses Python
+    workers sets this for itself, so none depends on what ran before it."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -22,24 +22,60 @@ from pyspark.sql import functions as F
 from .common import small_batches, table
 
 # Fixed values of the HTML standard: elements whose content is not page text, elements without an end tag, elements inside a line.
-RAW = ("script", "style", "noscript", "template", "svg", "iframe", "textarea", "select", "head", "object", "canvas", "math")
+RAW = ("script", "style", "template", "iframe", "textarea", "select", "head")
 VOID = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr")
 INLINE = ("a", "abbr", "b", "bdi", "bdo", "br", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "input", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr")
-_RAW, _VOID, _INLINE = frozenset(RAW), frozenset(VOID), frozenset(INLINE)
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
+MATH = ("math", "mfrac", "mi", "mn", "mo", "mover", "mroot", "mrow", "ms", "mspace", "msqrt", "mstyle", "msub", "msubsup", "msup", "mtable", "mtd", "mtext", "mtr", "munder", "munderover", "semantics")
+DRAWN = ("canvas", "circle", "defs", "ellipse", "g", "line", "object", "path", "picture", "polygon", "polyline", "rect", "svg", "text", "tspan", "use")
+_RAW, _VOID, _INLINE = frozenset(RAW), frozenset(VOID), frozenset(INLINE + MATH + DRAWN)
+_NAME, _STOP, _VALUE = re.compile(r"(/?)([a-zA-Z][a-zA-Z0-9:-]*)"), re.compile("[>\"']"), re.compile(r"(?s).*=\s*$")
 _CLASS = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _WORDS, _SPACE = re.compile(r"[a-z]+"), re.compile(r"\s+")
 _CLOSES = {"p": {"p"}, "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "option": {"option"}}
 _RAW_END = {t: re.compile(rf"</{t}\s*>", re.I) for t in RAW}
+#: Raw elements that go on to the page's end where their end tag is missing; of others only the tag is left out.
+_TO_END = frozenset(("script", "style", "textarea", "iframe"))
+
+
+def next_tag(html: str, at: int, last: dict[str, int]) -> tuple[int, int, str, str, str] | None:
+    """(begin, end, slash, name, attributes) of the first tag, comment or declaration (these without a name) from a place on.
+
+    A quote after an equals sign opens a value, which may hold `>`; where it is never closed (last: where each quote is last), the tag ends at
+    the next `>`. No place is read twice, so a page takes time in proportion to its length.
+    """
+    n = len(html)
+
+    def after(mark: str, begin: int) -> int:
+        found = html.find(mark, begin)
+        return found + len(mark) if found >= 0 else n
+
+    while (begin := html.find("<", at)) >= 0:
+        for opening, closing in (("<!--", "-->"), ("<![CDATA[", "]]>"), ("<!", ">"), ("<?", ">")):
+            if html.startswith(opening, begin):
+                return begin, after(closing, begin + len(opening)), "", "", ""
+        if m := _NAME.match(html, begin + 1):
+            p = m.end()
+            while stop := _STOP.search(html, p):
+                q, p = stop[0], stop.end()
+                if q == ">":
+                    break
+                if _VALUE.match(html[max(m.end(), p - 9) : p - 1]):
+                    p = html.index(q, p) + 1 if last[q] >= p else max(p, after(">", p) - 1)
+            return begin, p if stop else n, m[1], m[2].lower(), html[m.end() : p - 1 if stop else n]
+        at = begin + 1
+    return None
 
 
 def leaf_blocks(html: str) -> list[tuple[str, tuple, int]]:
-    """(text, path, characters in links) of each block with text, in page order; path: (tag, class words) from the root down.
+    """(text, path, characters in links) of each block with text, in page order; path: own tag, tag above, all tags and all class words around.
 
     References are decoded, white space is one space, ends are trimmed. Missing end tags are supplied as browsers do for the usual
-    elements; an end tag without a beginning is ignored.
+    elements; an end tag without a beginning is ignored. Time and memory grow with the page's length, whatever its quotes and tags.
     """
-    out, stack, parts, linked, in_link, at = [], [], [], 0, 0, 0
+    none = ("none", "", frozenset(), frozenset())
+    out, stack, parts, linked, in_link, done = [], [], [], 0, 0, 0
+    opened: dict[str, int] = {}
+    endless: set[str] = set()
 
     def flush():
         nonlocal linked
@@ -47,59 +83,65 @@ def leaf_blocks(html: str) -> list[tuple[str, tuple, int]]:
             raw = "".join(parts)
             text = _SPACE.sub(" ", entities.unescape(raw) if "&" in raw else raw).strip()
             if text:
-                out.append((text, tuple(stack), linked))
+                out.append((text, stack[-1] if stack else none, linked))
             parts.clear()
         linked = 0
 
-    n = len(html)
-    while at < n:
-        m = _TAG.search(html, at)
-        end = m.start() if m else n
-        if end > at:
-            parts.append(html[at:end])
-            linked += (end - at) * (in_link > 0)
-        if not m:
-            break
-        at, name = m.end(), (m[2] or "").lower()
+    def pop():
+        opened[stack.pop()[0]] -= 1
+
+    n, last = len(html), {q: html.rfind(q) for q in "\"'"}
+    while found := next_tag(html, done, last):
+        begin, end, slash, name, attributes = found
+        if begin > done:
+            parts.append(html[done:begin])
+            linked += (begin - done) * (in_link > 0)
+        done = end
         if not name:
             continue
         if name in _INLINE:
             if name == "a":
-                in_link = max(0, in_link + (-1 if m[1] else 1)) if m[1] or not in_link else in_link
+                in_link = max(0, in_link + (-1 if slash else 1)) if slash or not in_link else in_link
             elif name == "br":
                 parts.append(" ")
             continue
         if name in _RAW:
-            if not m[1] and not m[3].endswith("/"):
-                close = _RAW_END[name].search(html, at)
-                if close or name not in ("head",):
-                    at = close.end() if close else n
+            if not slash and not attributes.endswith("/"):
+                close = None if name in endless else _RAW_END[name].search(html, end)
+                if close:
+                    done = close.end()
+                elif name in _TO_END:
+                    done = n
+                else:
+                    endless.add(name)
             continue
         flush()
         in_link = 0
-        if m[1]:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    del stack[i:]
-                    break
-        elif name not in _VOID and not m[3].endswith("/"):
+        if slash:
+            if opened.get(name):
+                while stack[-1][0] != name:
+                    pop()
+                pop()
+        elif name not in _VOID and not attributes.endswith("/"):
             closes = _CLOSES.get(name, {"p"})
             while stack and stack[-1][0] in closes:
-                stack.pop()
-            words: tuple = ()
-            if "=" in m[3]:
-                words = tuple(sorted({w for g in _CLASS.findall(m[3]) for w in _WORDS.findall("".join(g).lower())}))
-            stack.append((name, words))
+                pop()
+            own, up, around, words = stack[-1] if stack else none
+            new = {w for g in _CLASS.findall(attributes) for w in _WORDS.findall("".join(g).lower())} if "=" in attributes else set()
+            stack.append((name, own if stack else "", around if name in around else around | {name}, words if new <= words else words | new))
+            opened[name] = opened.get(name, 0) + 1
+    if done < n:
+        parts.append(html[done:])
+        linked += (n - done) * (in_link > 0)
     flush()
     return out
 
 
 def block_features(text: str, path: tuple, linked: int, place: int, count: int) -> list[str]:
-    tags = {t for t, _ in path}
-    out = ["bias", *(f"in:{t}" for t in tags), *(f"class:{w}" for _, ws in path for w in ws)]
-    out.append(f"tag:{path[-1][0]}" if path else "tag:none")
-    if len(path) > 1:
-        out.append(f"up:{path[-2][0]}>{path[-1][0]}")
+    own, up, around, classes = path
+    out = ["bias", *(f"in:{t}" for t in sorted(around)), *(f"class:{w}" for w in sorted(classes)), f"tag:{own}"]
+    if up:
+        out.append(f"up:{up}>{own}")
     n = len(text)
     out.append(f"length:{min(n.bit_length(), 10)}")
     out.append(f"links:{min(4, 5 * linked // max(n, 1))}")

@@ -1,9 +1,13 @@
 """Operator 1: embedding near-dedup by Euclidean p-stable hashing.
 
 A vector is normalised (double precision) and hashed in L tables; a table's bucket is the tuple of K random Gaussian
-projections, shifted and cut into steps of WIDTH. Vectors that share a bucket are compared exactly. Between normalised vectors
-cosine >= t means distance <= sqrt(2 - 2 t), from which the chance p to agree in one projection follows; K grows with the
-logarithm of the number of vectors, so that a bucket holds about BUCKET unrelated ones at any size, and L is what RECALL needs.
+projections, shifted and cut into steps of WIDTH. Between normalised vectors cosine >= t means distance <= sqrt(2 - 2 t), from which
+the chance p to agree in one projection follows; K grows with the logarithm of the number of vectors, so that a bucket holds about BUCKET
+unrelated ones at any size, and L is what RECALL needs.
+
+Vectors are written once; what is dealt to buckets in each of the L tables is a number and a sketch of 128 signs. Vectors of a bucket whose
+sketches differ in far more bits than vectors at that cosine can (SPREAD standard deviations above the mean: one in 10^14 such pairs) are no
+pair, so the vectors themselves go only to buckets where they have a likely neighbour, and are compared there exactly.
 
 Exact copies are one vector with a weight. A pair counts in the first table that buckets it together, so links are
 counted once without pairs ever being emitted: each comparison returns, for each vector, its number of links and the smallest
@@ -22,7 +26,14 @@ from pyspark.sql import functions as F
 from .common import connected_components, shuffle_partitions, small_batches, table, written
 
 COSINE, WIDTH, RECALL, BUCKET, SEED = 0.95, 2.0, 0.99, 8, 7
-BLOCK = 512
+BLOCK, SIGNS, SPREAD = 512, 128, 8
+KEYS = ("t", "dim", "bucket", "i", "j")
+
+
+def sketch_bits(cosine: float) -> int:
+    """Differing signs of two vectors at this cosine at most."""
+    p = math.acos(max(-1.0, min(1.0, cosine))) / math.pi
+    return math.ceil(SIGNS * p + SPREAD * math.sqrt(SIGNS * p * (1 - p)))
 
 
 def collision(distance: float, width: float = WIDTH) -> float:
@@ -45,12 +56,17 @@ class Hasher:
     def _for(self, dim: int):
         if dim not in self.made:
             rng = np.random.default_rng((self.seed, dim))
-            self.made[dim] = rng.standard_normal((dim, self.k * self.n)), rng.uniform(0, WIDTH, self.k * self.n), rng.integers(1, 2**63, (self.k, 1), dtype=np.uint64) | np.uint64(1)
+            planes = np.random.default_rng((self.seed, dim, 1)).standard_normal((dim, SIGNS))
+            self.made[dim] = rng.standard_normal((dim, self.k * self.n)), rng.uniform(0, WIDTH, self.k * self.n), rng.integers(1, 2**63, (self.k, 1), dtype=np.uint64) | np.uint64(1), planes
         return self.made[dim]
 
+    def sketches(self, unit: np.ndarray) -> np.ndarray:
+        """(rows, SIGNS / 8) bytes: on which side of random planes each vector lies."""
+        return np.packbits(unit @ self._for(unit.shape[1])[3] > 0, axis=1)
+
     def buckets(self, unit: np.ndarray) -> np.ndarray:
         """(rows, L) int32 bucket numbers: a hash of each table's K steps. That two buckets may share a number costs a comparison, no link."""
-        a, b, odd = self._for(unit.shape[1])
+        a, b, odd, _ = self._for(unit.shape[1])
         steps = np.floor((unit @ a + b) / WIDTH).astype(np.int64).astype(np.uint64).reshape(len(unit), self.n, self.k)
         h = (steps * odd[:, 0]).sum(axis=2, dtype=np.uint64)
         h ^= h >> np.uint64(29)
@@ -67,20 +83,58 @@ def unit_rows(x: np.ndarray) -> np.ndarray:
 
 def _hash_rows(batches, hasher: Hasher):
     for batch in batches:
-        reps, n, vectors = (batch.column(c).to_pylist() for c in ("rep", "n", "embedding"))
+        vectors = batch.column("embedding").to_pylist()
         by_dim: dict[int, list[int]] = {}
         for i, v in enumerate(vectors):
             by_dim.setdefault(len(v), []).append(i)
         for dim, at in by_dim.items():
             x = np.array([vectors[i] for i in at], np.float64)
-            h = hasher.buckets(unit_rows(x))
-            raw = [r.tobytes() for r in x]
-            keys = [r.tobytes() for r in np.ascontiguousarray(h)]
-            for t in range(hasher.n):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(at), t, "i4")), pa.array(np.full(len(at), dim, "i4")), pa.array(np.ascontiguousarray(h[:, t])), pa.array([reps[i] for i in at], pa.int64()), pa.array([n[i] for i in at], pa.int64()), pa.array(raw, pa.binary()), pa.array(keys, pa.binary())],
-                    names=["t", "dim", "bucket", "rep", "n", "vector", "buckets"],
-                )
+            unit = unit_rows(x)
+            h = hasher.buckets(unit)
+            buckets = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1, dtype="i4") * hasher.n), pa.array(h.ravel()))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("rep").take(pa.array(at)), batch.column("n").take(pa.array(at)), pa.array(np.full(len(at), dim, "i4")), pa.array([r.tobytes() for r in x], pa.binary()), buckets, pa.array([r.tobytes() for r in hasher.sketches(unit)], pa.binary())],
+                names=["rep", "n", "dim", "vector", "buckets", "sketch"],
+            )
+
+
+def _tasks(batches):
+    """Rows come sorted by KEYS; the rows of each task, one table after the other."""
+    held = None
+    for batch in batches:
+        part = pa.Table.from_batches([batch])
+        part = part if held is None else pa.concat_tables([held, part])
+        change = np.zeros(max(0, len(part) - 1), bool)
+        for k in KEYS:
+            c = part.column(k).to_numpy()
+            change |= c[1:] != c[:-1]
+        ends = [0, *(np.flatnonzero(change) + 1).tolist()]
+        for a, b in zip(ends, ends[1:], strict=False):
+            if b - a > 1:
+                yield part.slice(a, b - a)
+        held = part.slice(ends[-1])
+    if held is not None and len(held) > 1:
+        yield held
+
+
+def _fixed(column: pa.ChunkedArray, dtype) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype).reshape(len(column), -1)
+
+
+def _likely(batches, most: int):
+    """The rows whose sketch is close to another one's of their task."""
+    for rows in _tasks(batches):
+        x, side = _fixed(rows.column("sketch"), np.uint64), rows.column("side").to_numpy()
+        near = np.zeros((len(rows), len(rows)), np.uint8)
+        for c in range(x.shape[1]):
+            near += np.bitwise_count(x[:, c, None] ^ x[None, :, c])
+        near = near <= most
+        np.fill_diagonal(near, False)
+        if rows.column("i")[0] != rows.column("j")[0]:
+            near &= side[:, None] != side[None, :]
+        if (found := near.any(axis=1)).any():
+            (out,) = rows.filter(pa.array(found)).drop_columns(["sketch"]).combine_chunks().to_batches()
+            yield out
 
 
 def local_components(ids: np.ndarray, adjacent: np.ndarray) -> np.ndarray:
@@ -94,44 +148,34 @@ def local_components(ids: np.ndarray, adjacent: np.ndarray) -> np.ndarray:
 
 
 def _compare(batches, cosine: float):
-    """Rows are sorted by task (t, dim, bucket, i, j): one block (i = j) or two, told apart by `side`."""
-
-    def done(key, rows):
-        t, _, _, i, j = key
-        rep, n = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64)
-        unit = unit_rows(np.array([np.frombuffer(r[2]) for r in rows]))
-        h = np.array([np.frombuffer(r[3], np.int32) for r in rows])
-        links = unit @ unit.T >= cosine
-        np.fill_diagonal(links, False)
-        for earlier in range(t):
-            links &= h[:, earlier, None] != h[None, :, earlier]
-        if i != j:
-            side = np.array([r[4] for r in rows])
-            links &= side[:, None] != side[None, :]
-        count = links @ n
-        if at := np.flatnonzero(count).tolist():
-            roots = local_components(rep, links)
-            for x in at:
-                yield int(rep[x]), int(count[x]), int(roots[x])
+    """Each vector's links of a task (one block, i = j, or two, told apart by `side`) that no earlier table has, and the least vector they lead to."""
+    found: list = []
 
-    def send(found):
+    def send():
         cols = list(zip(*found, strict=True)) or [[]] * 3
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["rep", "links", "root"])
 
-    key, rows, found = None, [], []
-    for batch in batches:
-        for *k, rep, n, vector, buckets, side in zip(*(batch.column(c).to_pylist() for c in ("t", "dim", "bucket", "i", "j", "rep", "n", "vector", "buckets", "side")), strict=True):
-            if k != key:
-                if len(rows) > 1:
-                    found.extend(done(key, rows))
-                key, rows = k, []
-            rows.append((rep, n, vector, buckets, side))
+    for rows in _tasks(batches):
+        h, side = _fixed(rows.column("buckets"), np.int32), rows.column("side").to_numpy()
+        new = ~np.eye(len(rows), dtype=bool)
+        if rows.column("i")[0] != rows.column("j")[0]:
+            new &= side[:, None] != side[None, :]
+        for earlier in range(rows.column("t")[0].as_py()):
+            new &= h[:, earlier, None] != h[None, :, earlier]
+        some = new.any(axis=1)  # only these are multiplied
+        if not some.any():
+            continue
+        rep, n = rows.column("rep").to_numpy()[some], rows.column("n").to_numpy()[some]
+        unit = unit_rows(_fixed(rows.column("vector"), np.float64)[some])
+        links = (unit @ unit.T >= cosine) & new[np.ix_(some, some)]
+        count = links @ n
+        if at := np.flatnonzero(count).tolist():
+            roots = local_components(rep, links)
+            found += [(int(rep[x]), int(count[x]), int(roots[x])) for x in at]
         if len(found) >= 5000:
-            yield send(found)
+            yield send()
             found = []
-    if len(rows) > 1:
-        found.extend(done(key, rows))
-    yield send(found)
+    yield send()
 
 
 def near_duplicates(vectors: DataFrame, cosine: float = COSINE, recall: float = RECALL, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -141,7 +185,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, recall: float =
     Repeated rows are copies and link. A row whose id is null is a component of its own without a number (component_id null, kept true).
     """
     spark = vectors.sparkSession
-    small_batches(spark)
+    small_batches(spark, 1024)
     n = shuffle_partitions(spark)
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("embedding"))
     bad = F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
@@ -150,13 +194,18 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, recall: float =
     good = rows.filter("embedding is not null")
     reps = written(good.groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")), "vectors")
     hasher = Hasher(*tables_for(reps.count(), cosine, recall))
-    hashed = written(reps.repartition(n).mapInArrow(lambda it: _hash_rows(it, hasher), "t int, dim int, bucket int, rep long, n long, vector binary, buckets binary"), "hashed", compression="zstd")
-    large = hashed.groupBy("t", "dim", "bucket").agg(F.count("*").alias("m")).filter("m > 1").select("t", "dim", "bucket", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
-    placed = hashed.join(large, ["t", "dim", "bucket"]).withColumn("own", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
+    hashed = written(reps.repartition(n).mapInArrow(lambda it: _hash_rows(it, hasher), "rep long, n long, dim int, vector binary, buckets array<int>, sketch binary"), "hashed")
+    dealt = hashed.select("rep", "dim", "sketch", F.posexplode("buckets").alias("t", "bucket"))
+    large = dealt.groupBy("t", "dim", "bucket").agg(F.count("*").alias("m")).filter(F.col("m") > BLOCK).select("t", "dim", "bucket", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
+    placed = dealt.join(large, ["t", "dim", "bucket"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
     tasks = placed.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    tasks = tasks.select("t", "dim", "bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "rep", "n", "vector", "buckets", (F.col("own") <= F.col("other")).alias("side"))
-    keys = ["t", "dim", "bucket", "i", "j"]
-    found = written(tasks.repartition(n, *keys).sortWithinPartitions(*keys).mapInArrow(lambda it: _compare(it, cosine), "rep long, links long, root long"), "links")
+    tasks = tasks.select("t", "dim", "bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "rep", "sketch", (F.col("own") <= F.col("other")).cast("int").alias("side"))
+    types = "t int, dim int, bucket int, i int, j int, rep long, side int"
+    likely = tasks.repartition(n, *KEYS).sortWithinPartitions(*KEYS).mapInArrow(lambda it: _likely(it, sketch_bits(cosine)), types)
+    likely = written(likely, "likely")
+    buckets = F.unhex(F.array_join(F.transform("buckets", lambda x: F.lpad(F.hex(x.cast("long").bitwiseAND(0xFFFFFFFF)), 8, "0")), ""))
+    close = likely.join(hashed.select("rep", "n", "vector", buckets.alias("buckets")), "rep")
+    found = written(close.repartition(n, *KEYS).sortWithinPartitions(*KEYS).mapInArrow(lambda it: _compare(it, cosine), "rep long, links long, root long"), "links")
     components = connected_components(found.select(F.col("rep").alias("u"), F.col("root").alias("v")))
     counts = found.groupBy("rep").agg(F.sum("links").alias("links"))
     named = reps.join(counts, "rep", "left").join(components, F.col("rep") == F.col("node"), "left")

@@ -298,8 +298,10 @@ class _Words:
         self.all = sorted(set().union(*docs)) or ["_"]
         number = {w: i for i, w in enumerate(self.all)}
         self.docs = [np.array([number[w] for w in d], np.int64) for d in docs]
-        self.grams, self.starts = gram_buckets(self.all)
-        self.sizes = np.diff(np.append(self.starts, len(self.grams)))
+        parts = [gram_buckets(self.all[i : i + 10_000]) for i in range(0, len(self.all), 10_000)]
+        self.grams = np.concatenate([g for g, _ in parts])
+        self.sizes = np.concatenate([np.diff(np.append(starts, len(g))) for g, starts in parts])
+        self.starts = np.cumsum(self.sizes) - self.sizes
         self.row = np.array([model.vocabulary.get(w, -1) for w in self.all])
 
     def mean(self, table: np.ndarray) -> np.ndarray:
@@ -331,7 +333,8 @@ def train(texts: list[str], labels: list[int], rounds: int = ROUNDS, epochs: int
     if len(set(labels)) < 2:
         model.constant = float(y[0]) if len(y) else 0.0
         return model
-    rng, docs = np.random.default_rng(seed), [words_of(t) for t in texts]
+    rng, one = np.random.default_rng(seed), {}
+    docs = [[one.setdefault(w, w) for w in words_of(t)] for t in texts]
     word_odds, gram_odds, frequent = _log_odds(docs, y)
     model.vocabulary = {w: i for i, w in enumerate(frequent)}
     p = model.net.p
@@ -347,8 +350,12 @@ def train(texts: list[str], labels: list[int], rounds: int = ROUNDS, epochs: int
             rate = np.maximum(0, [word_odds.get(w, 0.0) for w in words.all]) + np.maximum(0, words.mean(gram_odds))
             rated = [np.stack([np.sort(rate[d[b : b + WINDOW]])[-3:].sum() for b in bs]) for d, bs in zip(words.docs, begins, strict=True)]
         else:
+            rated = []
+            for i in range(0, len(docs), 32):
+                if i == 0 or model.n > 30_000:
+                    model._start()  # the driver's memory stays small
+                rated += model.window_logits(docs[i : i + 32])
             model._start()
-            rated = [x for i in range(0, len(docs), 64) for x in model.window_logits(docs[i : i + 64])]
         best = [int(np.argmax(np.round(x, 4))) for x in rated]  # of windows that differ by rounding only, the first
         picks = [(i, begins[i][b]) for i, b in enumerate(best)] + [(i, begins[i][rng.integers(len(begins[i]))]) for i in range(len(docs)) if y[i] == 0]
         weight1 = max(1.0, 0.4 * sum(y[i] == 0 for i, _ in picks) / max(1.0, y.sum()))
