@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm import exact_dedup, packing, simhash, toxicity
-from tessera.llm.common import table, written
+from tessera.llm.common import remove, table, temporary, written
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,12 +21,12 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents that are equal but for white space, the longest original."""
-    return exact_dedup.exact_dedup(docs)[1]
+    return exact_dedup.survivors(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of linked fingerprints, the document with the smallest doc_id."""
-    return simhash.near_dedup(docs)[1]
+    return simhash.survivors(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,7 +39,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = None
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), name)
+        with temporary() as keep:  # a stage's side tables go once its result is written
+            after = keep(written(stage(spark, table(spark, sf_dir, "documents") if docs is None else docs, sf_dir), name, compression="zstd"))
+        if docs is not None:
+            remove(docs)
+        docs = after
     return docs
