@@ -14,6 +14,7 @@ rates highest and a random one. The first round's windows are rated by log-odds
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections.abc import Iterator
 
@@ -414,9 +415,9 @@ def held_out(doc_id) -> F.Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN, max_chars: int = MAX_CHARS) -> tuple[list[str], list[int]]:
-    """At most so many labelled texts of each kind outside the held-out third, with at most max_chars characters together for each kind, in an
-    order that only doc_id decides; a text over what is left of that bound is passed over.
+def sample(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN, max_chars: int = MAX_CHARS) -> DataFrame:
+    """doc_id, text, toxic: at most so many labelled texts of each kind outside the held-out third, with at most max_chars characters together for
+    each kind, chosen in an order that only doc_id decides; a text over what is left of that bound is passed over.
 
     Rows without a label or doc_id are not used; a doc_id labelled twice counts as toxic if one label says so; of several texts of
     one doc_id the least one counts.
@@ -424,24 +425,34 @@ def training_sample(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOX
     known = labels.select(F.col("doc_id").cast("long"), F.col("toxic").cast("int")).filter("doc_id is not null and toxic in (0, 1)")
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).filter(~held_out(F.col("doc_id"))).withColumn("draw", F.xxhash64("doc_id"))
     texts = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    sizes = texts.groupBy("doc_id").agg(F.max(F.length("text")).alias("size"))
-    known = known.join(sizes, "doc_id")
-    label = {}
+    known = known.join(texts.groupBy("doc_id").agg(F.max(F.length("text")).alias("size")), "doc_id")
+    chosen: dict[int, list[int]] = {}
     for toxic, most in ((1, max_toxic), (0, max_clean)):
-        left = max_chars
-        for r in known.filter(F.col("toxic") == toxic).orderBy("draw", "doc_id").limit(most).collect():  # short rows
+        left, chosen[toxic] = max_chars, []
+        for r in known.filter(F.col("toxic") == toxic).orderBy("draw", "doc_id").limit(most).select("doc_id", "size").collect():  # short rows
             if r["size"] <= left:
                 left -= r["size"]
-                label[r.doc_id] = toxic
-    if not label:
-        return [], []
-    found = texts.filter(F.col("doc_id").isin(list(label))).groupBy("doc_id").agg(F.min("text").alias("text"))
-    rows = sorted(map(tuple, found.collect()))
-    return [t for _, t in rows], [label[i] for i, _ in rows]
+                chosen[toxic].append(r.doc_id)
+    found = texts.filter(F.col("doc_id").isin(chosen[1] + chosen[0])).groupBy("doc_id").agg(F.min("text").alias("text"))
+    return found.withColumn("toxic", F.col("doc_id").isin(chosen[1]).cast("int"))
+
+
+def training_sample(docs: DataFrame, labels: DataFrame, **bounds: int) -> tuple[list[str], list[int]]:
+    """sample() as lists, by doc_id."""
+    rows = sorted(map(tuple, sample(docs, labels, **bounds).collect()))
+    return [t for _, t, _ in rows], [y for _, _, y in rows]
+
+
+def _train(batches):
+    rows = sorted(r for b in batches for r in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "toxic")), strict=True))
+    yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train([t for _, t, _ in rows], [y for *_, y in rows]))], pa.binary())], names=["model"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, **bounds: int) -> ToxicityModel:
-    return train(*training_sample(docs, labels, **bounds))
+    """A model of the bounded sample, trained in one task, which runs again where its executor is lost; the driver gets the model alone."""
+    small_batches(docs.sparkSession)
+    made = sample(docs, labels, **bounds).coalesce(1).mapInArrow(_train, "model binary").collect()
+    return pickle.loads(made[0].model) if made else train([], [])
 
 
 def score_documents(docs: DataFrame, model: ToxicityModel, text_col: str = "text", out_col: str = "score") -> DataFrame:
