@@ -75,6 +75,11 @@ def summary(text: Column, fallback: Column) -> Column:
     return F.when(F.coalesce(flat, F.lit("")) == "", fallback).otherwise(F.left(flat, F.lit(200)))
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value computed once, however often body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def positions(text: Column, words: list[str]) -> Column:
     """Where any of some literal words begins (from 0), overlapping ones too: the text is cut before each of them, in one pass."""
     if not words:
@@ -83,7 +88,7 @@ def positions(text: Column, words: list[str]) -> Column:
     begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
     step = lambda s, piece: F.struct((s["at"] + F.length(piece)).alias("at"), F.array_append(s["out"], s["at"]).alias("out"))
     cuts = F.aggregate(F.split(text, f"(?={any_of})"), begin, step, lambda s: s["out"])
-    return F.when(text.rlike(f"^(?:{any_of})"), cuts).otherwise(F.slice(cuts, F.lit(2), F.greatest(F.lit(0), F.size(cuts) - 1)))
+    return F.slice(cuts, F.when(text.rlike(f"^(?:{any_of})"), 1).otherwise(2), F.lit(2**30))
 
 
 def occurrences(text: Column, keyword: str) -> Column:
@@ -134,3 +139,18 @@ def keyword_groups(text: Column) -> Column:
     parsed = F.from_json(F.regexp_extract(text, r"(?s)(\[.*\])", 1), "array<array<string>>")
     groups = F.transform(parsed, lambda g: F.filter(F.transform(g, lambda t: F.lower(F.trim(t))), lambda t: F.length(t) >= 2))
     return F.coalesce(F.array_distinct(F.filter(groups, lambda g: F.size(g) > 0)), F.array().cast("array<array<string>>"))
+
+
+def flag(metadata: Column, key: str) -> Column:
+    """A flag in metadata that is JSON text; false where it is missing or no JSON."""
+    return F.coalesce(F.get_json_object(metadata, f"$.{key}") == "true", F.lit(False))
+
+
+def iso8601(ts: Column) -> Column:
+    """A time in the session's zone with its offset."""
+    return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ssxxx")
+
+
+def holds_all(whole: Column, part: Column) -> Column:
+    """Every element of part is in whole."""
+    return F.size(F.array_except(part, whole)) == 0

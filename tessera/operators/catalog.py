@@ -86,15 +86,32 @@ def top_templates(templates: DataFrame, most: int = 5) -> DataFrame:
     return kept.select("context_id", F.array_join(F.transform("t", lambda x: x["id"].cast("string")), ",").alias("templates"))
 
 
-def sql_context(contexts: DataFrame, query: str, policies: DataFrame, teams: DataFrame, counters: DataFrame, agent: str, catalog: str, top_k: int = 5) -> DataFrame:
-    """I16: tables for a question: a search of the lake, kept where the uri is of the catalog, the first top_k, each once; masks apply to l0 and l1.
-    Access is decided by the search; what it denies is not there."""
+def described(found: DataFrame, metadata: DataFrame | None = None, joins: DataFrame | None = None, templates: DataFrame | None = None) -> DataFrame:
+    """Tables (uri, field_masks, ...) with ddl (masked), joins and templates where there are such, by table_name."""
+    out = found.withColumn("table_name", text.last_segment(F.col("uri")))
+    for extra in (metadata, joins, templates):
+        if extra is not None:
+            out = out.join(extra, "table_name", "left")
+    return out.withColumn("ddl", text.masked(F.col("ddl"), F.col("field_masks"))) if metadata is not None else out
+
+
+def sql_context(contexts: DataFrame, query: str, policies: DataFrame, teams: DataFrame, counters: DataFrame, agent: str, catalog: str, top_k: int = 5, metadata: DataFrame | None = None, joins: DataFrame | None = None, templates: DataFrame | None = None) -> DataFrame:
+    """Tables for a question: a search of the lake, kept where the uri is of the catalog, the first top_k in the search's order (`place`);
+    with their ddl, joins and templates (by table_name). Masks apply to l0, l1 and ddl. Access is decided by the search; what it denies is not there."""
     found = retrieval.search(contexts, query, policies, teams, counters, agent, top_k=min(5 * top_k, retrieval.MAX_TOP_K), scopes=["datalake"], types=["table_schema"])
-    mine = found.filter(F.col("uri").startswith(f"ctx://datalake/{catalog}/"))
-    return mine.orderBy("place").limit(top_k)
+    mine = found.filter(F.col("uri").startswith(f"ctx://datalake/{catalog}/")).orderBy("place").limit(top_k)
+    return described(mine, metadata, joins, templates)
+
+
+def table_detail(contexts: DataFrame, policies: DataFrame, teams: DataFrame, agent: str, metadata: DataFrame, joins: DataFrame | None = None, templates: DataFrame | None = None) -> DataFrame:
+    """Tables of the lake that the agent may read, with what is known of them; a table without metadata is left out."""
+    return described(access.readable(lake_tables(contexts), policies, teams, agent).join(metadata.select(F.col("table_name").alias("__t")), F.col("__t") == text.last_segment(F.col("uri")), "left_semi"), metadata, joins, templates)
+
+
+def lake_tables(contexts: DataFrame) -> DataFrame:
+    return contexts.filter("scope = 'datalake' and context_type = 'table_schema' and status not in ('archived', 'deleted')")
 
 
 def table_list(contexts: DataFrame, policies: DataFrame, teams: DataFrame, agent: str) -> DataFrame:
     """Tables of the lake that the agent may read, by name."""
-    lake = contexts.filter("scope = 'datalake' and context_type = 'table_schema' and status not in ('archived', 'deleted')")
-    return access.readable(lake, policies, teams, agent).select(text.last_segment(F.col("uri")).alias("table_name"), "uri", "status").orderBy("table_name")
+    return access.readable(lake_tables(contexts), policies, teams, agent).select(text.last_segment(F.col("uri")).alias("table_name"), "uri", "status").orderBy("table_name")

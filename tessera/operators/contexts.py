@@ -30,14 +30,15 @@ def validity(uri: Column, scope: Column, owner: Column) -> Column:
 
 
 def created(commands: DataFrame, existing: DataFrame) -> DataFrame:
-    """Create commands (seq, account_id, uri, scope, owner_space, ...) with `error`: 400 invalid, 409 key taken by a row or by an
-    earlier command; null: created as version 1."""
+    """Create commands (seq, account_id, uri, scope, owner_space, ...) with `error`: 400 invalid, 403 where a column `writable` says no (L03), 409 key
+    taken by a row or by an earlier command; null: created as version 1."""
     key = ["account_id", "uri"]
     first = commands.groupBy(*key).agg(F.min("seq").alias("__first"))
     taken = existing.select(*key, F.lit(True).alias("__taken")).distinct()
     checked = commands.join(first, key, "left").join(taken, key, "left")
     bad = validity(F.col("uri"), F.col("scope"), F.col("owner_space")).isNotNull()
-    return checked.withColumn("error", F.when(bad, 400).when(F.col("__taken") | (F.col("seq") != F.col("__first")), 409)).drop("__first", "__taken")
+    denied = ~F.coalesce("writable", F.lit(False)) if "writable" in commands.columns else F.lit(False)
+    return checked.withColumn("error", F.when(bad, 400).when(denied, 403).when(F.col("__taken") | (F.col("seq") != F.col("__first")), 409)).drop("__first", "__taken")
 
 
 def updated(contexts: DataFrame, commands: DataFrame) -> DataFrame:
@@ -68,6 +69,48 @@ def updated(contexts: DataFrame, commands: DataFrame) -> DataFrame:
     return out.select(*contexts.columns, "errors")
 
 
+def refusals(contexts: DataFrame, commands: DataFrame) -> DataFrame:
+    """Commands (seq, id, op, expected, sets_status) against the rows as they are, with `error`.
+
+    428 an update without an expected version, 400 one that sets the status, 404 no such row or a deleted one, 403 where a column `writable` of contexts says
+    no (L03), 400 an update of a skill, 409 another version.
+    """
+    rows = contexts.select("id", F.col("version").alias("__version"), F.col("status").alias("__status"), F.col("context_type").alias("__type"), (F.col("writable") if "writable" in contexts.columns else F.lit(True)).alias("__writes"))
+    update = F.col("op") == "update"
+    missing = F.col("__status").isNull() | (F.col("__status") == "deleted")
+    error = F.when(update & F.col("expected").isNull(), 428).when(update & F.col("sets_status"), 400).when(missing, 404).when(~F.col("__writes"), 403).when(update & (F.col("__type") == "skill"), 400).when(F.col("expected") != F.col("__version"), 409)
+    return commands.join(rows, "id", "left").withColumn("error", error).drop("__version", "__status", "__type", "__writes")
+
+
+def events_of(commands: DataFrame, change_type: str) -> DataFrame:
+    """The change events of accepted commands (error is null): seq, uri, change_type."""
+    return commands.filter("error is null").select("seq", "uri", F.lit(change_type).alias("change_type"))
+
+
+def levels_written(contexts: DataFrame, commands: DataFrame) -> DataFrame:
+    """Contexts after level writes (seq, id, level, content): the latest of each level counts, each write adds 1 to the version; deleted
+    rows stay as they are."""
+    n = commands.groupBy("id").agg(F.count("*").cast("int").alias("__n"), *[F.max_by(F.when(F.col("level") == k, F.col("content")), F.when(F.col("level") == k, F.col("seq"))).alias(f"__{k}") for k in LEVELS])
+    out = contexts.join(n, "id", "left")
+    live = (F.col("status") != "deleted") & F.col("__n").isNotNull()
+    changed = {c: F.when(live, F.coalesce(f"__{k}", c)).otherwise(F.col(c)) for k, c in LEVELS.items()}
+    return out.withColumns(changed | {"version": F.when(live, F.col("version") + F.col("__n")).otherwise(F.col("version")).cast("int")}).select(*contexts.columns)
+
+
+def level2(contexts: DataFrame, files: DataFrame) -> DataFrame:
+    """Id, content, error: L2 of contexts from their file (file_path; files: path, text) where they have one, else from the row; 404 for a file that is
+    missing."""
+    joined = contexts.join(files.select(F.col("path").alias("file_path"), F.col("text").alias("__file"), F.lit(True).alias("__there")), "file_path", "left")
+    gone = F.col("file_path").isNotNull() & F.col("__there").isNull()
+    return joined.select("id", F.when(F.col("file_path").isNotNull(), F.col("__file")).otherwise(F.coalesce("l2_content", F.lit(""))).alias("content"), F.when(gone, 404).alias("error"))
+
+
+def memories_added(commands: DataFrame) -> DataFrame:
+    """Memories (agent_id, name, text) as rows of the agent's own space, version 1, with their uri and levels."""
+    uri = F.concat(F.lit("ctx://agent/"), "agent_id", F.lit("/memories/"), "name")
+    return commands.select(uri.alias("uri"), F.lit("memory").alias("context_type"), F.lit("agent").alias("scope"), F.col("agent_id").alias("owner_space"), F.lit(1).alias("version"), F.lit("active").alias("status"), text.level0(F.col("text"), F.lit("memory")).alias("l0_content"), text.level1(F.col("text")).alias("l1_content"), F.col("text").alias("l2_content"))
+
+
 def stat(contexts: DataFrame, uri: str) -> DataFrame:
     """The row of a uri without its contents."""
     return contexts.filter((F.col("uri") == uri) & (F.col("status") != "deleted")).drop(*LEVELS.values())

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import small_side
+
 #: (from, to): what the transition does. Others are rejected.
 TRANSITIONS = {("active", "stale"), ("stale", "active"), ("stale", "archived"), ("archived", "active"), ("archived", "deleted")}
 
@@ -27,7 +29,7 @@ def sweep(contexts: DataFrame, policies: DataFrame, changes: DataFrame, now: Col
     is archived is not deleted.
     """
     tenants = changes.select("account_id").distinct().withColumn("__swept", F.lit(True))
-    joined = contexts.join(policies, ["account_id", "context_type", "scope"], "left").join(F.broadcast(tenants), "account_id", "left")
+    joined = contexts.join(small_side(policies), ["account_id", "context_type", "scope"], "left").join(small_side(tenants), "account_id", "left")
     swept = F.coalesce("__swept", F.lit(False))
     status = (
         F.when(swept & (F.col("status") == "active") & _older("last_accessed_at", "stale_after_days", now), "stale")

@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scores, text
-from . import access
+from ..sources.shared import settled
+from . import access, longdoc
 
 OVER_RETRIEVE, MAX_TOP_K = 3, 100
 HIDDEN = ("archived", "deleted")
@@ -85,15 +86,22 @@ def governed(pool: DataFrame, policies: DataFrame, teams: DataFrame, agent: str,
     seen = access.readable(pool, policies, teams, agent)
     kept = seen.orderBy("place").limit(top_k)
     out = _ranked(kept.withColumnRenamed("place", "__was"), F.col("__was")).drop("__was")
-    return out.withColumns({c: text.masked(F.col(c), F.col("field_masks")) for c in ("l0_content", "l1_content")})
+    return out.withColumns({c: text.masked(F.col(c), F.col("field_masks")) for c in ("l0_content", "l1_content", "l2_content", "snippet") if c in out.columns})
 
 
-def search(contexts: DataFrame, query: str, policies: DataFrame, teams: DataFrame, counters: DataFrame, agent: str, top_k: int = 10, query_vector: list[float] | None = None, vectors: DataFrame | None = None, scopes=None, types=None, with_stale: bool = True) -> DataFrame:
-    """The pipeline. Vector candidates if there is a query vector, else keyword candidates; BM25 then replaces their score."""
+def search(contexts: DataFrame, query: str, policies: DataFrame, teams: DataFrame, counters: DataFrame, agent: str, top_k: int = 10, query_vector: list[float] | None = None, vectors: DataFrame | None = None, scopes=None, types=None, with_stale: bool = True, long_texts: DataFrame | None = None, sections: DataFrame | None = None) -> DataFrame:
+    """The pipeline. Vector candidates if there is a query vector, else keyword candidates; BM25 then replaces their score.
+
+    long_texts (id, text) are documents that are kept as files (I06); with their sections they give a snippet, and its worth changes the score.
+    L2 is masked like the other levels (I11, I13).
+    """
     top_k = min(top_k, MAX_TOP_K)
     live = searchable(contexts, scopes, types, with_stale)
     pool = vector_candidates(live, vectors, query_vector, top_k * OVER_RETRIEVE) if query_vector else keyword_candidates(live, query, top_k * OVER_RETRIEVE)
-    return governed(adjusted(bm25(pool, query), counters), policies, teams, agent, top_k)
+    pool = bm25(pool, query)
+    if long_texts is not None:
+        pool = settled(longdoc.snippets(pool, long_texts, sections, query))  # a few hundred rows, each of which took long
+    return governed(adjusted(pool, counters), policies, teams, agent, top_k)
 
 
 def grep(contexts: DataFrame, query: str, policies: DataFrame, teams: DataFrame, counters: DataFrame, agent: str, **options) -> DataFrame:
@@ -106,7 +114,23 @@ def access_log(results: DataFrame, now: Column) -> DataFrame:
     return results.select(F.col("id").alias("context_id"), now.alias("accessed_at"))
 
 
+def audit_rows(results: DataFrame, retrieval_id: str, agent: str, query: str, now: Column) -> DataFrame:
+    """The audit rows of one search: what was returned, by place, under the retrieval's id."""
+    return results.select(F.lit(retrieval_id).alias("retrieval_id"), F.lit(agent).alias("actor"), F.lit("search").alias("action"), F.col("uri").alias("resource_uri"), F.lit("success").alias("result"), F.lit(query[:200]).alias("query"), "place", now.alias("ts"))
+
+
 def missing_vectors(contexts: DataFrame, vectors: DataFrame, most: int = 100) -> DataFrame:
     """Up to `most` active or stale contexts with an l0 and without a vector, smallest ids first."""
     have = vectors.filter("embedding is not null").select(F.col("vec_id").alias("id"))
     return contexts.filter("l0_content is not null and status in ('active', 'stale')").join(have, "id", "left_anti").orderBy("id").limit(most).select("id", "uri", "l0_content")
+
+
+def vectors_kept(vectors: DataFrame, commands: DataFrame, contexts: DataFrame, size: int) -> DataFrame:
+    """Vectors (vec_id, embedding) after updates (seq, vec_id, embedding): the latest counts; one of another size changes nothing; contexts that
+    are archived or deleted have none. error: 400 for the refused size."""
+    last = commands.groupBy("vec_id").agg(F.max_by(F.struct("embedding"), "seq")["embedding"].alias("__new"), F.lit(True).alias("__told"))
+    gone = contexts.filter(F.col("status").isin(*HIDDEN)).select(F.col("id").alias("vec_id"), F.lit(True).alias("__gone"))
+    joined = vectors.join(last, "vec_id", "left").join(gone, "vec_id", "left")
+    wrong = F.col("__told") & F.col("__new").isNotNull() & (F.size("__new") != size)
+    kept = F.when(F.col("__gone"), None).when(F.col("__told") & ~F.coalesce(wrong, F.lit(False)), F.col("__new")).otherwise(F.col("embedding"))
+    return joined.select("vec_id", kept.alias("embedding"), F.when(wrong, 400).alias("error"))

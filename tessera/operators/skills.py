@@ -28,17 +28,21 @@ def subscribed(commands: DataFrame, versions: DataFrame) -> DataFrame:
     return checked.withColumn("error", F.when(F.col("pinned_version").isNotNull() & F.col("__ok").isNull(), 404)).drop("__ok")
 
 
-def resolved(requests: DataFrame, versions: DataFrame, subscriptions: DataFrame) -> DataFrame:
-    """(agent_id, skill_id, wanted) -> version, advisory, error for all requests at once.
+def resolved(requests: DataFrame, versions: DataFrame, subscriptions: DataFrame, contexts: DataFrame) -> DataFrame:
+    """(agent_id, skill_id, wanted) -> version, content, advisory, error for all requests at once.
 
-    An explicit version comes first, then the agent's pin, then the head. Advisories: a deprecated version; or, of a pin, that a newer
-    version is published (which replaces the other). Without a published version, or with an unknown one, the error is 404.
+    An explicit version comes first, then the agent's pin; both read a published or deprecated version. Else the skill's own row in contexts is its
+    head: its version and L2, whatever the newest published version is. Advisories: a deprecated version; or, of a pin, that a newer version is
+    published (which replaces the other). The error is 404 for an unknown version, or a head without any published version.
     """
     pins = subscriptions.groupBy("agent_id", "skill_id").agg(F.max("pinned_version").alias("pin"))
-    known = versions.select("skill_id", F.col("version").alias("chosen"), F.col("status").alias("chosen_status"), "content")
-    r = requests.join(pins, ["agent_id", "skill_id"], "left").join(heads(versions), "skill_id", "left")
-    r = r.withColumn("chosen", F.coalesce("wanted", "pin", "published")).join(known, ["skill_id", "chosen"], "left")
+    known = versions.filter(F.col("status").isin("published", "deprecated")).select("skill_id", F.col("version").alias("chosen"), F.col("status").alias("chosen_status"), F.col("content").alias("__content"), F.lit(True).alias("__there"))
+    own = contexts.select(F.col("id").alias("skill_id"), F.col("version").alias("__head"), F.col("l2_content").alias("__l2"))
+    r = requests.join(pins, ["agent_id", "skill_id"], "left").join(heads(versions), "skill_id", "left").join(own, "skill_id", "left")
+    r = r.withColumn("chosen", F.coalesce("wanted", "pin")).join(known, ["skill_id", "chosen"], "left")
+    floats = F.col("chosen").isNull()
+    error = F.when(floats & (F.col("published").isNull() | F.col("__head").isNull()), 404).when(~floats & F.col("__there").isNull(), 404)
     by_pin = F.col("wanted").isNull() & F.col("pin").isNotNull()
-    error = F.when(F.col("published").isNull() | F.col("content").isNull() | (F.col("chosen_status") == "draft"), 404)
-    advice = F.when(by_pin & (F.col("published") > F.col("chosen")), F.format_string("v%d is available", "published")).when(F.col("chosen_status") == "deprecated", F.format_string("v%d is deprecated", "chosen"))
-    return r.select("agent_id", "skill_id", F.when(error.isNull(), F.col("chosen")).alias("version"), F.when(error.isNull(), F.col("content")).alias("content"), F.when(error.isNull(), advice).alias("advisory"), error.alias("error"))
+    advice = F.when(by_pin & (F.col("published") > F.col("chosen")), F.format_string("v%d available, currently pinned to v%d", "published", "chosen")).when(F.col("chosen_status") == "deprecated", F.format_string("v%d is deprecated", "chosen"))
+    sound = error.isNull()
+    return r.select("agent_id", "skill_id", F.when(sound, F.coalesce("chosen", "__head")).alias("version"), F.when(sound, F.when(floats, F.col("__l2")).otherwise(F.col("__content"))).alias("content"), F.when(sound, advice).alias("advisory"), error.alias("error"))

@@ -13,6 +13,7 @@ from ..operators import retrieval as search
 from ..sources import tables
 from ..sources.catalog import TABLES, ParquetCatalog
 from . import common
+from . import retrieval as searches
 from .common import AGENT, MINE
 
 QUERIES, ORACLES, query = common.book()
@@ -137,8 +138,36 @@ def table_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.table_list(common.contexts(spark, sf_dir), tables.policies(spark, sf_dir), teams, AGENT)
 
 
-@query("I16_sql_context")
+_META = "meta AS (SELECT 't' || doc_id AS table_name, 'CREATE TABLE t' || doc_id || ' (the_id bigint, ' || lang || ' string)' AS ddl FROM documents WHERE doc_id % 8 <> 3)"
+_PAIRS = """pairs AS (SELECT 't' || doc_id AS table_a, 't' || doc_id + 4 AS table_b, 'k' || doc_id AS join_columns FROM documents WHERE doc_id % 4 = 3), ends AS (SELECT table_a AS table_name, table_b AS other, join_columns FROM pairs UNION ALL SELECT table_b, table_a, join_columns FROM pairs),
+near AS (SELECT table_name, '[' || string_agg('{"other":"' || other || '","join_columns":"' || join_columns || '"}', ',' ORDER BY other, join_columns) || ']' AS joins FROM ends GROUP BY table_name)"""
+_TEMPLATES = "used AS (SELECT table_name, string_agg(id::VARCHAR, ',' ORDER BY rn) AS templates FROM (SELECT 't' || user_id AS table_name, event_id AS id, row_number() OVER (PARTITION BY user_id ORDER BY (props->>'$.k')::INT DESC, event_id) AS rn FROM events) WHERE rn <= 5 GROUP BY table_name)"
+_DDL = common.masked("ddl")
+
+
+def _described(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    d, key = tables.read(spark, sf_dir, "documents"), F.col("doc_id")
+    name = lambda n: F.concat(F.lit("t"), n)
+    metadata = d.filter(key % 8 != 3).select(name(key).alias("table_name"), F.concat(F.lit("CREATE TABLE t"), key, F.lit(" (the_id bigint, "), "lang", F.lit(" string)")).alias("ddl"))
+    joins = ops.neighbours(d.filter(key % 4 == 3).select(name(key).alias("table_a"), name(key + 4).alias("table_b"), F.concat(F.lit("k"), key).alias("join_columns")))
+    used = ops.top_templates(tables.events(spark, sf_dir).select(F.col("user_id").alias("context_id"), F.col("event_id").alias("id"), F.col("k").alias("hit_count")))
+    return {"metadata": metadata, "joins": joins, "templates": used.select(name(F.col("context_id")).alias("table_name"), "templates")}
+
+
+@query("M20_details", f"""{tables.VIEWS}, {MINE}, tenant AS (SELECT * FROM contexts WHERE account_id = '{common.ACCOUNT}'), {common.decided("tenant")}, {_META}, {_PAIRS}, {_TEMPLATES}
+SELECT table_name, {_DDL} AS ddl, joins, templates FROM (SELECT *, regexp_extract(uri, '[^/]*$') AS table_name FROM decided WHERE scope = 'datalake' AND context_type = 'table_schema' AND status <> 'archived' AND reason IN ('explicit allow', 'baseline'))
+JOIN meta USING (table_name) LEFT JOIN near USING (table_name) LEFT JOIN used USING (table_name)""")
+def table_details(spark: SparkSession, sf_dir: str) -> DataFrame:
+    teams = search.access.agent_teams(common.visible(spark, sf_dir), AGENT)
+    return ops.table_detail(common.contexts(spark, sf_dir), tables.policies(spark, sf_dir), teams, AGENT, **_described(spark, sf_dir)).select("table_name", "ddl", "joins", "templates")
+
+
+_LAKE = searches.FOUND.replace("AND status NOT IN", "AND scope = 'datalake' AND context_type = 'table_schema' AND status NOT IN").replace(f"LIMIT {searches.POOL}", "LIMIT 75").replace(f"LIMIT {common.TOP_K}", "LIMIT 25")
+
+
+@query("I16_sql_context", f"""{_LAKE}, {_META}, {_PAIRS}, {_TEMPLATES}, top AS (SELECT *, regexp_extract(uri, '[^/]*$') AS table_name FROM result WHERE starts_with(uri, 'ctx://datalake/prod/') ORDER BY place LIMIT 5)
+SELECT place, id, uri, final_score, {common.masked("l0_content")} AS l0_content, {_DDL} AS ddl, joins, templates FROM top LEFT JOIN meta USING (table_name) LEFT JOIN near USING (table_name) LEFT JOIN used USING (table_name)""")
 def sql_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     teams = search.access.agent_teams(common.visible(spark, sf_dir), AGENT)
-    found = ops.sql_context(common.contexts(spark, sf_dir), common.QUERY, tables.policies(spark, sf_dir), teams, common.counters(spark, sf_dir), AGENT, "prod")
-    return found.select("place", "id", "uri", "final_score", "l0_content")
+    found = ops.sql_context(common.contexts(spark, sf_dir), common.QUERY, tables.policies(spark, sf_dir), teams, common.counters(spark, sf_dir), AGENT, "prod", **_described(spark, sf_dir))
+    return found.select("place", "id", "uri", "final_score", "l0_content", "ddl", "joins", "templates")

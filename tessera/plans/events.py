@@ -133,14 +133,14 @@ def subscribed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("M10_resolved", """, req AS (SELECT 'agent-' || c_custkey % 10 AS agent_id, c_custkey // 10 AS skill_id, CASE WHEN c_custkey % 5 = 0 THEN (c_custkey % 9 + 1)::INT END AS wanted FROM customer),
 pins AS (SELECT agent_id, skill_id, max(pinned_version) AS pin FROM subscriptions GROUP BY 1, 2), heads AS (SELECT skill_id, max(version) FILTER (WHERE status = 'published') AS published FROM skill_versions GROUP BY 1),
-r AS (SELECT req.*, pin, published, coalesce(wanted, pin, published) AS chosen FROM req LEFT JOIN pins USING (agent_id, skill_id) LEFT JOIN heads USING (skill_id)),
-c AS (SELECT r.*, v.status, v.content FROM r LEFT JOIN skill_versions v ON v.skill_id = r.skill_id AND v.version = r.chosen)
-SELECT agent_id, skill_id, CASE WHEN NOT bad THEN chosen END AS version, CASE WHEN NOT bad THEN content END AS content, CASE WHEN NOT bad THEN CASE WHEN wanted IS NULL AND pin IS NOT NULL AND published > chosen THEN 'v' || published || ' is available' WHEN status = 'deprecated' THEN 'v' || chosen || ' is deprecated' END END AS advisory, CASE WHEN bad THEN 404 END::INT AS error
-FROM (SELECT *, published IS NULL OR content IS NULL OR status = 'draft' AS bad FROM c)""")
+r AS (SELECT req.*, pin, published, coalesce(wanted, pin) AS chosen, c.version AS head, c.l2_content AS l2 FROM req LEFT JOIN pins USING (agent_id, skill_id) LEFT JOIN heads USING (skill_id) LEFT JOIN contexts c ON c.id = req.skill_id),
+c AS (SELECT r.*, v.status, v.content, CASE WHEN chosen IS NULL THEN published IS NULL OR head IS NULL ELSE v.skill_id IS NULL END AS bad FROM r LEFT JOIN skill_versions v ON v.skill_id = r.skill_id AND v.version = r.chosen AND v.status IN ('published', 'deprecated'))
+SELECT agent_id, skill_id, CASE WHEN NOT bad THEN coalesce(chosen, head) END AS version, CASE WHEN NOT bad THEN CASE WHEN chosen IS NULL THEN l2 ELSE content END END AS content,
+  CASE WHEN NOT bad THEN CASE WHEN wanted IS NULL AND pin IS NOT NULL AND published > chosen THEN 'v' || published || ' available, currently pinned to v' || chosen WHEN status = 'deprecated' THEN 'v' || chosen || ' is deprecated' END END AS advisory, CASE WHEN bad THEN 404 END::INT AS error FROM c""")
 def resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("c_custkey")
     req = tables.read(spark, sf_dir, "customer").select(F.concat(F.lit("agent-"), key % 10).alias("agent_id"), F.expr("c_custkey div 10").alias("skill_id"), F.when(key % 5 == 0, key % 9 + 1).cast("int").alias("wanted"))
-    return skills.resolved(req, _versions(spark, sf_dir), tables.subscriptions(spark, sf_dir))
+    return skills.resolved(req, _versions(spark, sf_dir), tables.subscriptions(spark, sf_dir), tables.contexts(spark, sf_dir))
 
 
 @query("C06_dependents_as_of", "SELECT event_id, dependent_id, dep_type FROM change_events JOIN dependencies ON dependency_id = context_id AND created_at <= ts")

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import longdoc, sections
+from ..operators import agent_text, longdoc, sections
 from ..operators import retrieval as ops
 from ..sources import tables
+from ..sources.shared import small_side
 from . import common
 from .common import ACCOUNT, AGENT, COUNTERS, LATEST, MINE, QUERY, TOP_K
 
@@ -34,6 +35,7 @@ _FINAL = f"""scored AS (SELECT r.*, round(rerank_score * CASE WHEN coalesce(adop
     * CASE WHEN status = 'stale' THEN 0.85 ELSE 1 END, 6) AS final_score FROM ranked r LEFT JOIN counters USING (id)),
 adjusted AS (SELECT * EXCLUDE (place), row_number() OVER (ORDER BY final_score DESC, place) AS place FROM scored), {common.decided("adjusted")},
 result AS (SELECT row_number() OVER (ORDER BY place) AS place, * EXCLUDE (place) FROM (SELECT * FROM decided WHERE reason IN ('explicit allow', 'baseline') ORDER BY place LIMIT {TOP_K}))"""
+FOUND = f"{tables.VIEWS}, {MINE}, {LATEST}, {COUNTERS}, {_LIVE}, {_KEYWORD}, {_BM25}, {_FINAL}"
 _OUT = f"SELECT place, id, uri, final_score, {common.masked('l0_content')} AS l0_content, {common.masked('l1_content')} AS l1_content FROM result"
 _SHOWN = ("place", "id", "uri", "final_score", "l0_content", "l1_content")
 
@@ -48,6 +50,12 @@ def _inputs(spark: SparkSession, sf_dir: str):
     return tables.policies(spark, sf_dir), teams, common.counters(spark, sf_dir)
 
 
+def found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of a keyword search."""
+    policies, teams, counts = _inputs(spark, sf_dir)
+    return ops.search(common.contexts(spark, sf_dir), QUERY, policies, teams, counts, AGENT, TOP_K)
+
+
 @query("I03_keyword_candidates", f"{tables.VIEWS}, {_LIVE}, {_KEYWORD} SELECT place, id, score FROM pool")
 def keyword(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.keyword_candidates(ops.searchable(common.contexts(spark, sf_dir)), QUERY, POOL).select("place", "id", "score")
@@ -85,7 +93,10 @@ def access_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.access_log(found, tables.as_of()).withColumn("accessed_at", F.col("accessed_at").cast("timestamp_ntz"))
 
 
-@query("I15_grep")
+_SMALL = FOUND.replace(f"LIMIT {POOL}", f"LIMIT {5 * ops.OVER_RETRIEVE}").replace(f"LIMIT {TOP_K}", "LIMIT 5")
+
+
+@query("I15_grep", f"{_SMALL} {_OUT}")
 def grep(spark: SparkSession, sf_dir: str) -> DataFrame:
     policies, teams, counts = _inputs(spark, sf_dir)
     return ops.grep(common.contexts(spark, sf_dir), QUERY, policies, teams, counts, AGENT).select(*_SHOWN)
@@ -97,7 +108,36 @@ def missing_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.missing_vectors(common.contexts(spark, sf_dir), tables.read(spark, sf_dir, "embeddings"))
 
 
-@query("J_section_rows")
+@query("O02_recall_block", f"""{_SMALL}, shown AS ({_OUT}), lines AS (SELECT place, '- [' || uri || '] ' || trim(coalesce(l1_content, l0_content, ''), chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS line FROM shown WHERE trim(coalesce(l1_content, l0_content, '')) NOT IN ('', uri))
+SELECT left('## Recalled context' || chr(10) || string_agg(line, chr(10) ORDER BY place), 1200) AS block FROM lines""")
+def recall_block(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return agent_text.recall_block(grep(spark, sf_dir), 300)
+
+
+@query("B04_without_stale", f"{tables.VIEWS}, {_LIVE.replace("'deleted')", "'deleted', 'stale')")}, {_KEYWORD} SELECT place, id, score FROM pool")
+def without_stale(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ops.keyword_candidates(ops.searchable(common.contexts(spark, sf_dir), with_stale=False), QUERY, POOL).select("place", "id", "score")
+
+
+@query("B05_scopes", f"{tables.VIEWS}, {_LIVE.replace('AND status', "AND scope IN ('team', 'agent') AND context_type IN ('memory', 'resource') AND status")}, {_KEYWORD} SELECT place, id, score FROM pool")
+def scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    live = ops.searchable(common.contexts(spark, sf_dir), ["team", "agent"], ["memory", "resource"])
+    return ops.keyword_candidates(live, QUERY, POOL).select("place", "id", "score")
+
+
+_SIZE = sections.MAX_TOKENS * sections.CHARS_PER_TOKEN
+_SUMMARY = lambda x, other: f"CASE WHEN trim(regexp_replace({x}, '\\s+', ' ', 'g')) = '' THEN {other} ELSE left(trim(regexp_replace({x}, '\\s+', ' ', 'g')), 200) END"
+#: For texts without headings, as all documents are: chunks one after the other, each cut after the last blank line, line or sentence.
+_CHUNKS = f"""WITH RECURSIVE c AS (SELECT doc_id, coalesce(text, '') AS text, 0::BIGINT AS a, 0::BIGINT AS b, 0 AS n FROM documents
+  UNION ALL SELECT doc_id, text, b, CASE WHEN b + {_SIZE} >= length(text) THEN length(text) WHEN p2 > 0 AND length(w) - p2 - 1 > 0 THEN b + length(w) - p2 + 1 WHEN p1 > 0 AND length(w) - p1 > 0 THEN b + length(w) - p1 + 1
+      WHEN p0 > 0 AND length(w) - p0 - 1 > 0 THEN b + length(w) - p0 + 1 ELSE b + {_SIZE} END, n + 1
+    FROM (SELECT *, instr(reverse(w), chr(10) || chr(10)) AS p2, instr(reverse(w), chr(10)) AS p1, instr(reverse(w), ' .') AS p0 FROM (SELECT *, substr(text, b + 1, {_SIZE}) AS w FROM c WHERE b < length(text)))),
+rows AS (SELECT doc_id, n AS section_no, CASE WHEN n > 0 THEN 0 END AS parent_no, CASE WHEN n = 0 THEN 'seq-root' ELSE 'seq-' || lpad(n::VARCHAR, 4, '0') END AS node_id, CASE WHEN n = 0 THEN 'Document' ELSE 'Section ' || n END AS title, (n > 0)::INT AS depth,
+  a AS start_offset, CASE WHEN n = 0 THEN length(text) ELSE b END AS end_offset, CASE WHEN n = 0 THEN left(text, 400) ELSE substr(text, a + 1, b - a) END AS part FROM c)
+SELECT * EXCLUDE (part), {_SUMMARY("part", "CASE WHEN section_no = 0 THEN 'Document overview' ELSE title END")} AS summary, greatest(1, (end_offset - start_offset) // 4) AS token_count FROM rows"""
+
+
+@query("J_section_rows", _CHUNKS)
 def section_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sections.section_rows(tables.read(spark, sf_dir, "documents"))
 
@@ -107,10 +147,26 @@ def page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sections.page_texts(tables.read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "markdown")
 
 
+@query("F10_load_order", _CHUNKS.replace("SELECT * EXCLUDE (part)", "SELECT doc_id, section_no, row_number() OVER (PARTITION BY doc_id ORDER BY depth, parent_no NULLS FIRST, start_offset, section_no) AS place FROM rows --"))
+def load_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sections.load_order(section_rows(spark, sf_dir)).select("doc_id", "section_no", "place")
+
+
+@query("I06_long_documents")
+def long_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A search whose texts are long documents: snippets change scores and are masked."""
+    policies, teams, counts = _inputs(spark, sf_dir)
+    docs = tables.read(spark, sf_dir, "documents").select("doc_id", "text")
+    pool = ops.keyword_candidates(ops.searchable(common.contexts(spark, sf_dir)), QUERY, POOL).select(F.col("id").alias("doc_id"))
+    near = docs.join(small_side(pool), "doc_id", "left_semi")
+    out = ops.search(common.contexts(spark, sf_dir), QUERY, policies, teams, counts, AGENT, TOP_K, long_texts=docs.withColumnRenamed("doc_id", "id"), sections=sections.section_rows(near))
+    return out.select(*_SHOWN, "snippet", "strategy")
+
+
 @query("K_snippets")
 def snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = tables.read(spark, sf_dir, "documents").select("doc_id", "text")
     pool = ops.bm25(ops.keyword_candidates(ops.searchable(common.contexts(spark, sf_dir)), QUERY, POOL), QUERY)
-    near = docs.join(F.broadcast(pool.select(F.col("id").alias("doc_id"))), "doc_id", "left_semi")
+    near = docs.join(small_side(pool.select(F.col("id").alias("doc_id"))), "doc_id", "left_semi")
     out = longdoc.snippets(pool, docs.withColumnRenamed("doc_id", "id"), sections.section_rows(near), QUERY)
     return out.select("id", "place", "section_no", "strategy", "snippet", "rerank_score")

@@ -31,9 +31,9 @@ def frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir).select(F.explode(F.array_distinct(text.tokens(F.col("text")))).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
 
 
-@query("H02_ascii_tokens", f"SELECT doc_id, len(list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda t: length(t) >= 3 AND t NOT IN ({_STOP}))))::INT AS n FROM documents")
+@query("H02_ascii_tokens", f"SELECT doc_id, coalesce(array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda t: length(t) >= 3 AND t NOT IN ({_STOP})))), ' '), '') AS tokens FROM documents")
 def ascii_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _docs(spark, sf_dir).select("doc_id", F.size(text.ascii_tokens(F.col("text"))).alias("n"))
+    return _docs(spark, sf_dir).select("doc_id", F.array_join(F.array_sort(text.ascii_tokens(F.col("text"))), " ").alias("tokens"))
 
 
 @query("H03_match_forms", "SELECT doc_id, array_to_string(regexp_extract_all(lower(text), '[a-z0-9]+'), ' ') AS form FROM documents")
@@ -57,7 +57,7 @@ def summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir).select("doc_id", text.summary(F.col("text"), F.lit("empty")).alias("summary"))
 
 
-@query("H13_occurrences", f"""SELECT id, at - 1 AS at FROM (SELECT id, l1_content, unnest(range(1, length(l1_content) + 1))::INT AS at FROM contexts WHERE account_id = '{ACCOUNT}') WHERE substr(l1_content, at, 2) = 'th'""")
+@query("H13_occurrences", f"""SELECT id, (p - 1)::INT AS "at" FROM (SELECT id, l1_content, unnest(range(1, length(l1_content) + 1)) AS p FROM contexts WHERE account_id = '{ACCOUNT}') WHERE substr(l1_content, p, 2) = 'th'""")
 def occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return common.contexts(spark, sf_dir).select("id", F.explode(text.occurrences(F.col("l1_content"), "th")).alias("at"))
 
@@ -91,9 +91,10 @@ def cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.select("vec_id", F.round(scores.cosine(F.col("embedding"), F.array(*[F.lit(float(x)) for x in q])), 6).alias("similarity"))
 
 
-@query("A13_padded", "SELECT vec_id, len(embedding)::INT + greatest(0, 96 - len(embedding))::INT AS n FROM embeddings")
+@query("A13_padded", "SELECT vec_id, len(embedding)::INT + greatest(0, 96 - len(embedding))::INT AS n, round(list_sum(embedding::DOUBLE[]), 6) AS total, round(embedding[1]::DOUBLE, 6) AS first, 0.0::DOUBLE AS last FROM embeddings")
 def padded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tables.read(spark, sf_dir, "embeddings").select("vec_id", F.size(scores.padded(F.col("embedding"), 96)).alias("n"))
+    v = tables.read(spark, sf_dir, "embeddings").select("vec_id", scores.padded(F.col("embedding"), 96).cast("array<double>").alias("p"))
+    return v.select("vec_id", F.size("p").alias("n"), F.round(F.aggregate("p", F.lit(0.0), lambda a, x: a + x), 6).alias("total"), F.round(F.get("p", F.lit(0)), 6).alias("first"), F.element_at("p", -1).alias("last"))
 
 
 @query("O01_recall_queries")

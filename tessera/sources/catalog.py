@@ -30,8 +30,10 @@ class ParquetCatalog:
         return self.frame(name).count()
 
     def sample(self, name: str, rows: int = 5) -> DataFrame:
-        """A few rows as JSON."""
-        df = self.frame(name).limit(rows)
+        """A few rows as JSON, the smallest by the first column that can be ordered, so that they are the same in each run."""
+        df = self.frame(name)
+        key = next((f.name for f in df.schema if f.dataType.typeName() not in ("map", "variant")), None)
+        df = (df.orderBy(*[key, *[c for c in df.columns[:3] if c != key]]) if key else df).limit(rows)
         return df.select(F.to_json(F.struct(*df.columns)).alias("row"))
 
     def snapshot(self) -> DataFrame:
@@ -39,6 +41,12 @@ class ParquetCatalog:
         rows = [(self.database, t, self.schema(t)) for t in self.tables()]
         return self.spark.createDataFrame(rows, "database string, table_name string, columns array<struct<name:string,type:string>>")
 
+    def relationships(self, keys) -> DataFrame:
+        """Declared foreign keys (table, column, referenced, referenced_column) between tables that are there."""
+        there = set(self.names)
+        rows = [k for k in keys if k[0] in there and k[2] in there]
+        return self.spark.createDataFrame(rows, "table string, column string, referenced string, referenced_column string")
+
     def changes(self, since: float) -> list[str]:
         """Tables with files newer than a time in seconds."""
         jvm, conf = self.spark._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()

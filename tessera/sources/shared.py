@@ -5,11 +5,24 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows in one Arrow batch of whole texts, so that a worker's memory stays bounded.
 TEXT_ROWS = 256
-#: Bytes of a side that is broadcast by hint; beyond them a join is left to Spark.
-BROADCAST_ROWS = 10_000
+#: Rows of a side that is measured and then broadcast; with more a join is left to Spark.
+SMALL_ROWS = 10_000
+
+
+def few(df: DataFrame, most: int = SMALL_ROWS) -> list | None:
+    """The rows of df if there are at most so many; the driver never holds more than one row over that."""
+    rows = df.limit(most + 1).collect()
+    return rows if len(rows) <= most else None
+
+
+def small_side(df: DataFrame, most: int = SMALL_ROWS) -> DataFrame:
+    """df to be broadcast if it has at most so many rows; else as it is."""
+    rows = few(df, most)
+    return df if rows is None else F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
 
 
 def settled(df: DataFrame) -> DataFrame:
