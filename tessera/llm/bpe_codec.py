@@ -115,7 +115,8 @@ def _ids(batches, path: str):
 
 
 def encode_documents(docs: DataFrame, path: str = RANKS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_tokens, ids (binary, little-endian uint32). Null and empty texts have no ids; other columns are not read."""
+    """doc_id, n_tokens, ids (binary, little-endian uint32). Null and empty texts have no ids; repeated rows are encoded each,
+    an empty table gives no rows; other columns are not read."""
     small_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(lambda it: _ids(it, path), "doc_id long, n_tokens long, ids binary")
 

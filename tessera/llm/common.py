@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from contextlib import contextmanager
 from functools import reduce
@@ -10,6 +9,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import shared_dir
+
 #: Rows in one Arrow batch. Texts can be very long, so batches hold few rows and a worker's memory stays bounded.
 ARROW_ROWS = 256
 
@@ -28,15 +29,6 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or, where it is unset (tests on one machine), a new one."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="tessera-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
 def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
@@ -87,8 +79,11 @@ def temporary():
                 _open[-1].append((path, made))
 
 
-def _checksum(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v") % 1_000_003), F.lit(0))).first())
+def _is_forest(edges: DataFrame) -> bool:
+    """Every edge (u, v) leads from a node with no other edge to a node that is no u: the links are stars around their smallest nodes."""
+    ends = edges.select(F.explode(F.array(F.struct(F.col("u").alias("node"), F.lit(1).alias("out")), F.struct(F.col("v").alias("node"), F.lit(0).alias("out")))).alias("e")).select("e.*")
+    roles = ends.groupBy("node").agg(F.sum("out").alias("out"), F.count_if(F.col("out") == 0).alias("inner"))
+    return roles.filter("out > 1 or (out > 0 and inner > 0)").isEmpty()
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -111,19 +106,14 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 def connected_components(edges: DataFrame) -> DataFrame:
     """(u, v) bigint links -> (node, component), component being the smallest node reachable; linked nodes only.
 
-    Alternating large-star and small-star steps until the edge set is a forest of stars. Each round is written to the
-    shared folder; the driver sees only a row count and a checksum. Null ends are ignored.
+    Alternating large-star and small-star steps until the edges are a forest of stars. Each round is written to the
+    shared folder; the driver sees only whether it is the last. Null ends are ignored.
     """
-    edges = written(edges.select(F.col("u").cast("long"), F.col("v").cast("long")).filter("u <> v").distinct(), "edges")
-    was = _checksum(edges)
-    while was[0]:
+    edges = written(edges.select(F.greatest(F.col("u").cast("long"), F.col("v").cast("long")).alias("u"), F.least(F.col("u").cast("long"), F.col("v").cast("long")).alias("v")).filter("u <> v").distinct(), "edges")
+    while not _is_forest(edges):
         after = written(_star(_star(edges, True), False), "edges")
-        now = _checksum(after)
         remove(edges)
         edges = after
-        if now == was:
-            break
-        was = now
     leaves = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return leaves.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 

@@ -55,7 +55,8 @@ def _fingerprints(batches, size: int):
 
 def fingerprints(docs: DataFrame, size: int = SHINGLE_WORDS, id_col: str = "doc_id", text_col: str = "text", key_col: str | None = None) -> DataFrame:
     """row_key, doc_id, fp (signed 64 bits); one row for each row of docs. row_key is docs' key_col, or, without one, the row's
-    place in this one scan of docs, by which no other scan finds it."""
+    place in this one scan of docs, by which no other scan finds it. Null texts count as empty, repeated rows have a row each, an empty table gives no
+    rows; other columns are not read, whatever their names."""
     small_batches(docs.sparkSession)
     key = F.col(key_col) if key_col else F.monotonically_increasing_id()
     rows = docs.select(key.alias("row_key"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))

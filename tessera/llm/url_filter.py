@@ -51,6 +51,7 @@ def url_verdicts(pages: DataFrame, rules=RULES, strict=STRICT, soft=SOFT, soft_h
 
     Null and `://`-less urls have an empty host and path; no rule fits them, and the vocabulary judges what text there is
     (a null url is allowed). A url without a path fits no rule, since every rule has one.
+    Repeated rows are judged each, an empty table gives no rows, other columns are not read.
     """
     url = F.col("url")
     rest = F.when(F.instr(url, "://") > 0, F.expr("substring(url, instr(url, '://') + 3)")).otherwise("")

@@ -372,7 +372,21 @@ def test_urls(spark):
     assert [(r.host, r.path) for r in got if r.page_id == 1] == [("example.com", "/en/x")]
 
 
+def test_urls_odd(spark):
+    rows = [(1, "http://a.net/es/1", "h", "p", "r"), (1, "http://a.net/es/1", "h", "p", "r"), (None, "http://a.org/" + "free-bonus/" * 5000, "h", "p", "r")]
+    got = url_filter.url_verdicts(spark.createDataFrame(rows, "page_id long, url string, host string, path string, rule string")).collect()
+    assert Counter((r.page_id, r.host, r.verdict, r.rule) for r in got) == Counter({(1, "a.net", "block", "net/es/"): 2, (None, "a.org", "block", None): 1})
+    assert url_filter.url_verdicts(empty(spark, "page_id long, url string")).count() == 0
+
+
 # 7
+def test_chats_hot(spark):
+    """One conversation with most rows, logged again and again as it grew, and a very long text."""
+    rows = [(c, i, "user", "x" * 200_000 if i == 1 else f"t{i}") for c in range(12) for i in range(10 * (c + 1))]
+    got = chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    assert {r.conv_id for r in got} == {11} and len(got) == 120 and max(len(r.rendered) for r in got) > 200_000
+
+
 def test_chats(spark):
     say = lambda c, *texts: [(c, i, "user" if i % 2 == 0 else "assistant", t, 1) for i, t in enumerate(texts)]
     rows = say(1, "a") + say(2, "a", "b") + say(3, "a", "b", "c") + say(4, "a", "b", "c") + say(5, "a", "x") + say(6, "b") + [(None, 0, "user", "z", 1), (7, None, "user", "z", 1), (8, 0, None, None, 1), (8, 0, None, None, 1), (9, 3, "user", "a", 1)]
@@ -399,6 +413,42 @@ def test_token_store(spark, odd, encoding):
         assert ids == sorted(ids) and [r.start for r in got] == np.cumsum([0] + [r.n_tokens for r in got])[:-1].tolist()
 
 
+def test_token_store_reads(spark):
+    """The query's digests by an untouched tokenizer; filters and projections read only what they need; encodings are those asked for."""
+    import glob
+
+    import pyarrow.parquet as pq
+    from tokenizers import Tokenizer
+
+    model = Tokenizer.from_file(token_store.tokenizer_path(token_store.TOKENIZER))
+    start, want = 0, []
+    for r in documents(spark).orderBy("doc_id").collect():
+        ids = [*model.encode(r.text or "", add_special_tokens=False).ids, 0]
+        want.append((r.doc_id, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        start += len(ids)
+    assert sorted(map(tuple, token_store.op8_token_store(spark, SF).collect())) == want
+    for encoding, name in (("dictionary", "_DICTIONARY"), ("delta", "DELTA_BINARY_PACKED")):
+        path = new_path(spark, "store")
+        token_store.write_tokens(documents(spark), path, encoding=encoding)
+        tokens = token_store.read_tokens(spark, path)
+        plan = tokens.filter("doc_id = 7").select("doc_id", "n_tokens")._jdf.queryExecution().toString()
+        assert "EqualTo(doc_id,7)" in plan and "ids" not in plan.split("Physical Plan")[1].split("ReadSchema")[1].split(">")[0]
+        assert tokens.filter("doc_id = 7").count() == 1
+        file = pq.ParquetFile(glob.glob(path.removeprefix("file://") + "/data/*.parquet")[0]).metadata.row_group(0)
+        ids = [file.column(i) for i in range(file.num_columns) if "ids" in file.column(i).path_in_schema][0]
+        assert any(name in e for e in ids.encodings) and ids.has_offset_index and ids.has_column_index
+
+
+def test_markers(spark):
+    """Special tokens in a text are read as the library reads them."""
+    from tokenizers import Tokenizer
+
+    texts = ["hi <|endoftext|> yo", "<|endoftext|>", "a<|endoftext|>b <|startoftext|>", "<|ENDOFTEXT|> x"]
+    for name, spaced in ((token_store.TOKENIZER, True), (packing.TOKENIZER, False)):
+        model, encoder = Tokenizer.from_file(token_store.tokenizer_path(name)), token_store.json_encoder(name, spaced)
+        assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode_all(texts)] == [model.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 # 9
 def test_packing(spark, odd):
     from tokenizers import Tokenizer
@@ -445,6 +495,20 @@ def test_bpe_codec(spark, odd):
     assert len(got) == len(ODD) and all(r.n_tokens * 4 == len(r.ids) for r in got)
 
 
+def test_bpe_query(spark):
+    """The query's digests by tiktoken."""
+    import public_tokenizers
+    import tiktoken
+
+    model = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe_codec.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")), special_tokens={})
+    want = set()
+    for r in documents(spark).collect():
+        ids = model.encode_ordinary(r.text or "")
+        want.add((r.doc_id, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256((r.text or "").encode()).hexdigest()))
+    assert {tuple(r) for r in bpe_codec.op10_bpe_codec(spark, SF).collect()} == want
+    assert bpe_codec.encode_documents(empty(spark)).count() == 0
+
+
 def test_chunks_of_json_tokenizers():
     from tokenizers import Tokenizer
 
@@ -474,3 +538,14 @@ def test_pipeline(spark):
     assert {r.doc_id for r in got} == want
     encoder = token_store.json_encoder(packing.TOKENIZER, False)
     assert sum(r.length for r in got) == sum(len(encoder.encode(r.text)) // 4 + 1 for r in best.values() if r.doc_id in want)
+
+
+def test_pipeline_odd(spark, odd, tmp_path):
+    """Null, empty, repeated rows and an empty table, from the first stage to the last; only the last table is left of the shared folder's new ones."""
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    labels = spark.createDataFrame([(1, 0), (2, 0), (5, 0), (6, 1)], "doc_id long, toxic int")
+    for name, docs, want in (("odd", odd.select("doc_id", "text", "lang", "source", "n_chars"), 5), ("none", empty(spark), 0)):
+        docs.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        labels.write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        got = corpus_pipeline.run(spark, f"file://{tmp_path}/{name}").collect()
+        assert len({(r.doc_id, r.doc_tokens) for r in got}) <= want and (want == 0) == (not got)
