@@ -86,7 +86,7 @@ def decide(contexts: DataFrame, policies: DataFrame, teams: DataFrame, agent: st
         F.bool_or(F.col("effect") == "deny").alias("__deny"),
         F.max(F.when(F.col("effect") == "allow", F.struct("priority", -F.col("policy_id"), "field_masks"))).alias("__allow"),
     )
-    return _settle(live.join(verdicts, "uri", "left"))
+    return _settle(live.join(verdicts, "uri", "left")).select(*contexts.columns, "reason", "readable", "field_masks")
 
 
 def _decided_in_place(live: DataFrame, policies: list) -> DataFrame:

@@ -25,11 +25,20 @@ def small_side(df: DataFrame, most: int = SMALL_ROWS) -> DataFrame:
     return df if rows is None else F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir, which driver and executors share; where it is unset (tests on one machine), a new one."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found:
+        found = "file://" + tempfile.mkdtemp(prefix="tessera-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found.rstrip("/")
+
+
 def settled(df: DataFrame) -> DataFrame:
-    """Cut lineage: a checkpoint in the folder that spark.checkpoint.dir names; where it is unset (tests on one machine), in a new one."""
+    """Cut lineage: a checkpoint in the shared folder."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tessera-"))
+        context.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint()
 
 

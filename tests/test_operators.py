@@ -106,8 +106,8 @@ def test_pinned_skill_with_newer_version(spark):
     versions = spark.createDataFrame([(1, 1, "published", "one"), (1, 2, "published", "two"), (1, 3, "published", "three"), (2, 1, "draft", "d")], "skill_id long, version int, status string, content string")
     subs = spark.createDataFrame([("me", 1, 2)], "agent_id string, skill_id long, pinned_version int")
     req = spark.createDataFrame([("me", 1, None), ("you", 1, None), ("you", 1, 1), ("me", 2, None), ("you", 1, 9)], "agent_id string, skill_id long, wanted int")
-    got = {(r.agent_id, r.skill_id, r.version, r.advisory, r.error) for r in skills.resolved(req, versions, subs).collect()}
-    assert got == {("me", 1, 2, "v3 is available", None), ("you", 1, 3, None, None), ("you", 1, 1, None, None), ("me", 2, None, None, 404), ("you", 1, None, None, 404)}
+    got = {(r.agent_id, r.skill_id, r.version, r.advisory, r.error) for r in skills.resolved(req, versions, subs, spark.createDataFrame([(1, 7, "head"), (2, 1, "draft")], "id long, version int, l2_content string")).collect()}
+    assert got == {("me", 1, 2, "v3 available, currently pinned to v2", None), ("you", 1, 7, None, None), ("you", 1, 1, None, None), ("me", 2, None, None, 404), ("you", 1, None, None, 404)}  # a head is the skill's own row (Q14)
 
 
 def test_propagation_rules(spark):
@@ -240,6 +240,46 @@ def test_snippets_by_tree_and_windows(spark):
     assert got[3].snippet is None and got[3].rerank_score == 1.0
 
 
+def runs_of(x):
+    return "".join(c if c.isascii() and c.isalnum() else " " for c in (x or "").lower()).split()
+
+
+def worth(part, words, phrase):
+    n = [part.count(w) for w in words]
+    return phrase in " ".join(runs_of(part)), sum(x > 0 for x in n), round(sum(n) / max(1, len(part)), 12)
+
+
+def test_windows_brute_force(spark):
+    """Best windows and keyword windows of random texts against all places of the words."""
+    rng = random.Random(3)
+    texts = ["".join(rng.choices(["engine ", "quantum ", "calibration ", "filler ", "x" * 40 + " ", "other. "], weights=(1, 1, 1, 20, 20, 20), k=rng.randint(0, 500))) for _ in range(12)] + ["", "no hits here"]
+    query, size = "quantum engine calibration", 400
+    df = docs_of(spark, texts)
+    got = {r.doc_id: r for r in df.select("doc_id", longdoc.best_window(F.lower("text"), query, size).alias("w"), longdoc.keyword_window(F.lower("text"), query).alias("k")).collect()}
+    words, phrase = query.split(), query
+    for i, t in enumerate(texts):
+        hits = sorted({at for w in words for at in range(len(t)) if t.startswith(w, at)})
+        spans = {(a, min(len(t), max(h + 1, a + size))) for h in hits for a in (max(0, h - size // 2), max(0, h - size // 3), max(0, min(h, len(t) - size)))}
+        spans = {(a, b) for a, b in spans if any(a <= h < b for h in hits)}
+        best = max((worth(t[a:b], words, phrase) for a, b in spans), default=None)
+        assert (got[i].w is None) == (best is None)
+        if best:
+            assert (got[i].w.a, got[i].w.b) in spans and worth(t[got[i].w.a : got[i].w.b], words, phrase) == best
+        assert (got[i].k is None) == (not hits)
+        if hits:
+            assert got[i].k.a <= hits[-1] and got[i].k.b - got[i].k.a <= longdoc.SNIPPET and 0.8 <= got[i].k.factor <= 1.2 and any(got[i].k.a <= h < got[i].k.b for h in hits)
+
+
+def test_access_many_policies(spark, monkeypatch):
+    """Decisions in place and by joins are the same."""
+    rows = ctx(spark, [row(1, "team", "a"), row(2, "team", "b"), row(3, "agent", "me"), row(4, "datalake"), row(5, "team", None), row(6, "team", "a", "deleted")])
+    pol = policies(spark, [(1, "ctx://team/*", "a", "deny", ["read"], None, 1), (2, "ctx://team/d1", "me", "allow", ["read"], ["x"], 5), (3, "ctx://datalake/d4", "me", "deny", ["read"], None, 1), (4, "ctx://agent/*", "me", "allow", ["read"], ["m"], 2), (5, "ctx://agent/d3", "me", "allow", ["read"], None, 2), (6, "*", "other", "deny", ["read"], None, 9)])
+    mine = teams(spark, [("a", True), ("b", False)])
+    near = sorted(map(str, access.decide(rows, pol, mine, "me").collect()))
+    monkeypatch.setattr(access, "MOST", 0)
+    assert sorted(map(str, access.decide(rows, pol, mine, "me").collect())) == near and len(near) == 5
+
+
 def test_files(spark, tmp_path):
     from tessera.sources import documents
 
