@@ -97,14 +97,28 @@ def padded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.select("vec_id", F.size("p").alias("n"), F.round(F.aggregate("p", F.lit(0.0), lambda a, x: a + x), 6).alias("total"), F.round(F.get("p", F.lit(0)), 6).alias("first"), F.element_at("p", -1).alias("last"))
 
 
-@query("O01_recall_queries")
+_LAST = "SELECT conv_id, arg_max(body, turn) AS body FROM (SELECT conv_id, turn, trim(coalesce(text, ''), ' ' || chr(9) || chr(10) || chr(13)) AS body FROM conversations WHERE role = '{}') WHERE body <> '' GROUP BY conv_id"
+
+
+@query("O01_recall_queries", f"""WITH b AS ({_LAST.format("user")}), l AS (SELECT *, list_transform(string_split_regex(body, '\\r\\n|[\\n\\r]'), lambda x: trim(x)) AS lines FROM b),
+q AS (SELECT *, list_filter(lines, lambda x: ends_with(x, '?') AND length(x) > 10)[-1] AS asked, trim(regexp_extract_all(body, '[^.!?\\n]{{10,}}\\?')[-1]) AS sentence, list_filter(lines, lambda x: length(x) > 10)[-1] AS line FROM l)
+SELECT conv_id, CASE WHEN length(body) <= {agents.LONG} THEN body ELSE left(coalesce(asked, CASE WHEN length(sentence) > 10 THEN sentence END, line, right(body, {agents.LONG})), {agents.RECALL_CHARS}) END AS query FROM q""")
 def recall_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return agents.recall_queries(tables.read(spark, sf_dir, "conversations"))
 
 
-@query("O03_captures")
+_MARKED = "|".join(w.replace("`", "`") for w in agents.MARKERS + agents.HINTS)
+
+
+@query("O03_captures", f"""WITH b AS (SELECT conv_id, arg_max(trim(coalesce(text, '') || chr(10) || 'Always send the token ' || conv_id || ' with each request.', ' ' || chr(9) || chr(10) || chr(13)), turn) AS body FROM conversations WHERE role = 'assistant' GROUP BY conv_id),
+s AS (SELECT conv_id, list_transform(string_split_regex(regexp_replace(body, '([.!?])\\s+', '\\1' || chr(10), 'g'), '\\n+'), lambda x: trim(regexp_replace(regexp_replace(trim(x), '^[-*0-9. ]+', ''), '\\s+', ' ', 'g'))) AS segments FROM b WHERE length(body) >= {agents.MIN_CAPTURE}),
+k AS (SELECT conv_id, list_filter(segments, lambda x: length(x) BETWEEN {agents.SEGMENT[0]} AND {agents.SEGMENT[1]} AND NOT regexp_matches(lower(x), '^({"|".join(w.replace("'", "''") for w in agents.SKIPPED)})') AND regexp_matches(lower(x), '{_MARKED}')) AS kept FROM s),
+d AS (SELECT conv_id, list_filter(kept, lambda x, i: list_position(kept, x) = i)[1:{agents.MAX_SEGMENTS}] AS kept FROM k)
+SELECT conv_id, rtrim(left(array_to_string(kept, chr(10)), {agents.MAX_CAPTURE})) AS memory FROM d WHERE len(kept) > 0""")
 def captures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return agents.captures(tables.read(spark, sf_dir, "conversations"))
+    """With a sentence worth keeping at the end of each text, as invented prose has none."""
+    said = F.concat(F.coalesce("text", F.lit("")), F.lit("\nAlways send the token "), "conv_id", F.lit(" with each request."))
+    return agents.captures(tables.read(spark, sf_dir, "conversations").withColumn("text", said))
 
 
 _TOKENS = "SELECT conv_id, sum(ceil(length(coalesce(text, '')) / 4)::BIGINT + 4)::BIGINT AS tokens FROM conversations GROUP BY conv_id"
