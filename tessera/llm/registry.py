@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe_codec, chat, exact_dedup, html_text, lsh_dedup, packing, simhash, token_store, toxicity, url_filter
+from . import alignment, bpe_codec, chat, exact_dedup, html_text, lsh_dedup, packing, simhash, token_store, toxicity, url_filter
 
 QUERIES = {
     f.__name__: f
@@ -17,6 +17,7 @@ QUERIES = {
         token_store.op8_token_store,
         packing.op9_packing,
         bpe_codec.op10_bpe_codec,
+        alignment.op13_alignment,
     )
 }
 ORACLES = {
