@@ -137,7 +137,7 @@ class Aligner:
         code[np.arange(len(b)) + np.searchsorted(in_a, in_b, "right")] = self.first_b + 2 * b.astype(np.int64) + last_b
         written_ends = np.append(0, np.cumsum(self.labels.size[code]))[ends_a + ends_b].tolist()
         chars = self.labels.gather(code).tobytes()
-        groups = [chars[x : y - 1] for x, y in zip(written_ends[:-1], written_ends[1:], strict=True)]
+        groups = [chars[x : max(x, y - 1)] for x, y in zip(written_ends[:-1], written_ends[1:], strict=True)]
         per_text = np.diff(cuts[bounds])
         return {
             "n_a": np.diff(ends_a), "n_b": np.diff(ends_b), "n_groups": per_text, "n_links": per_text, "groups_sha256": [hashlib.sha256(g).hexdigest() if g else "" for g in groups],
