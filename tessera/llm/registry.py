@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import alignment, bpe_codec, chat, exact_dedup, html_text, lsh_dedup, packing, simhash, token_store, toxicity, url_filter
+from . import alignment, bpe_codec, chat, exact_dedup, html_text, lsh_dedup, merkle, packing, simhash, token_store, toxicity, url_filter
 
 QUERIES = {
     f.__name__: f
@@ -17,6 +17,7 @@ QUERIES = {
         token_store.op8_token_store,
         packing.op9_packing,
         bpe_codec.op10_bpe_codec,
+        merkle.op11_merkle_manifest,
         alignment.op13_alignment,
     )
 }
@@ -25,4 +26,5 @@ ORACLES = {
     "op4_exact_dedup": exact_dedup.ORACLE_SQL,
     "op6_url_filter": url_filter.ORACLE_SQL,
     "op7_chat_format": chat.ORACLE_SQL,
+    "op11_merkle_manifest": merkle.ORACLE_SQL,
 }
