@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import alignment, bpe_codec, chat, exact_dedup, html_text, lsh_dedup, merkle, packing, simhash, token_store, toxicity, url_filter
+from . import alignment, bpe_codec, chat, exact_dedup, html_text, lsh_dedup, merkle, packing, pattern_packing, simhash, token_store, toxicity, url_filter
 
 QUERIES = {
     f.__name__: f
@@ -18,6 +18,7 @@ QUERIES = {
         packing.op9_packing,
         bpe_codec.op10_bpe_codec,
         merkle.op11_merkle_manifest,
+        pattern_packing.op12_pattern_packing,
         alignment.op13_alignment,
     )
 }
