@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import scores, text
 from ..sources.shared import settled
 from . import access, longdoc
+from .vector_index import VectorIndex
 
 OVER_RETRIEVE, MAX_TOP_K = 3, 100
 HIDDEN = ("archived", "deleted")
@@ -47,6 +48,13 @@ def vector_candidates(contexts: DataFrame, vectors: DataFrame, query_vector: lis
     return _ranked(contexts.join(F.broadcast(top), id_col), F.desc("score"), F.col(id_col))
 
 
+def indexed_candidates(contexts: DataFrame, index: VectorIndex, query_vector: list[float], k: int, probes: int | None = None, id_col: str = "id") -> DataFrame:
+    """I02, F01 by an index of vectors, probing the cells nearest to the query (all of them: the rows of vector_candidates)."""
+    query = contexts.sparkSession.createDataFrame([(0, [float(x) for x in query_vector])], "query_id long, vector array<double>")
+    top = index.search(query, k, probes, contexts.select(F.col(id_col).alias("vec_id"))).select(F.col("vec_id").alias(id_col), "score")
+    return _ranked(contexts.join(F.broadcast(top), id_col), F.desc("score"), F.col(id_col))
+
+
 def keyword_candidates(contexts: DataFrame, query: str, k: int, id_col: str = "id") -> DataFrame:
     """The k contexts with the most hits of query tokens (repeats count) in l0 and l1; ties by id."""
     words = text.query_tokens(query)
@@ -89,15 +97,21 @@ def governed(pool: DataFrame, policies: DataFrame, teams: DataFrame, agent: str,
     return out.withColumns({c: text.masked(F.col(c), F.col("field_masks")) for c in ("l0_content", "l1_content", "l2_content", "snippet") if c in out.columns})
 
 
-def search(contexts: DataFrame, query: str, policies: DataFrame, teams: DataFrame, counters: DataFrame, agent: str, top_k: int = 10, query_vector: list[float] | None = None, vectors: DataFrame | None = None, scopes=None, types=None, with_stale: bool = True, long_texts: DataFrame | None = None, sections: DataFrame | None = None) -> DataFrame:
-    """The pipeline. Vector candidates if there is a query vector, else keyword candidates; BM25 then replaces their score.
+def search(contexts: DataFrame, query: str, policies: DataFrame, teams: DataFrame, counters: DataFrame, agent: str, top_k: int = 10, query_vector: list[float] | None = None, vectors: DataFrame | VectorIndex | None = None, scopes=None, types=None, with_stale: bool = True, long_texts: DataFrame | None = None, sections: DataFrame | None = None) -> DataFrame:
+    """The pipeline. Vector candidates (by a scan of vectors, or by an index of them) if there is a query vector, else keyword candidates; BM25 then
+    replaces their score.
 
     long_texts (id, text) are documents that are kept as files (I06); with their sections they give a snippet, and its worth changes the score.
     L2 is masked like the other levels (I11, I13).
     """
     top_k = min(top_k, MAX_TOP_K)
     live = searchable(contexts, scopes, types, with_stale)
-    pool = vector_candidates(live, vectors, query_vector, top_k * OVER_RETRIEVE) if query_vector else keyword_candidates(live, query, top_k * OVER_RETRIEVE)
+    if not query_vector:
+        pool = keyword_candidates(live, query, top_k * OVER_RETRIEVE)
+    elif isinstance(vectors, VectorIndex):
+        pool = indexed_candidates(live, vectors, query_vector, top_k * OVER_RETRIEVE)
+    else:
+        pool = vector_candidates(live, vectors, query_vector, top_k * OVER_RETRIEVE)
     pool = bm25(pool, query)
     if long_texts is not None:
         pool = settled(longdoc.snippets(pool, long_texts, sections, query))  # a few hundred rows, each of which took long
