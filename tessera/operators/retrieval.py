@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import scores, text
 from ..sources.shared import settled
 from . import access, longdoc
+from .text_index import TextIndex
 from .vector_index import VectorIndex
 
 OVER_RETRIEVE, MAX_TOP_K = 3, 100
@@ -65,6 +66,13 @@ def keyword_candidates(contexts: DataFrame, query: str, k: int, id_col: str = "i
     return _ranked(found.orderBy(F.desc("score"), id_col).limit(k), F.desc("score"), F.col(id_col))
 
 
+def keyword_candidates_indexed(contexts: DataFrame, index: TextIndex, query: str, k: int, attributes: dict[str, list[str]] | None = None, id_col: str = "id") -> DataFrame:
+    """The rows of keyword_candidates from posting lists; contexts are read for verified ids and the k found ones only."""
+    found = index.search(contexts, query, k, attributes, id_col=id_col)
+    top = contexts.sparkSession.createDataFrame(found, f"{id_col} long, score double")
+    return _ranked(contexts.filter(F.col(id_col).isin([i for i, _ in found])).join(F.broadcast(top), id_col), F.desc("score"), F.col(id_col))
+
+
 def bm25(pool: DataFrame, query: str, id_col: str = "id") -> DataFrame:
     """The pool with `rerank_score` and new places. Statistics are the pool's own; the text is l1, or l0, or empty.
     Without query tokens the score is null and the order stays."""

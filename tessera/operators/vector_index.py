@@ -54,7 +54,7 @@ def _dealt(batches, centers):
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(_nearest(x, centers.value, 1)[:, 0], pa.int32())], names=[*batch.schema.names, "cell"])
 
 
-def _blocks(batches, centers):
+def _blocks(batches, centers, size: int):
     """Rows sorted by cell as blocks."""
     held: dict[str, list] = {"cell": [], "vec_id": [], "x": []}
 
@@ -63,8 +63,8 @@ def _blocks(batches, centers):
         rows = []
         for cell in np.unique(cells[:n]).tolist():
             here = np.flatnonzero(cells[:n] == cell)
-            for i in range(0, len(here), BLOCK):
-                part = here[i : i + BLOCK]
+            for i in range(0, len(here), size):
+                part = here[i : i + size]
                 left = _units(x[part]) - centers.value[cell]
                 scale = np.maximum(np.abs(left).max(1), 1e-30) / 127
                 code = np.rint(left / scale[:, None]).astype("i1")
@@ -82,7 +82,7 @@ def _blocks(batches, centers):
             held["vec_id"].append(batch.column("vec_id").to_numpy())
             held["x"].append(_matrix(batch.column("embedding")))
             n += batch.num_rows
-        if n >= BLOCK:  # cells are in order, so what is held is one cell's rows or ends of several
+        if n >= size:  # cells are in order, so what is held is one cell's rows or ends of several
             yield out(n)
             n = 0
     if n:
@@ -168,7 +168,7 @@ def _sampled(rows: DataFrame, n: int) -> DataFrame:
     return rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(n)
 
 
-def build(vectors: DataFrame, path: str, cells: int | None = None, target: float | None = TARGET, id_col: str = "vec_id", vector_col: str = "embedding") -> VectorIndex:
+def build(vectors: DataFrame, path: str, cells: int | None = None, target: float | None = TARGET, id_col: str = "vec_id", vector_col: str = "embedding", block: int = BLOCK) -> VectorIndex:
     """Index every vector that has a direction (not null or zero, all components finite) under path.
 
     Cells are fitted on SAMPLE vectors. The number of probes is the least that gives the share `target` of the TRIAL_K nearest of TRIALS sampled
@@ -193,7 +193,7 @@ def build(vectors: DataFrame, path: str, cells: int | None = None, target: float
     dealt = rows.mapInArrow(lambda it: _dealt(it, held), "vec_id long, embedding array<double>, cell int").hint("rebalance", "cell").sortWithinPartitions("cell", "vec_id")
     dealt.write.partitionBy("cell").parquet(f"{path}/vectors")
     stored = spark.read.parquet(f"{path}/vectors").select("cell", "vec_id", "embedding").hint("rebalance", "cell").sortWithinPartitions("cell", "vec_id")
-    stored.mapInArrow(lambda it: _blocks(it, held), "cell int, ids array<long>, codes binary, scales binary, missed binary").write.partitionBy("cell").parquet(f"{path}/blocks")
+    stored.mapInArrow(lambda it: _blocks(it, held, block), "cell int, ids array<long>, codes binary, scales binary, missed binary").write.partitionBy("cell").parquet(f"{path}/blocks")
     index = VectorIndex(spark, path, held.value)
     trials = _sampled(rows, TRIALS).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
     if target:

@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import retrieval as ops
-from ..operators import vector_index
+from ..operators import text_index, vector_index
 from ..sources import tables
 from ..sources.shared import new_folder
 from . import common, retrieval
+from .common import ACCOUNT, QUERY
 
 QUERIES, ORACLES, query = common.book()
 NEAREST = vector_index.TRIAL_K
@@ -45,3 +46,29 @@ def recall(spark: SparkSession, sf_dir: str) -> DataFrame:
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     live = ops.searchable(common.contexts(spark, sf_dir))
     return ops.indexed_candidates(live, vectors_by_cells(spark, sf_dir), retrieval.query_vector(spark, sf_dir), retrieval.POOL).select("place", "id", "score")
+
+
+def texts_by_grams(spark: SparkSession, sf_dir: str) -> text_index.TextIndex:
+    rows = tables.contexts(spark, sf_dir)
+    attributes = {"account_id": F.col("account_id"), "hidden": F.col("status").isin(*ops.HIDDEN)}
+    return text_index.build(rows, new_folder(spark, "text-index"), attributes=attributes)
+
+
+#: What the index knows of a tenant's live contexts.
+LIVE = {"account_id": [ACCOUNT], "hidden": ["false"]}
+#: Rare words, parts of words, a wildcard and a common word; most texts have few of them.
+RARE = "zzqx t_e ion the 1 schule"
+_RARE = " + ".join(f"(lower(coalesce({c}, '')) LIKE '%{w}%')::INT" for w in RARE.split() for c in ("l0_content", "l1_content"))
+
+
+@query("I03_index_candidates", retrieval.ORACLES["I03_keyword_candidates"])
+def keyword_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    live = ops.searchable(common.contexts(spark, sf_dir))
+    return ops.keyword_candidates_indexed(live, texts_by_grams(spark, sf_dir), QUERY, retrieval.POOL, LIVE).select("place", "id", "score")
+
+
+@query("H04_index_wildcards", f"""{tables.VIEWS}, {retrieval._LIVE}, found AS (SELECT id, round(({_RARE})::DOUBLE / {2 * len(RARE.split())}, 6) AS score FROM live)
+SELECT row_number() OVER (ORDER BY score DESC, id) AS place, id, score FROM found WHERE score > 0 ORDER BY place LIMIT {retrieval.POOL}""")
+def wildcards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    live = ops.searchable(common.contexts(spark, sf_dir))
+    return ops.keyword_candidates_indexed(live, texts_by_grams(spark, sf_dir), RARE, retrieval.POOL, LIVE).select("place", "id", "score")

@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import vector_index
+from tessera.functions import text
+from tessera.operators import retrieval, text_index, vector_index
 from tessera.sources.shared import new_folder
 
 
@@ -70,9 +71,65 @@ def test_allowed_and_empty(spark, index):
     assert ix.search(asked(rows).limit(0), 5).count() == 0
 
 
-def test_codes_bound_cosines(monkeypatch, spark):
+def test_codes_bound_cosines(spark):
     """Small blocks and a coarse code still lose nothing, since what the code misses is part of the bounds."""
-    monkeypatch.setattr(vector_index, "BLOCK", 7)
     x, rows = vectors(spark, 150, 5, 9)
-    ix = vector_index.build(rows, new_folder(spark, "index"), cells=4, target=None)
+    ix = vector_index.build(rows, new_folder(spark, "index"), cells=4, target=None, block=7)
     assert found(ix.search(asked(rows.filter("vec_id < 150")), 20)) == scan(x, 20, range(0, 150, 50))
+
+
+WORDS = "the schule straße École naïve data base lake a_b tee toe 日本語 x".split()
+
+
+def texts(spark, n=300, seed=4):
+    rng = np.random.default_rng(seed)
+    say = lambda: None if rng.random() < 0.05 else " ".join(rng.choice(WORDS, rng.integers(0, 6)).tolist())
+    rows = [(int(i), say(), say(), "even" if i % 2 == 0 else "odd") for i in rng.permutation(n) * 3]
+    rows += [(5000 + i, "the same text", None, "odd") for i in range(n // 2)]  # a third are copies
+    return spark.createDataFrame(rows, "id long, l0_content string, l1_content string, kind string")
+
+
+@pytest.fixture(scope="module")
+def grams(spark):
+    path = new_folder(spark, "docs")
+    texts(spark).write.parquet(path)
+    docs = spark.read.parquet(path)
+    return docs, text_index.build(docs, new_folder(spark, "grams"), attributes={"kind": F.col("kind")}, block=16)
+
+
+@pytest.mark.parametrize(("query", "k"), [("the data", 1), ("t_e", 40), ("strasse straße école ÉCOLE a", 1000), ("_", 3), ("__ tee tee", 1000), ("日本 本語 the_same x", 40), ("zzz", 5), ("", 5)])
+def test_grams_are_a_scan(monkeypatch, grams, query, k):
+    monkeypatch.setattr(text_index, "WAVE", 1)
+    monkeypatch.setattr(text_index, "LITERALS", 100)  # larger batches are joined
+    docs, index = grams
+    odd = docs.filter("kind = 'odd'")
+    for rows, kinds in ((docs, None), (odd, {"kind": ["odd"]})):
+        want = [(r.id, round(r.score, 6)) for r in retrieval.keyword_candidates(rows, query, k).orderBy("place").collect()]
+        assert index.search(rows, query, k, kinds) == want
+
+
+def test_grams_of_keywords():
+    assert text_index.grams_of("ab_cdef") == [text_index.term_of(g) for g in ("ab", "cde", "def")]
+    assert text_index.grams_of("__") == [] and len(text_index.grams_of("aaaa")) == 1
+    assert max(map(text_index.term_of, ["\U0010ffff" * 3])) < 1 << 63
+
+
+def test_grams_read_few_texts(spark, grams):
+    """Texts are read for verified ids: the scan has them as a pushed filter."""
+    docs, index = grams
+    seen = []
+    real = docs.filter
+
+    class Spy:
+        def __getattr__(self, name):
+            return getattr(docs, name)
+
+        def filter(self, condition):
+            seen.append(real(condition))
+            return seen[-1]
+
+    assert len(index.search(Spy(), "schule", 3)) == 3
+    assert seen and all("PushedFilters: [In(id" in d._jdf.queryExecution().executedPlan().toString() and d.count() <= 6 for d in seen)
+    empty = text_index.build(docs.limit(0), new_folder(spark, "grams"))
+    assert empty.search(docs, "the", 5) == []
+    assert text.query_tokens("") == []
