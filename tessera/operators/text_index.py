@@ -177,8 +177,8 @@ class TextIndex:
         asked = self._terms(attributes or {})
         terms = sorted({t for _, ts in need for t in ts} | {t for ts in asked for t in ts})
         numbers = [r[0] for r in self.spark.createDataFrame([(t,) for t in terms] or [(0,)], "term long").select(_bucket(F.col("term"))).distinct().collect()]
-        lists = self.spark.read.parquet(f"{self.path}/postings").filter(F.col("bucket").isin(numbers) & F.col("term").isin(terms))
-        blocks = self.spark.read.parquet(f"{self.path}/blocks")
+        lists = self.spark.read.schema(f"{_POSTING}, bucket int").parquet(f"{self.path}/postings").filter(F.col("bucket").isin(numbers) & F.col("term").isin(terms))
+        blocks = self.spark.read.schema("block long, n int, ids array<long>").parquet(f"{self.path}/blocks")
         bounds = stored(self._bounds(lists, blocks, need, asked), "bounds")
         hits = reduce(lambda a, b: a + b, [text.keyword_hit(F.col(c), w).cast("int") for w in words for c in fields])
         best: list[tuple[int, int]] = []  # a heap of (hits, -id): the worst first
