@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import agent_text, longdoc, sections
+from ..operators import agent_text, longdoc, many_searches, sections
 from ..operators import retrieval as ops
 from ..sources import tables
 from ..sources.shared import small_side
 from . import common
+from .text import RECALL_SQL
 from .common import ACCOUNT, AGENT, COUNTERS, LATEST, MINE, QUERY, TOP_K
 
 QUERIES, ORACLES, query = common.book()
@@ -170,3 +171,58 @@ def snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
     near = docs.join(small_side(pool.select(F.col("id").alias("doc_id"))), "doc_id", "left_semi")
     out = longdoc.snippets(pool, docs.withColumnRenamed("doc_id", "id"), sections.section_rows(near), QUERY)
     return out.select("id", "place", "section_no", "strategy", "snippet", "rerank_score")
+
+
+#: What an agent is told before its messages, the head of what is recalled, and tokens of a prompt.
+GUIDE, HEADER, INTRO, PROMPT_TOKENS = "g" * 400, "## Recalled context", "Found in memory:", 1500
+RECALLED = 5
+_TALK = f"""{tables.VIEWS}, {MINE}, {LATEST}, {COUNTERS}, {_LIVE}, asked AS ({RECALL_SQL}),
+q AS (SELECT conv_id, regexp_extract_all(lower(query), '[\\p{{L}}\\p{{N}}_]+') AS words FROM asked),
+w AS (SELECT conv_id, unnest(words) AS w, unnest(range(len(words))) AS i, len(words) AS n_words FROM q),
+word_hits AS (SELECT d.w, live.id, (lower(coalesce(l0_content, '')) LIKE '%' || d.w || '%')::INT + (lower(coalesce(l1_content, '')) LIKE '%' || d.w || '%')::INT AS h FROM (SELECT DISTINCT w FROM w) d, live),
+sums AS (SELECT conv_id, id, sum(h) AS hits, any_value(n_words) AS n_words FROM w JOIN word_hits USING (w) WHERE h > 0 GROUP BY conv_id, id),
+pool AS (SELECT conv_id, id, round(hits::DOUBLE / (2 * n_words), 6) AS score, row_number() OVER (PARTITION BY conv_id ORDER BY hits DESC, id) AS place FROM sums QUALIFY place <= {RECALLED * ops.OVER_RETRIEVE})"""
+_RECALL = f"""{_TALK}, body AS (SELECT conv_id, place, live.*, regexp_extract_all(lower(coalesce(l1_content, l0_content, '')), '[\\p{{L}}\\p{{N}}_]+') AS t FROM pool JOIN live USING (id)),
+stats AS (SELECT conv_id, count(*) AS n_docs, avg(len(t)) AS mean FROM body GROUP BY conv_id),
+tf AS (SELECT conv_id, id, i, len(list_filter(t, lambda x: x = w.w)) AS tf, len(t) AS n FROM body JOIN w USING (conv_id)),
+df AS (SELECT conv_id, i, count(*) FILTER (WHERE tf > 0) AS df FROM tf GROUP BY conv_id, i),
+bm AS (SELECT conv_id, id, round(sum(CASE WHEN tf > 0 THEN ln((n_docs - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * n / mean)) ELSE 0 END), 6) AS rerank_score
+  FROM tf JOIN df USING (conv_id, i) JOIN stats USING (conv_id) GROUP BY conv_id, id),
+scored AS (SELECT bm.conv_id, bm.id, row_number() OVER (PARTITION BY bm.conv_id ORDER BY rerank_score DESC, place) AS place, round(rerank_score * CASE WHEN coalesce(adopted, 0) + coalesce(ignored, 0) >= 5 THEN 0.5 + 0.5 * adopted / (adopted + ignored + 1) ELSE 1 END
+  * CASE WHEN status = 'stale' THEN 0.85 ELSE 1 END, 6) AS final_score FROM bm JOIN body USING (conv_id, id) LEFT JOIN counters ON counters.id = bm.id),
+{common.decided("live")}, result AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY final_score DESC, place) AS place, id, uri, final_score, {common.masked("l0_content")} AS l0_content, {common.masked("l1_content")} AS l1_content
+  FROM scored JOIN decided USING (id) WHERE reason IN ('explicit allow', 'baseline') QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY final_score DESC, scored.place) <= {RECALLED})"""
+
+
+def _recalled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    policies, teams, counts = _inputs(spark, sf_dir)
+    queries = agent_text.recall_queries(tables.read(spark, sf_dir, "conversations")).withColumnRenamed("conv_id", "query_id")
+    return many_searches.searched(common.contexts(spark, sf_dir), queries, policies, teams, counts, AGENT, RECALLED)
+
+
+@query("I03_many_queries", f"{_TALK} SELECT conv_id, id, score, place FROM pool")
+def many_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keyword candidates of every conversation's question."""
+    queries = agent_text.recall_queries(tables.read(spark, sf_dir, "conversations")).withColumnRenamed("conv_id", "query_id")
+    found = many_searches.candidates(ops.searchable(common.contexts(spark, sf_dir)), queries, RECALLED * ops.OVER_RETRIEVE)
+    return found.select(F.col("query_id").alias("conv_id"), "id", "score", "place")
+
+
+@query("O02_recalled", f"{_RECALL} SELECT * FROM result")
+def recalled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _recalled(spark, sf_dir).withColumnRenamed("query_id", "conv_id")
+
+
+@query("O07_assembled", f"""{_RECALL}, lines AS (SELECT *, trim(regexp_replace(coalesce(nullif(l1_content, ''), l0_content, ''), '\\s+', ' ', 'g')) AS body, (round(final_score * 1000000)::BIGINT + 5000) // 10000 AS cents FROM result),
+joined AS (SELECT conv_id, '{HEADER}' || chr(10) || '{INTRO}' || chr(10) || chr(10) || string_agg('- **Source**: `' || uri || '` (score: ' || cents // 100 || '.' || lpad((cents % 100)::VARCHAR, 2, '0') || ')' || chr(10) || '  ' || body, chr(10) || chr(10) ORDER BY place) AS whole
+  FROM lines WHERE body <> '' AND NOT regexp_matches(body, '^(ctx|mem|skill|http|https)://[^ ]*$') GROUP BY conv_id),
+t AS (SELECT conv_id, sum(ceil(length(coalesce(text, '')) / 4)::BIGINT + 4)::BIGINT + {-(-len(GUIDE) // 4)} AS tokens FROM conversations GROUP BY conv_id),
+b AS (SELECT *, 4 * greatest(0, {PROMPT_TOKENS} - tokens) AS most FROM t LEFT JOIN joined USING (conv_id)),
+c AS (SELECT *, left(whole, greatest(0, most - 3)) AS cut FROM b), d AS (SELECT *, rtrim(CASE WHEN contains(cut, ' ') THEN regexp_replace(cut, ' [^ ]*$', '') ELSE cut END, ' ,;:' || chr(10)) AS short FROM c),
+e AS (SELECT conv_id, tokens, CASE WHEN most <= {len(HEADER) + 8} THEN NULL WHEN length(whole) <= most THEN whole WHEN length(short) > {len(HEADER) + 8} THEN short || '...' END AS block FROM d)
+SELECT conv_id, tokens + ceil(length(coalesce(block, '')) / 4)::BIGINT AS tokens, concat_ws(chr(10) || chr(10), '{GUIDE}', block) AS addition FROM e""")
+def assembled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation's prompt: what is recalled for its question, within what its messages leave of the budget."""
+    budgets = agent_text.budgets(tables.read(spark, sf_dir, "conversations"), PROMPT_TOKENS, GUIDE)
+    rooms = budgets.select(F.col("conv_id").alias("query_id"), "room")
+    return many_searches.assembled(budgets, many_searches.recall_blocks(_recalled(spark, sf_dir), rooms, HEADER, INTRO), GUIDE)

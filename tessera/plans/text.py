@@ -100,9 +100,12 @@ def padded(spark: SparkSession, sf_dir: str) -> DataFrame:
 _LAST = "SELECT conv_id, arg_max(body, turn) AS body FROM (SELECT conv_id, turn, trim(coalesce(text, ''), ' ' || chr(9) || chr(10) || chr(13)) AS body FROM conversations WHERE role = '{}') WHERE body <> '' GROUP BY conv_id"
 
 
-@query("O01_recall_queries", f"""WITH b AS ({_LAST.format("user")}), l AS (SELECT *, list_transform(string_split_regex(body, '\\r\\n|[\\n\\r]'), lambda x: trim(x)) AS lines FROM b),
+RECALL_SQL = f"""WITH b AS ({_LAST.format("user")}), l AS (SELECT *, list_transform(string_split_regex(body, '\\r\\n|[\\n\\r]'), lambda x: trim(x)) AS lines FROM b),
 q AS (SELECT *, list_filter(lines, lambda x: ends_with(x, '?') AND length(x) > 10)[-1] AS asked, trim(regexp_extract_all(body, '[^.!?\\n]{{10,}}\\?')[-1]) AS sentence, list_filter(lines, lambda x: length(x) > 10)[-1] AS line FROM l)
-SELECT conv_id, CASE WHEN length(body) <= {agents.LONG} THEN body ELSE left(coalesce(asked, CASE WHEN length(sentence) > 10 THEN sentence END, line, right(body, {agents.LONG})), {agents.RECALL_CHARS}) END AS query FROM q""")
+SELECT conv_id, CASE WHEN length(body) <= {agents.LONG} THEN body ELSE left(coalesce(asked, CASE WHEN length(sentence) > 10 THEN sentence END, line, right(body, {agents.LONG})), {agents.RECALL_CHARS}) END AS query FROM q"""
+
+
+@query("O01_recall_queries", RECALL_SQL)
 def recall_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return agents.recall_queries(tables.read(spark, sf_dir, "conversations"))
 
