@@ -33,6 +33,8 @@ from .common import shuffle_partitions, small_batches, table, written
 WHITE_SPACE = b" \t\n\v\f\r"
 #: Bytes of rows and labels that a reading task holds before it sends on what it has, and that an owner holds before it spills.
 LOCAL_BYTES, OWNER_BYTES = 48 << 20, 128 << 20
+#: What a node of a trie takes besides its label (its list, children and value), and an id that is kept for a row.
+NODE_BYTES, ID_BYTES = 600, 48
 
 
 def normalised(text: str | None) -> bytes:
@@ -70,7 +72,7 @@ class PatriciaTrie:
             child = children.get(key[0])
             if child is None:
                 children[key[0]] = node = [key, {}, None]
-                self.held += len(key)
+                self.held += len(key) + NODE_BYTES
                 break
             if key.startswith(child[0]):
                 key, node = key[len(child[0]) :], child
@@ -78,16 +80,17 @@ class PatriciaTrie:
             n = _common(key, child[0])
             children[key[0]] = node = [child[0][:n], {child[0][n]: child}, None]
             child[0], key = child[0][n:], key[n:]
+            self.held += NODE_BYTES
             if key:
                 node[1][key[0]] = leaf = [key, {}, None]
-                self.held += len(key)
+                self.held += len(key) + NODE_BYTES
                 node = leaf
             break
         node[2] = value if node[2] is None else better(node[2], value)
         return node[2]
 
     def heaviest(self) -> bytes | None:
-        """The prefix of the subtree with the most label bytes, of those below the first node where strings part or one ends. None
+        """The prefix of the subtree with the most bytes, of those below the first node where strings part or one ends. None
         where a single string is left."""
         path, node = b"", self.root
         while len(node[1]) == 1 and node[2] is None:
@@ -95,7 +98,7 @@ class PatriciaTrie:
             path += node[0]
         if not node[1]:
             return None
-        return path + bytes([max(node[1], key=lambda b: sum(len(n[0]) for n in self._nodes(node[1][b])))])
+        return path + bytes([max(node[1], key=lambda b: sum(len(n[0]) + NODE_BYTES for n in self._nodes(node[1][b])))])
 
     def _nodes(self, node):
         stack = [node]
@@ -110,7 +113,7 @@ class PatriciaTrie:
             node = node[1][prefix[0]]
             prefix = prefix[len(node[0]) :]
         gone = list(self._nodes(node[1].pop(prefix[0])))
-        self.held -= sum(len(n[0]) for n in gone)
+        self.held -= sum(len(n[0]) + NODE_BYTES for n in gone)
         return [n[2] for n in gone if n[2] is not None]
 
     def values(self) -> list:
@@ -207,9 +210,11 @@ def _local(batches, id_col: str, text_col: str, members: bool):
     """One row for each distinct text of a task; sent on when the rows held reach a bound (a text may then have two)."""
     task, made = TaskContext.get().partitionId(), 0
 
-    def better(a, b):
-        first = a if a[0] <= b[0] else b
-        return [first[0], first[1], a[2] + b[2]]
+    def better(a, b):  # values are [order and place of the best row, ids of all rows, the best one's place in them]; a stays and grows
+        if b[0] < a[0]:
+            a[0], a[1], a[3] = b[0], b[1], len(a[2])
+        a[2].extend(b[2])
+        return a
 
     def flush(trie, held):
         nonlocal made
@@ -221,8 +226,7 @@ def _local(batches, id_col: str, text_col: str, members: bool):
             digests = [hashlib.sha256(k).digest() for k in keys]
             more = {"rep": pa.array(range(task << 32 | made, (task << 32 | made) + len(part)), pa.int64()), "n_bytes": pa.array(map(len, keys), pa.int64()), "h": pa.array([int.from_bytes(d[:8], "big", signed=True) for d in digests], pa.int64())}
             if members:
-                ids = [[m[1] for m in v[2]] for v in part]
-                more |= {"digest": pa.array(digests, pa.binary()), "ids": pa.array(ids, pa.list_(pa.int64())), "best": pa.array([next(j for j, m in enumerate(v[2]) if m[0] == v[0]) for v in part], pa.int32())}
+                more |= {"digest": pa.array(digests, pa.binary()), "ids": pa.array([v[2] for v in part], pa.list_(pa.int64())), "best": pa.array([v[3] for v in part], pa.int32())}
             made += len(part)
             (own,) = rows.take(pa.array([v[1] for v in part])).combine_chunks().to_batches()
             yield pa.RecordBatch.from_arrays([*own.columns, *more.values()], names=[*own.schema.names, *more])
@@ -231,9 +235,9 @@ def _local(batches, id_col: str, text_col: str, members: bool):
     for batch in batches:
         for i, (text, doc_id) in enumerate(zip(batch.column(text_col).to_pylist(), batch.column(id_col).to_pylist(), strict=True)):
             order = (-len(text or ""), doc_id is None, doc_id or 0)
-            trie.insert(normalised(text), [order, count + i, [(order, doc_id)] if members else []], better)
+            trie.insert(normalised(text), [order, count + i, [doc_id] if members else [], 0], better)
         held.append(batch)
-        count, size = count + len(batch), size + batch.nbytes
+        count, size = count + len(batch), size + batch.nbytes + members * ID_BYTES * len(batch)
         if size + trie.held > LOCAL_BYTES:
             yield from flush(trie, held)
             trie, held, count, size = PatriciaTrie(), [], 0, 0

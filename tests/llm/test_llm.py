@@ -4,6 +4,7 @@ import base64
 import hashlib
 import os
 import random
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -282,6 +283,25 @@ def test_exact_odd(spark, odd):
     assert exact_dedup.decisions(empty(spark)).count() == 0 and exact_dedup.survivors(empty(spark)).count() == 0
 
 
+def test_exact_hot(spark):
+    """Very many equal texts, and very many distinct short ones, in one partition: time grows with the rows."""
+    n = 200_000
+    rows = spark.range(2 * n, numPartitions=1).selectExpr("id AS doc_id", f"CASE WHEN id < {n} THEN NULL ELSE concat('t', id) END AS text")
+    began = time.time()
+    found = exact_dedup.decisions(rows).groupBy("kept", "group_size").count().collect()
+    assert {(r.kept, r.group_size, r["count"]) for r in found} == {(True, n, 1), (False, n, n - 1), (True, 1, n)} and time.time() - began < 120
+
+
+def test_trie_counts_nodes():
+    trie = exact_dedup.PatriciaTrie()
+    for i in range(5000):
+        trie.insert(b"%d" % i, [i], lambda a, b: a)
+    nodes = sum(1 for _ in trie._nodes(trie.root)) - 1
+    assert trie.held >= nodes * exact_dedup.NODE_BYTES
+    trie.pop(trie.heaviest())
+    assert trie.held >= (sum(1 for _ in trie._nodes(trie.root)) - 1) * exact_dedup.NODE_BYTES > 0
+
+
 @pytest.mark.parametrize("shared", [b"", b"<p>"])
 def test_trie_spills(shared):
     """Also where all texts begin alike, and where only the rows are long."""
