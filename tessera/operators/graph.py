@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.shared import settled
+from .lineage_labels import LineageLabels
 
 #: Levels after which what was seen becomes one table again, so that a deep walk does not join ever more pieces.
 MERGE_LEVELS = 16
@@ -52,9 +53,9 @@ def reachable(edges: DataFrame, start: str, downstream: bool = True) -> DataFram
     return seen.filter("depth > 0")
 
 
-def lineage_of(edges: DataFrame, nodes: DataFrame, start: str, downstream: bool = True) -> DataFrame:
+def lineage_of(labels: LineageLabels, nodes: DataFrame, start: str, downstream: bool = True) -> DataFrame:
     """Reachable nodes that are not archived or deleted; hidden nodes are still walked through. nodes: node, status."""
-    found = reachable(edges, start, downstream)
+    found = labels.reachable(start, downstream)
     return found.join(nodes, "node", "left").filter(~F.coalesce(F.col("status"), F.lit("active")).isin("archived", "deleted")).select("node", "depth")
 
 

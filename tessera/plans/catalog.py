@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import catalog as ops
-from ..operators import graph
+from ..operators import graph, lineage_labels
 from ..operators import retrieval as search
 from ..sources import tables
 from ..sources.catalog import TABLES, ParquetCatalog
@@ -126,6 +126,28 @@ def tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.reachable(tables.lineage(spark, sf_dir), "s0")
 
 
+_PAIRS = """, walk AS (SELECT upstream AS start, downstream AS node, 1 AS depth, [upstream, downstream] AS path FROM lineage
+  UNION ALL SELECT start, downstream, depth + 1, list_append(path, downstream) FROM walk JOIN lineage ON upstream = node WHERE NOT list_contains(path, downstream)),
+pairs AS (SELECT start, node, min(depth)::INT AS depth FROM walk WHERE start <> node GROUP BY start, node)"""
+#: Of the nodes that are suppliers, one in seven is archived.
+_ARCHIVED = "s_suppkey % 7 = 0"
+
+
+@query("C03_lineage_pairs", f"{_PAIRS} SELECT * FROM pairs")
+def lineage_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Everything that is downstream of anything, with its depth."""
+    return lineage_labels.build(tables.lineage(spark, sf_dir)).pairs()
+
+
+@query("M20_lineage", f"""{_PAIRS}, hidden AS (SELECT 's' || s_suppkey AS node FROM supplier WHERE {_ARCHIVED})
+SELECT 'downstream' AS side, node, depth FROM pairs WHERE start = 's1' AND node NOT IN (FROM hidden) UNION ALL SELECT 'upstream', start, depth FROM pairs WHERE node = 's41' AND start NOT IN (FROM hidden)""")
+def lineage_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = lineage_labels.build(tables.lineage(spark, sf_dir))
+    nodes = tables.read(spark, sf_dir, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("node"), F.when(F.expr(_ARCHIVED), "archived").otherwise("active").alias("status"))
+    sides = [graph.lineage_of(labels, nodes, start, side == "downstream").select(F.lit(side).alias("side"), "node", "depth") for side, start in (("downstream", "s1"), ("upstream", "s41"))]
+    return sides[0].unionByName(sides[1])
+
+
 @query("C08_dependencies", """SELECT a.uri AS dependent_uri, b.uri AS dependency_uri, dep_type, pinned_version FROM dependencies JOIN contexts a ON a.id = dependent_id JOIN contexts b ON b.id = dependency_id WHERE dependent_id = 7 OR dependency_id = 7""")
 def dependencies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.dependencies_of(tables.dependencies(spark, sf_dir), tables.contexts(spark, sf_dir), 7)
