@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import access, audit, contexts, propagation, retrieval, sections
+from ..operators import access, audit, command_log, contexts, propagation, retrieval, sections
 from ..sources import tables
 from . import common
 from . import retrieval as searches
@@ -183,3 +183,46 @@ def ingest_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("N07_backoff", "SELECT event_id, least(300, (event_id % 80) * 5)::INT AS seconds FROM events")
 def backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.read(spark, sf_dir, "events").select("event_id", propagation.scores.backoff_seconds(F.col("event_id") % 80).cast("int").alias("seconds"))
+
+
+#: A third of all commands are updates of one row, which expects each version several times; every sixth row may not be written.
+_HOT = 7
+_SEQUENCE = f""", cmd AS (SELECT event_id AS seq, CASE WHEN event_id % 3 = 0 THEN {_HOT} ELSE user_id END AS id, CASE WHEN event_id % 17 = 0 AND event_id % 3 > 0 THEN 'delete' ELSE 'update' END AS op,
+  CASE WHEN event_id % 3 = 0 THEN 2 + event_id // 30 WHEN event_id % 13 > 0 THEN event_id % 7 + 1 END AS expected, event_id % 19 = 0 AS sets_status, 'new ' || event_id AS content FROM events),
+judged AS (SELECT cmd.*, c.version, c.context_type = 'skill' AND op = 'update' AS blocked, CASE WHEN expected IS NULL THEN 428 WHEN op = 'update' AND sets_status THEN 400 WHEN c.id IS NULL OR c.status = 'deleted' THEN 404 WHEN c.id % 6 = 0 THEN 403 END AS fixed
+  FROM cmd LEFT JOIN contexts c USING (id)),
+good AS (SELECT * FROM judged WHERE fixed IS NULL AND NOT blocked),
+run AS (SELECT DISTINCT id, version::BIGINT AS now, -1::BIGINT AS seq, false AS gone FROM judged WHERE fixed IS NULL
+  UNION ALL SELECT r.id, r.now + 1, g.seq, g.op = 'delete' FROM run r JOIN LATERAL (SELECT * FROM good WHERE good.id = r.id AND good.seq > r.seq AND good.expected = r.now ORDER BY seq LIMIT 1) g ON true WHERE NOT r.gone),
+coded AS (SELECT j.seq, j.id, j.op, j.content, CASE WHEN fixed IS NOT NULL THEN fixed WHEN took.seq IS NOT NULL THEN NULL WHEN r.gone THEN 404 WHEN blocked THEN 400 ELSE 409 END::INT AS error, took.now AS version_after
+  FROM judged j ASOF LEFT JOIN run r ON r.id = j.id AND j.seq > r.seq LEFT JOIN run took ON took.id = j.id AND took.seq = j.seq)"""
+
+
+def _sequence(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """contexts, commands, and the commands' results."""
+    n, hot = F.col("event_id"), F.col("event_id") % 3 == 0
+    cmd = tables.events(spark, sf_dir).select(
+        n.alias("seq"), F.when(hot, _HOT).otherwise(F.col("user_id")).alias("id"), F.when((n % 17 == 0) & ~hot, "delete").otherwise("update").alias("op"),
+        F.when(hot, 2 + F.expr("event_id div 30")).when(n % 13 > 0, n % 7 + 1).alias("expected"), (n % 19 == 0).alias("sets_status"), F.concat(F.lit("new "), n).alias("content"),
+    )
+    rows = tables.contexts(spark, sf_dir)
+    return rows, cmd, command_log.sequenced(rows.withColumn("writable", F.col("id") % 6 != 0), cmd)
+
+
+@query("M02_sequence", f"{_SEQUENCE} SELECT seq, error, version_after FROM coded")
+def sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes by running version."""
+    return _sequence(spark, sf_dir)[2].select("seq", "error", "version_after")
+
+
+@query("M04_sequence_events", f"{_SEQUENCE} SELECT seq, id, CASE op WHEN 'delete' THEN 'deleted' ELSE 'modified' END AS change_type FROM coded WHERE error IS NULL")
+def sequence_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, cmd, results = _sequence(spark, sf_dir)
+    return command_log.events(results, cmd)
+
+
+@query("M02_sequence_applied", f"""{_SEQUENCE}, last AS (SELECT id, max(version_after) AS v, bool_or(op = 'delete') AS gone, arg_max(content, seq) FILTER (WHERE op = 'update') AS content FROM coded WHERE error IS NULL GROUP BY id)
+SELECT c.id, coalesce(v, version)::INT AS version, CASE WHEN gone THEN 'deleted' WHEN v IS NOT NULL THEN 'active' ELSE status END AS status, coalesce(content, l2_content) AS l2_content FROM contexts c LEFT JOIN last USING (id)""")
+def sequence_applied(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, cmd, results = _sequence(spark, sf_dir)
+    return command_log.applied(rows, results, cmd).select("id", "version", "status", "l2_content")
