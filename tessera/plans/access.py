@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import access as ops
+from ..operators import access_all
 from ..operators import contexts as rows
 from ..sources import tables
 from . import common
@@ -138,3 +139,30 @@ def children(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("B01_level", "SELECT id, uri, coalesce(l1_content, '') AS content FROM contexts WHERE status <> 'deleted'")
 def level(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.projected(tables.contexts(spark, sf_dir).filter("status <> 'deleted'"), "L1")
+
+
+_EVERYONE = f""", agents AS (SELECT DISTINCT agent_id FROM memberships),
+seen AS (SELECT agent_id, path, bool_or(direct) AS direct FROM visible GROUP BY agent_id, path),
+principals AS (SELECT agent_id, path AS principal, NOT direct AS above FROM seen UNION ALL SELECT agent_id, agent_id, false FROM agents),
+met AS (SELECT c.uri, p.* FROM contexts c JOIN policies p ON CASE WHEN ends_with(pattern, '*') THEN starts_with(uri, left(pattern, -1)) ELSE uri = pattern END WHERE list_contains(actions, 'read')),
+hits AS (SELECT agent_id, uri, bool_or(effect = 'deny' AND above) AS a, bool_or(effect = 'deny') AS d, max(struct_pack(p := priority, i := -policy_id, m := field_masks)) FILTER (WHERE effect = 'allow') AS w FROM met JOIN principals USING (principal) GROUP BY agent_id, uri),
+verdicts AS (SELECT g.agent_id, c.uri, h.w, CASE WHEN h.a THEN 'parent team deny' WHEN h.d THEN 'explicit deny' WHEN h.w IS NOT NULL THEN 'explicit allow'
+    WHEN coalesce(CASE scope WHEN 'datalake' THEN true WHEN 'agent' THEN owner_space = g.agent_id WHEN 'team' THEN s.path IS NOT NULL END, false) THEN 'baseline' ELSE 'no access' END AS reason
+  FROM agents g CROSS JOIN contexts c LEFT JOIN hits h ON h.agent_id = g.agent_id AND h.uri = c.uri LEFT JOIN seen s ON s.agent_id = g.agent_id AND s.path = c.owner_space WHERE c.status <> 'deleted')"""
+
+
+@query("L05_reasons_by_uri", f"{_EVERYONE} SELECT uri, reason, count(*) AS n_agents FROM verdicts GROUP BY uri, reason")
+def reasons_by_uri(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many of all agents may read each context, and why."""
+    return access_all.reasons_by_uri(tables.contexts(spark, sf_dir), tables.policies(spark, sf_dir), common.visible(spark, sf_dir), tables.memberships(spark, sf_dir))
+
+
+@query("L05_requests", f"""{_EVERYONE}, asked AS (SELECT event_id AS request_id, 'agent-' || event_id % 40 AS agent_id, uri FROM events JOIN contexts ON id = user_id)
+SELECT request_id, agent_id, uri, reason, reason IN ('explicit allow', 'baseline') AS readable, CASE WHEN reason = 'explicit allow' THEN array_to_string(w.m, ',') END AS masks FROM asked JOIN verdicts USING (agent_id, uri)""")
+def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event as a request of an agent for a context, decided by that agent's teams and policies."""
+    every = tables.contexts(spark, sf_dir)
+    asked = tables.events(spark, sf_dir).select(F.col("event_id").alias("request_id"), F.concat(F.lit("agent-"), F.col("event_id") % 40).alias("agent_id"), F.col("user_id").alias("id")).join(every.select("id", "uri"), "id")
+    members = tables.memberships(spark, sf_dir).select("agent_id").distinct()
+    decided = access_all.decide_requests(asked.join(members, "agent_id", "left_semi"), every, tables.policies(spark, sf_dir), common.visible(spark, sf_dir))
+    return decided.select("request_id", "agent_id", "uri", "reason", "readable", F.array_join("field_masks", ",").alias("masks"))
