@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,12 +11,12 @@ from pyspark.sql import functions as F
 from ..operators import audit, feedback, lifecycle, propagation, skills
 from ..sources import tables
 from ..sources.shared import shared_dir
-from ..streaming import outbox
+from ..streaming import delivery, outbox
 from . import common
 from .common import COUNTERS, LATEST
 
 QUERIES, ORACLES, query = common.book()
-_NTZ = ("ts", "stale_at", "archived_at", "last_accessed_at", "next_retry_at", "window_start", "session_start", "session_end")
+_NTZ = ("ts", "stale_at", "archived_at", "last_accessed_at", "next_retry_at", "claimed_at", "window_start", "session_start", "session_end")
 
 
 def _plain_times(df: DataFrame) -> DataFrame:
@@ -211,6 +212,53 @@ def stream_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{base}/actions").drop("batch")
 
 
+#: What workers say of each event: claims, results (some after the lease of 300 seconds, some none), claims of what is not due yet.
+_SAID = (
+    ("event_id >= 0", "0", "created"), ("event_id % 13 > 0", "10 + event_id % 7 * 60", "claimed"), ("event_id % 5 = 0", "20 + event_id % 7 * 60", "failed"), ("event_id % 5 > 1", "30 + event_id % 7 * 60 + CASE WHEN event_id % 11 = 0 THEN 300 ELSE 0 END", "done"),
+    ("event_id % 3 = 0", "22 + event_id % 7 * 60", "claimed"), ("event_id % 4 = 0", "400 + event_id % 7 * 60", "claimed"), ("event_id % 8 = 0", "410 + event_id % 7 * 60", "done"), ("event_id % 12 = 0", "409 + event_id % 7 * 60", "failed"),
+)
+_MESSAGES = " UNION ALL ".join(f"SELECT event_id, ts + to_seconds({at}) AS ts, '{kind}' AS kind FROM events WHERE {which}" for which, at, kind in _SAID)
+_STATES = f"""{tables.VIEWS}, said AS ({_MESSAGES}), m AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY ts, kind) AS k FROM said), most AS (SELECT max(ts) AS now FROM said),
+walk AS (SELECT event_id, 0::BIGINT AS k, NULL::VARCHAR AS status, 0 AS attempts, NULL::TIMESTAMP AS claimed, NULL::TIMESTAMP AS due FROM (SELECT DISTINCT event_id FROM m)
+  UNION ALL SELECT event_id, k, CASE WHEN kind = 'created' AND status IS NULL THEN 'pending' WHEN takes THEN 'processing' WHEN kind = 'done' AND status = 'processing' THEN 'processed' WHEN kind = 'failed' AND status = 'processing' THEN 'retry' ELSE status END,
+    attempts + takes::INT, CASE WHEN takes THEN ts WHEN kind IN ('done', 'failed') AND status = 'processing' THEN NULL ELSE claimed END,
+    CASE WHEN takes OR (kind = 'done' AND status = 'processing') THEN NULL WHEN kind = 'failed' AND status = 'processing' THEN ts + to_seconds(least(300, 5 * attempts)) ELSE due END
+  FROM (SELECT *, kind = 'claimed' AND coalesce(status = 'pending' OR (status = 'retry' AND due <= ts), false) AS takes FROM (
+    SELECT m.event_id, m.k, m.ts, m.kind, w.attempts, CASE WHEN late THEN 'retry' ELSE w.status END AS status, CASE WHEN NOT late THEN w.claimed END AS claimed, CASE WHEN late THEN w.claimed + to_seconds(300) ELSE w.due END AS due
+    FROM (SELECT walk.*, m.ts AS at, coalesce(walk.status = 'processing' AND walk.claimed + to_seconds(300) < m.ts, false) AS late FROM walk JOIN m ON m.event_id = walk.event_id AND m.k = walk.k + 1) w JOIN m ON m.event_id = w.event_id AND m.k = w.k + 1))),
+ends AS (SELECT event_id, unnest(max_by(struct_pack(status, attempts, claimed, due), k)) FROM walk GROUP BY event_id)
+SELECT event_id, CASE WHEN late THEN 'retry' ELSE status END AS delivery_status, attempts::INT AS attempt_count, CASE WHEN NOT late THEN claimed END AS claimed_at, CASE WHEN late THEN claimed + to_seconds(300) ELSE due END AS next_retry_at
+FROM (SELECT *, coalesce(status = 'processing' AND claimed + to_seconds(300) < now + to_seconds(86400), false) AS late FROM ends, most)"""
+
+
+def _messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = tables.events(spark, sf_dir)
+    said = [rows.filter(which).select("event_id", (F.col("ts") + F.make_dt_interval(secs=F.expr(at))).alias("ts"), F.lit(kind).alias("kind")) for which, at, kind in _SAID]
+    return reduce(DataFrame.unionByName, said)
+
+
+def _now(messages: DataFrame):
+    """A day after the last message."""
+    return messages.agg((F.max("ts") + F.make_dt_interval(days=F.lit(1))).alias("now")).first()["now"]
+
+
+@query("N07_delivery_states", _STATES)
+def delivery_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    messages = _messages(spark, sf_dir)
+    return _plain_times(delivery.states(messages, F.lit(_now(messages))))
+
+
+@query("N08_stream_states", _STATES)
+def stream_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same messages as a stream with timers: a tick moves time on, and leases that nobody ended run out."""
+    messages, base = _messages(spark, sf_dir), f"{shared_dir(spark)}/delivery-{uuid.uuid4().hex}"
+    tick = spark.createDataFrame([(-1, _now(messages), "tick")], delivery.MESSAGE)
+    messages.unionByName(tick).write.parquet(f"{base}/messages")
+    stream = spark.readStream.schema(delivery.MESSAGE).parquet(f"{base}/messages")
+    delivery.follow(stream, f"{base}/states", f"{base}/checkpoint").awaitTermination()
+    return _plain_times(delivery.latest(spark.read.parquet(f"{base}/states")))
+
+
 @query("X_tumbling_counts", "SELECT date_trunc('day', ts)::TIMESTAMP AS window_start, change_type, count(*) AS n FROM change_events GROUP BY 1, 2")
 def tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _plain_times(outbox.tumbling_counts(tables.change_events(spark, sf_dir)))
