@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.shared import few, small_side
@@ -165,12 +165,13 @@ def is_share(conditions: Column) -> Column:
     return F.coalesce(F.get_json_object(conditions, "$.kind") == "share_grant", F.lit(False))
 
 
-def listed_policies(policies: DataFrame, principal: str | None = None, pattern: str | None = None, effect: str | None = None) -> DataFrame:
-    """Policies by exact principal, pattern, effect; highest priority first."""
+def listed_policies(policies: DataFrame, principal: str | None = None, pattern: str | None = None, effect: str | None = None, most: int = 1000) -> DataFrame:
+    """Policies by exact principal, pattern, effect; highest priority first, a page of them, with their `place`."""
     for column, value in (("principal", principal), ("pattern", pattern), ("effect", effect)):
         if value is not None:
             policies = policies.filter(F.col(column) == value)
-    return policies.orderBy(F.desc("priority"), "policy_id")
+    order = (F.desc("priority"), F.col("policy_id"))
+    return policies.orderBy(*order).limit(most).withColumn("place", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)))
 
 
 def upserted(commands: DataFrame, key: list[str]) -> DataFrame:

@@ -87,9 +87,9 @@ def policy_upserts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _CREATES = """SELECT doc_id AS seq, CASE WHEN doc_id % 5 < 4 THEN 'acme' ELSE 'beta' END AS account_id,
-  CASE doc_id % 6 WHEN 0 THEN 'ctx://team/docs/d' || doc_id WHEN 1 THEN 'ctx://agent/a1/x' || doc_id // 10 WHEN 2 THEN 'ctx://datalake/new/' || doc_id WHEN 3 THEN 'ctx://user/u/' || doc_id WHEN 4 THEN 'ctx://agent/a2/x' || doc_id ELSE 'ctx://datalake/new/z' || doc_id END AS uri,
+  CASE doc_id % 6 WHEN 0 THEN 'ctx://team/docs/d' || doc_id WHEN 1 THEN 'ctx://agent/agent-1/x' || doc_id // 10 WHEN 2 THEN 'ctx://datalake/new/' || doc_id WHEN 3 THEN 'ctx://user/u/' || doc_id WHEN 4 THEN 'ctx://agent/agent-1/memories/m' || (doc_id + 1) ELSE 'ctx://datalake/new/z' || doc_id END AS uri,
   CASE doc_id % 6 WHEN 0 THEN 'team' WHEN 1 THEN 'agent' WHEN 2 THEN 'datalake' WHEN 3 THEN 'user' WHEN 4 THEN 'agent' ELSE 'datalake' END AS scope,
-  CASE doc_id % 6 WHEN 0 THEN '' WHEN 1 THEN 'a1' WHEN 2 THEN NULL WHEN 3 THEN 'u' WHEN 4 THEN 'a1' ELSE 'x' END AS owner_space FROM documents"""
+  CASE doc_id % 6 WHEN 0 THEN '' WHEN 1 THEN 'agent-1' WHEN 2 THEN NULL WHEN 3 THEN 'u' WHEN 4 THEN 'agent-1' ELSE 'x' END AS owner_space FROM documents"""
 
 
 @query("M01_creates", f""", cmd AS ({_CREATES}), checked AS (SELECT seq, account_id, uri,

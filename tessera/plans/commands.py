@@ -105,10 +105,19 @@ def share_policies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return in_force.unionByName(others).filter(access.is_share(F.col("conditions"))).select("pattern", "principal", F.array_join("field_masks", ",").alias("masks"))
 
 
-@query("B13_policy_list", "SELECT policy_id, row_number() OVER (ORDER BY priority DESC, policy_id) AS place FROM policies WHERE effect = 'allow'")
+#: Policies as suppliers state them: one each, for ten agents.
+_STATED = "stated AS (SELECT s_suppkey AS policy_id, 'agent-' || s_suppkey % 10 AS principal, CASE WHEN s_suppkey % 3 = 0 THEN 'deny' ELSE 'allow' END AS effect, (s_suppkey % 7)::INT AS priority, [['read'], ['read', 'write'], ['write', 'share'], []][s_suppkey % 4 + 1] AS actions FROM supplier)"
+
+
+def _stated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("s_suppkey")
+    actions = [F.array(*[F.lit(a) for a in kinds]).cast("array<string>") for kinds in (("read",), ("read", "write"), ("write", "share"), ())]
+    return tables.read(spark, sf_dir, "supplier").select(key.alias("policy_id"), F.concat(F.lit("agent-"), key % 10).alias("principal"), F.when(key % 3 == 0, "deny").otherwise("allow").alias("effect"), (key % 7).cast("int").alias("priority"), F.element_at(F.array(*actions), (key % 4 + 1).cast("int")).alias("actions"))
+
+
+@query("B13_policy_list", f"WITH {_STATED} SELECT policy_id, row_number() OVER (ORDER BY priority DESC, policy_id)::INT AS place FROM stated WHERE effect = 'allow' AND principal = '{AGENT}' ORDER BY place LIMIT 1000")
 def policy_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    listed = access.listed_policies(tables.policies(spark, sf_dir), effect="allow").select("policy_id").collect()  # a page of policies, in order
-    return spark.createDataFrame([(r.policy_id, i) for i, r in enumerate(listed, start=1)], "policy_id long, place int")
+    return access.listed_policies(_stated(spark, sf_dir), principal=AGENT, effect="allow").select("policy_id", "place")
 
 
 @query("A12_audit_tiers", "SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'strict' WHEN 1 THEN 'best_effort' ELSE 'denied' END AS tier, CASE WHEN event_id % 2 = 0 THEN props END AS metadata FROM events")
@@ -134,11 +143,12 @@ def vectors_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("vec_id", "error", F.round(F.get("embedding", F.lit(0)), 6).alias("first"))
 
 
-@query("H54_flags", "SELECT event_id, coalesce((props->>'$.k')::INT % 2 = 0, false) AS breaking FROM events")
+@query("H54_flags", "SELECT event_id, coalesce(k % 5 <> 1 AND k % 2 = 0, false) AS breaking FROM (SELECT event_id, (props->>'$.k')::INT AS k FROM events)")
 def flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where the metadata is no JSON there is no flag."""
     k = F.get_json_object("props", "$.k").cast("int")
-    rows = tables.read(spark, sf_dir, "events").select("event_id", F.when(k % 5 == 1, "no json").otherwise(F.to_json(F.struct((k % 2 == 0).alias("is_breaking")))).alias("metadata"), k.alias("k"))
-    return rows.select("event_id", (text.flag(F.col("metadata"), "is_breaking") | ((F.col("k") % 5 == 1) & (F.col("k") % 2 == 0))).alias("breaking"))
+    rows = tables.read(spark, sf_dir, "events").select("event_id", F.when(k % 5 == 1, "no json").otherwise(F.to_json(F.struct((k % 2 == 0).alias("is_breaking")))).alias("metadata"))
+    return rows.select("event_id", text.flag(F.col("metadata"), "is_breaking").alias("breaking"))
 
 
 @query("H23_iso_times", "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') || '+00:00' AS at FROM events")
@@ -146,10 +156,10 @@ def iso_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.read(spark, sf_dir, "events").select("event_id", text.iso8601(F.to_utc_timestamp(F.col("ts").cast("timestamp"), "UTC")).alias("at"))
 
 
-@query("H41_subsets", "SELECT policy_id, list_has_all(['read', 'write'], actions) AS known, coalesce(list_position(actions, 'read'), 0)::BIGINT AS at, len(actions)::INT AS n FROM policies")
+@query("H41_subsets", f"WITH {_STATED} SELECT policy_id, list_has_all(['read', 'write'], actions) AS known, coalesce(list_position(actions, 'write'), 0)::BIGINT AS at, len(actions)::INT AS n FROM stated")
 def subsets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = tables.policies(spark, sf_dir)
-    return p.select("policy_id", text.holds_all(F.array(F.lit("read"), F.lit("write")), F.col("actions")).alias("known"), F.array_position("actions", "read").alias("at"), F.size("actions").alias("n"))
+    p = _stated(spark, sf_dir)
+    return p.select("policy_id", text.holds_all(F.array(F.lit("read"), F.lit("write")), F.col("actions")).alias("known"), F.array_position("actions", "write").alias("at"), F.size("actions").alias("n"))
 
 
 @query("H18_lock_keys", """SELECT id, (CASE WHEN x >= 9223372036854775808 THEN x - 18446744073709551616 ELSE x END)::BIGINT AS key FROM (SELECT id, ('0x' || left(sha256(account_id || chr(0) || uri), 16))::UBIGINT::HUGEINT AS x FROM contexts)""")

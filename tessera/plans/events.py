@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import audit, feedback, lifecycle, propagation, skills
+from ..operators import access, audit, feedback, lifecycle, propagation, skills
 from ..sources import tables
 from ..sources.shared import shared_dir
 from ..streaming import delivery, outbox
@@ -88,9 +88,21 @@ def sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _plain_times(out.select("id", "status", "new_status", "stale_at", "archived_at"))
 
 
-@query("M13_policies", "SELECT * FROM lifecycle_policies")
+_KINDS = (("memory", "agent"), ("memory", "team"), ("resource", "datalake"), ("skill", "team"), ("resource", "agent"))
+_ORDERS = f"""WITH orders_of AS (SELECT c_custkey AS seq, CASE WHEN c_custkey % 9 = 0 THEN 'delete' ELSE 'upsert' END AS op, CASE WHEN c_custkey % 5 < 4 THEN 'acme' ELSE 'beta' END AS account_id,
+  {[k for k, _ in _KINDS]}[c_nationkey % 5 + 1] AS context_type, {[s for _, s in _KINDS]}[c_nationkey % 5 + 1] AS scope, (c_custkey % 100)::INT AS stale_after_days, (c_custkey % 60)::INT AS archive_after_days, (c_custkey % 200)::INT AS delete_after_days FROM customer),
+own AS (SELECT * EXCLUDE (seq, op) FROM orders_of QUALIFY row_number() OVER (PARTITION BY account_id, context_type, scope ORDER BY seq DESC) = 1 AND op <> 'delete'),
+defaults(account_id, context_type, scope, stale_after_days, archive_after_days, delete_after_days) AS (VALUES {", ".join(str((a, *p)) for a in tables.ACCOUNTS for p in tables.LIFECYCLE_DEFAULTS)})
+SELECT * FROM own UNION ALL SELECT * FROM defaults d WHERE NOT EXISTS (SELECT 1 FROM own o WHERE o.account_id = d.account_id AND o.context_type = d.context_type AND o.scope = d.scope)"""
+
+
+@query("M13_policies", _ORDERS)
 def policies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lifecycle.with_defaults(tables.lifecycle_policies(spark, sf_dir), tables.lifecycle_defaults(spark, sf_dir))
+    """Upserts and deletes of lifecycle policies, one a customer, and the defaults for what has none."""
+    key, kind = F.col("c_custkey"), F.col("c_nationkey")
+    days = [(key % n).cast("int").alias(c) for c, n in (("stale_after_days", 100), ("archive_after_days", 60), ("delete_after_days", 200))]
+    cmd = tables.read(spark, sf_dir, "customer").select(key.alias("seq"), F.when(key % 9 == 0, "delete").otherwise("upsert").alias("op"), tables.account_of(key).alias("account_id"), tables.pick(kind, [k for k, _ in _KINDS]).alias("context_type"), tables.pick(kind, [s for _, s in _KINDS]).alias("scope"), *days)
+    return lifecycle.with_defaults(access.upserted(cmd, ["account_id", "context_type", "scope"]), tables.lifecycle_defaults(spark, sf_dir))
 
 
 @query("M11_transitions", f""", cmd AS (SELECT c_custkey AS id, ['active', 'stale', 'archived', 'deleted'][c_custkey % 4 + 1] AS target FROM customer),
