@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import catalog as ops
-from ..operators import graph, lineage_labels
+from ..operators import graph, lineage_labels, snapshots
 from ..operators import retrieval as search
 from ..sources import tables
 from ..sources.catalog import TABLES, ParquetCatalog
+from ..sources.shared import new_folder
 from . import common
 from . import retrieval as searches
 from .common import AGENT, MINE
@@ -126,6 +127,20 @@ def tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.reachable(tables.lineage(spark, sf_dir), "s0")
 
 
+#: A later state of the parts: some are gone, some cost more, some are new.
+_LATER = "SELECT p_partkey, p_name, CASE WHEN p_partkey % 700 = 1 THEN p_retailprice + 1 ELSE p_retailprice END AS price FROM part WHERE p_partkey % 500 <> 3 UNION ALL SELECT p_partkey + 1000000000, p_name, p_retailprice FROM part WHERE p_partkey % 900 = 5"
+
+
+@query("M17_changes", f"""WITH old AS (SELECT p_partkey, p_name, p_retailprice AS price FROM part), new AS ({_LATER}) SELECT p_partkey, CASE WHEN o.p_name IS NULL THEN 'created' WHEN n.p_name IS NULL THEN 'deleted' ELSE 'changed' END AS change
+FROM old o FULL JOIN new n USING (p_partkey) WHERE o.price IS DISTINCT FROM n.price OR o.p_name IS DISTINCT FROM n.p_name""")
+def changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Created, changed and deleted rows between two snapshots, by their trees of hashes."""
+    part, paths = tables.read(spark, sf_dir, "part"), [new_folder(spark, "snapshot") for _ in range(2)]
+    snapshots.write(part.select("p_partkey", "p_name", F.col("p_retailprice").alias("price")), "p_partkey", paths[0], levels=1)
+    snapshots.write(spark.sql(_LATER.replace("FROM part", "FROM {part}"), part=part), "p_partkey", paths[1], levels=1)
+    return snapshots.changes(spark, *paths, "p_partkey")
+
+
 _PAIRS = """, walk AS (SELECT upstream AS start, downstream AS node, 1 AS depth, [upstream, downstream] AS path FROM lineage
   UNION ALL SELECT start, downstream, depth + 1, list_append(path, downstream) FROM walk JOIN lineage ON upstream = node WHERE NOT list_contains(path, downstream)),
 pairs AS (SELECT start, node, min(depth)::INT AS depth FROM walk WHERE start <> node GROUP BY start, node)"""

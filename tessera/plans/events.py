@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import access, audit, feedback, lifecycle, propagation, skills
+from ..operators import access, audit, counter_store, feedback, lifecycle, propagation, skills
 from ..sources import tables
 from ..sources.shared import shared_dir
 from ..streaming import delivery, outbox
@@ -28,6 +28,15 @@ def latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feedback.latest(tables.feedback(spark, sf_dir)).select("context_id", "retrieval_id", "actor", "outcome", "event_id")
 
 
+@query("D13_merged_counters", f"{tables.VIEWS}, {LATEST}, {COUNTERS} SELECT id, adopted, ignored, active FROM counters")
+def merged_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Feedback in three batches, out of order, merged into kept counters: those of a recount."""
+    store, rows = counter_store.CounterStore(spark, f"{shared_dir(spark)}/counters-{uuid.uuid4().hex}"), tables.feedback(spark, sf_dir)
+    for k in (2, 0, 1):
+        store.apply(rows.filter(F.col("event_id") % 3 == k))
+    return store.counters()
+
+
 _QUALITY = """SELECT *, round(CASE WHEN adopted + ignored > 0 THEN adopted::DOUBLE / (adopted + ignored) END, 6) AS adoption_rate,
   round(CASE WHEN adopted + ignored >= 5 THEN 0.5 + 0.5 * adopted / (adopted + ignored + 1) ELSE 1.0 END, 6)::DOUBLE AS quality_score FROM counters"""
 
@@ -65,6 +74,16 @@ def latencies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.latencies(_log(spark, sf_dir), "action", "value")
 
 
+_PRICES = "SELECT CASE WHEN l_orderkey % 3 = 0 THEN 'hot' ELSE l_linenumber::VARCHAR END AS key, l_extendedprice::DOUBLE AS price FROM lineitem"
+
+
+@query("D19_percentiles", f"WITH p AS ({_PRICES}), x AS (SELECT key, unnest([0.0, 0.5, 0.95, 0.99, 1.0]) AS q, unnest(quantile_cont(price, [0.0, 0.5, 0.95, 0.99, 1.0])) AS v FROM p GROUP BY key) SELECT key, q::DOUBLE AS q, round(v, 6) AS value FROM x")
+def percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of prices, a third of which have one key."""
+    rows = tables.read(spark, sf_dir, "lineitem").select(F.when(F.col("l_orderkey") % 3 == 0, "hot").otherwise(F.col("l_linenumber").cast("string")).alias("key"), F.col("l_extendedprice").alias("price"))
+    return audit.percentiles(rows, "key", "price", [0.0, 0.5, 0.95, 0.99, 1.0]).withColumn("value", F.round("value", 6))
+
+
 @query("D20_pass_rates", f"WITH {_LOG} SELECT action, count(*) AS checks, count(*) FILTER (WHERE result = 'success') AS passed, round(avg((result = 'success')::INT), 6) AS rate FROM log GROUP BY action")
 def pass_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.pass_rates(_log(spark, sf_dir).withColumn("ok", F.col("result") == "success"), "action", "ok")
