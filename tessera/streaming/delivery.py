@@ -7,9 +7,10 @@ one that was stopped and started again, ends in the states of the table as a who
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
@@ -63,40 +64,45 @@ class Delivery(StatefulProcessor):
         self.handle = handle
         self.state = handle.getValueState("state", "status string, attempts int, claimed long, due long, changes int")
 
-    def _row(self, key, s):
-        import pandas as pd
-
-        when = lambda x: None if x is None else pd.Timestamp(x, unit="us")
-        times = {c: pd.Series([when(x)], dtype="datetime64[us]") for c, x in (("claimed_at", s[2]), ("next_retry_at", s[3]))}
-        return pd.DataFrame({"event_id": [key[0]], "delivery_status": [s[0]], "attempt_count": pd.Series([s[1]], dtype="int32"), **times, "changes": pd.Series([s[4]], dtype="int32")})
-
-    def _kept(self, key, s):
-        for at in list(self.handle.listTimers()):
-            self.handle.deleteTimer(at)
-        if s[0] == "processing":  # a timer fires once the watermark is past it, and a lease ends after its last moment
-            self.handle.registerTimer((s[2] + LEASE_SECONDS * 1_000_000) // 1000 + 1)
+    def _kept(self, key, was, s):
+        if was[0] == "processing":
+            self.handle.deleteTimer(_lease_end(was))
+        if s[0] == "processing":
+            self.handle.registerTimer(_lease_end(s))
         self.state.update(tuple(s))
-        return self._row(key, s)
+        when = lambda x: None if x is None else dt.datetime.fromtimestamp(x // 1_000_000, dt.timezone.utc).replace(microsecond=x % 1_000_000)
+        return Row(event_id=key[0], delivery_status=s[0], attempt_count=s[1], claimed_at=when(s[2]), next_retry_at=when(s[3]), changes=s[4])
 
-    def handleInputRows(self, key, rows: Iterator, timerValues) -> Iterator:
-        messages = sorted((int(t.value // 1000), k) for frame in rows for t, k in zip(frame["ts"], frame["kind"], strict=True) if k != "tick")
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        messages = sorted((_micros(r.ts), r.kind) for r in rows if r.kind != "tick")
         old = self.state.get() if self.state.exists() else (None, 0, None, None, 0)
         s = list(old)
         for at, kind in messages:
             s = advanced(s, at, kind)
         if tuple(s) != tuple(old):
             s[4] = old[4] + 1
-            yield self._kept(key, s)
+            yield self._kept(key, old, s)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator:
-        s = expired_state(list(self.state.get()), expiredTimerInfo.getExpiryTimeInMs() * 1000 + 1)
-        s[4] += 1
-        yield self._kept(key, s)
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        old = self.state.get()
+        s = expired_state(list(old), expiredTimerInfo.getExpiryTimeInMs() * 1000 + 1)
+        if tuple(s) != tuple(old):
+            s[4] += 1
+            yield self._kept(key, (None,), s)
 
     def close(self) -> None:
         pass
 
 
+def _lease_end(s) -> int:
+    """Milliseconds of the timer of a claimed event: it fires once the watermark is past it, and a lease holds in its last moment."""
+    return (s[2] + LEASE_SECONDS * 1_000_000) // 1000 + 1
+
+
+def _micros(t: dt.datetime) -> int:
+    return int(t.replace(microsecond=0).timestamp()) * 1_000_000 + t.microsecond
+
+
 def expired_state(s: list, at: int) -> list:
     if s[0] == "processing" and s[2] + LEASE_SECONDS * 1_000_000 < at:
         return ["retry", s[1], None, s[2] + LEASE_SECONDS * 1_000_000, s[4]]
@@ -121,7 +127,7 @@ def advanced(s: list, at: int, kind: str) -> list:
 def follow(stream: DataFrame, sink: str, checkpoint: str, late: str = "0 seconds", before_write=None, available_now: bool = True) -> StreamingQuery:
     """States of a stream of messages, each change as a row below sink/batch=<id>; a batch that runs again replaces its own folder."""
     spark = stream.sparkSession
-    changes = stream.withWatermark("ts", late).groupBy("event_id").transformWithStateInPandas(Delivery(), STATE, "Update", "EventTime")
+    changes = stream.withWatermark("ts", late).groupBy("event_id").transformWithState(Delivery(), STATE, "Update", "EventTime")
 
     def write(batch: DataFrame, batch_id: int) -> None:
         if before_write:
