@@ -25,7 +25,7 @@ from .token_store import tokenizer_path
 
 TOKENIZER_A, TOKENIZER_B = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Bytes of texts that are aligned together (more where one Arrow batch has more); a worker's memory is bounded by some 60 times as much.
-GROUP_BYTES = 4 << 20
+GROUP_BYTES = 3 << 20
 _TEXTS = "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, groups string, links array<int>"
 _PAIRS = "place int, a int, b int, n long"
 
