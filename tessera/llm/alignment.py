@@ -173,7 +173,7 @@ def _batch(columns: dict, n: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[c], _ARROW[t]) if c in columns else pa.nulls(n, _ARROW[t]) for c, t in fields], names=[c for c, _ in fields])
 
 
-def _align(batches, path_a: str, path_b: str, with_groups: bool):
+def _align(batches, path_a: str, path_b: str, with_groups: bool, group_bytes: int):
     both, part, held, size = aligner(path_a, path_b), TaskContext.get().partitionId() << 33, [], 0
 
     def out():
@@ -190,7 +190,7 @@ def _align(batches, path_a: str, path_b: str, with_groups: bool):
     for batch in batches:
         held.append(batch)
         size += batch.column("text").nbytes
-        if size >= GROUP_BYTES:
+        if size >= group_bytes:
             yield from out()
     if held:
         yield from out()
@@ -208,7 +208,7 @@ def _looked_up(texts: pa.Table, pairs: pa.Table) -> pa.Table:
     return kept.append_column("n_best", sums[0]).append_column("count_sum", sums[1])
 
 
-def align_documents(docs: DataFrame, a: str = TOKENIZER_A, b: str = TOKENIZER_B, with_groups: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def align_documents(docs: DataFrame, a: str = TOKENIZER_A, b: str = TOKENIZER_B, with_groups: bool = False, id_col: str = "doc_id", text_col: str = "text", group_bytes: int = GROUP_BYTES) -> DataFrame:
     """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256 and, with_groups, the groups as text.
 
     A text has no tokens where it is null or empty, or where the bytes of its tokens, by either tokenizer, are not a space and the
@@ -217,7 +217,7 @@ def align_documents(docs: DataFrame, a: str = TOKENIZER_A, b: str = TOKENIZER_B,
     """
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    made = written(rows.mapInArrow(lambda it: _align(it, a, b, with_groups), f"part long, {_TEXTS}, {_PAIRS}"), "alignment", compression="zstd")
+    made = written(rows.mapInArrow(lambda it: _align(it, a, b, with_groups, group_bytes), f"part long, {_TEXTS}, {_PAIRS}"), "alignment", compression="zstd")
     pairs = made.filter("place IS NOT NULL").select("part", *[c for c, _ in _fields(_PAIRS)])
     counts = written(pairs.groupBy("a", "b").agg(F.sum("n").alias("count")), "pair_counts")
     judged = counts.join(counts.groupBy("b").agg(F.max("count").alias("most")), "b").select("a", "b", "count", (F.col("count") == F.col("most")).alias("best"))

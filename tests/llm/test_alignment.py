@@ -69,10 +69,12 @@ def expected(rows, by_hand):
 NAMES = ("doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "n_best", "count_sum")
 
 
-def test_alignment_query(spark, by_hand, monkeypatch):
-    monkeypatch.setattr(alignment, "GROUP_BYTES", 50_000)  # several groups a task
+def test_alignment_query(spark, by_hand):
+    want = expected([(r.doc_id, r.text) for r in documents(spark).collect()], by_hand)
     found = alignment.op13_alignment(spark, "/root/testdata/sf0.001")
-    assert Counter(tuple(r[c] for c in NAMES) for r in found.collect()) == expected([(r.doc_id, r.text) for r in documents(spark).collect()], by_hand)
+    assert Counter(tuple(r[c] for c in NAMES) for r in found.collect()) == want
+    small = alignment.align_documents(documents(spark).repartition(3), group_bytes=1)  # a group for each Arrow batch
+    assert Counter(tuple(r[c] for c in NAMES) for r in small.collect()) == want
 
 
 def test_alignment_odd(spark, odd, by_hand):  # noqa: F811
