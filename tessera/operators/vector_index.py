@@ -3,8 +3,9 @@
 A folder holds `centers` (one row a cell), `blocks` (partitions by cell; a row is up to BLOCK vectors as one matrix of bytes: each vector
 is the cell's centre plus a scaled byte code, with the length of what the code misses) and `vectors` (partitions by cell, for the
 exact cosine). A search probes the cells nearest to each query, so the scan prunes partitions. In a block the codes give bounds on all
-cosines; what cannot be among the k best by them is dropped there, and the rest is compared exactly. The codes lose nothing: a search
-that probes all cells gives the rows of a scan. How many cells to probe is measured when the index is built.
+cosines; what cannot be among the k best by them is dropped there, and the rest is compared exactly. The nearest cells come first (the square
+root of the probed ones): the k-th lower bound there is the floor that rows of all other cells have to reach. The codes lose nothing: a
+search that probes all cells gives the rows of a scan. How many cells to probe is measured when the index is built.
 """
 
 from __future__ import annotations
@@ -21,9 +22,9 @@ from ..sources.shared import few, small_batches, stored
 
 #: Cells at most; the centres are what a task and the driver hold. By default an index has the square root of its rows.
 MAX_CELLS = 4096
-#: Vectors that cells are fitted on, and queries that the number of probes is fitted on: those whose ids have the smallest hashes.
+#: Vectors that cells are fitted on, about, and queries that the number of probes is fitted on: chosen by hashes of their ids.
 SAMPLE, TRIALS, TARGET, TRIAL_K = 50_000, 100, 0.97, 60
-BLOCK, QUERIES = 4096, 256
+BLOCK, GROUPS = 4096, 16
 #: Scores are rounded to six places, so bounds leave room for ties.
 SLACK = 3e-6
 
@@ -100,18 +101,37 @@ def _probed(batches, centers, probes: int):
         yield pa.RecordBatch.from_arrays([pa.array(cells.ravel(), pa.int32()), pa.array(order, pa.int32()), batch.column("query_id").take(pa.array(row)), vectors], names=["cell", "probe", "query_id", "vector"])
 
 
+def _grouped(batches, centers, start: int, stop: int):
+    """(cell, query_ids, vectors, floors): a batch's queries by cell, for the cells from the start-th to the stop-th nearest of each; GROUPS cells a batch."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        x = _units(_matrix(batch.column("vector")))
+        cells = _nearest(x, centers.value, stop)[:, start:]
+        ids, floors = batch.column("query_id").to_numpy(), batch.column("floor").to_numpy()
+        cell, row = cells.ravel(), np.repeat(np.arange(len(x)), cells.shape[1])
+        order = np.lexsort((row, cell))
+        cell, row = cell[order], row[order]
+        cuts = np.append(np.flatnonzero(np.append(True, cell[1:] != cell[:-1])), len(cell))
+        for i in range(0, len(cuts) - 1, GROUPS):
+            here = cuts[i : i + GROUPS + 1]
+            rows, at = row[here[0] : here[-1]], here - here[0]
+            lists = lambda values, size=1, at=at: pa.ListArray.from_arrays(pa.array(at * size, pa.int32()), pa.array(values))
+            yield pa.RecordBatch.from_arrays([pa.array(cell[here[:-1]], pa.int32()), lists(ids[rows]), lists(x[rows].ravel(), x.shape[1]), lists(floors[rows])], names=["cell", "query_ids", "vectors", "floors"])
+
+
 def _bounds(batches, centers, k: int):
-    """(query_id, vec_id, cell, low, high) of the rows of a block that can be among the k best of a query; k 0: of all rows."""
+    """(query_id, vec_id, cell, low, high) of the rows of a block that can be among the k best of a query (k 0: any) and reach its floor."""
     for batch in batches:
-        for cell, ids, codes, scales, missed, queries, vectors in zip(*(batch.column(c) for c in ("cell", "ids", "codes", "scales", "missed", "query_ids", "vectors")), strict=True):
+        for cell, ids, codes, scales, missed, queries, vectors, floors in zip(*(batch.column(c) for c in ("cell", "ids", "codes", "scales", "missed", "query_ids", "vectors", "floors")), strict=True):
             cell, ids, center = cell.as_py(), ids.values.to_numpy(), centers.value[cell.as_py()]
-            q = np.asarray(vectors.values.flatten(), np.float64).reshape(-1, len(center))
+            q = vectors.values.to_numpy().reshape(-1, len(center))
             code = np.frombuffer(codes.as_buffer(), "i1").reshape(len(ids), -1).astype(np.float64)
             about = (q @ center)[:, None] + (q @ code.T) * np.frombuffer(scales.as_buffer(), "<f8")
             room = np.frombuffer(missed.as_buffer(), "<f8") + SLACK
-            keep = np.ones(about.shape, bool)
+            keep = about + room >= floors.values.to_numpy()[:, None]
             if k and len(ids) > k:
-                keep = about + room >= np.partition(about - room, len(ids) - k, axis=1)[:, len(ids) - k][:, None]
+                keep &= about + room >= np.partition(about - room, len(ids) - k, axis=1)[:, len(ids) - k][:, None]
             row, at = np.nonzero(keep)
             yield pa.RecordBatch.from_arrays(
                 [queries.values.take(pa.array(row)), pa.array(ids[at]), pa.array(np.full(len(row), cell, np.int32)), pa.array((about - room)[row, at]), pa.array((about + room)[row, at])], names=["query_id", "vec_id", "cell", "low", "high"]
@@ -143,35 +163,54 @@ class VectorIndex:
         """
         if not self.cells:
             return self.spark.createDataFrame([], "query_id long, place int, vec_id long, score double")
-        centers, keep = self.centers, 0 if allowed is not None else k
-        asked = stored(self.probed(queries, probes), "probes")
-        cells = [r.cell for r in asked.select("cell").distinct().collect()]  # MAX_CELLS at most; prunes both scans
-        loads = asked.groupBy("cell").agg(F.ceil(F.count("*") / QUERIES).alias("parts"))
-        grouped = asked.join(loads, "cell").groupBy("cell", F.pmod(F.xxhash64("query_id"), F.col("parts")).alias("part")).agg(F.collect_list(F.struct("query_id", "vector")).alias("q"))
-        grouped = grouped.select("cell", F.col("q.query_id").alias("query_ids"), F.col("q.vector").alias("vectors"))
-        blocks = self.spark.read.parquet(f"{self.path}/blocks").filter(F.col("cell").isin(cells))
-        found = blocks.join(grouped, "cell").mapInArrow(lambda it: _bounds(it, centers, keep), "query_id long, vec_id long, cell int, low double, high double")
-        if allowed is not None:
-            found = found.join(allowed.select("vec_id"), "vec_id", "left_semi")
-        found = stored(found, "bounds")
-        by_low = Window.partitionBy("query_id").orderBy(F.desc("low"), "vec_id")
-        least = found.withColumn("n", F.row_number().over(by_low)).filter(F.col("n") <= k).groupBy("query_id").agg(F.when(F.count("*") == k, F.min("low")).otherwise(-2.0).alias("least"))
-        close = found.join(least, "query_id").filter("high >= least").select("query_id", "vec_id", "cell")
-        vectors = self.spark.read.parquet(f"{self.path}/vectors").filter(F.col("cell").isin(cells))
-        compared = close.join(vectors, ["cell", "vec_id"]).join(queries.select(F.col("query_id").cast("long").alias("query_id"), "vector"), "query_id")
+        small_batches(self.spark)
+        n, keep = min(probes or self.probes, self.cells), 0 if allowed is not None else k
+        asked = queries.filter(usable(F.col("vector"))).select(F.col("query_id").cast("long").alias("query_id"), F.col("vector").cast("array<double>").alias("vector"))
+        asked = stored(asked, "asked")
+        here = F.lit(True)  # prunes both scans
+        if n < self.cells:
+            here = F.col("cell").isin([r.cell for r in self.probed(asked, n).select("cell").distinct().collect()])  # MAX_CELLS at most
+        first = math.ceil(math.sqrt(n))
+        found = stored(self._met(asked.withColumn("floor", F.lit(-2.0)), here, 0, first, keep, allowed), "bounds")
+        if first < n:
+            floors = asked.join(_least(found, k).withColumnRenamed("least", "floor"), "query_id", "left").withColumn("floor", F.coalesce("floor", F.lit(-2.0)))
+            found = found.unionByName(stored(self._met(floors, here, first, n, keep, allowed), "bounds"))
+        close = found.join(_least(found, k), "query_id").filter("high >= least").select("query_id", "vec_id", "cell")
+        vectors = self.spark.read.parquet(f"{self.path}/vectors").filter(here)
+        compared = close.join(vectors, ["cell", "vec_id"]).join(asked, "query_id")
         scored = compared.select("query_id", "vec_id", F.round(scores.cosine(F.col("embedding"), F.col("vector")), 6).alias("score"))
         by_score = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
         return scored.withColumn("place", F.row_number().over(by_score)).filter(F.col("place") <= k).select("query_id", "place", "vec_id", "score")
 
+    def _met(self, asked: DataFrame, here: Column, start: int, stop: int, keep: int, allowed: DataFrame | None) -> DataFrame:
+        """Bounds of queries (query_id, vector, floor) in their cells from the start-th to the stop-th nearest."""
+        centers = self.centers
+        grouped = asked.select("query_id", "vector", "floor").mapInArrow(lambda it: _grouped(it, centers, start, stop), "cell int, query_ids array<long>, vectors array<double>, floors array<double>")
+        found = self.spark.read.parquet(f"{self.path}/blocks").filter(here).join(grouped, "cell").mapInArrow(lambda it: _bounds(it, centers, keep), "query_id long, vec_id long, cell int, low double, high double")
+        return found if allowed is None else found.join(allowed.select("vec_id"), "vec_id", "left_semi")
+
+
+def _least(found: DataFrame, k: int) -> DataFrame:
+    """(query_id, least): the k-th of each query's lower bounds; -2 where there are fewer."""
+    by_low = Window.partitionBy("query_id").orderBy(F.desc("low"), "vec_id")
+    return found.withColumn("n", F.row_number().over(by_low)).filter(F.col("n") <= k).groupBy("query_id").agg(F.when(F.count("*") == k, F.min("low")).otherwise(-2.0).alias("least"))
 
-def _sampled(rows: DataFrame, n: int) -> DataFrame:
-    return rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(n)
+
+def _sampled(rows: DataFrame, n: int, of: int) -> DataFrame:
+    """About n of so many rows, all if there are no more; the same at any time, and no task meets all of them."""
+    return rows.filter(F.pmod(F.xxhash64("vec_id"), F.lit(of)) < n) if of > n else rows
+
+
+def _normed(batches):
+    for batch in batches:
+        x = _units(_matrix(batch.column("embedding")))
+        yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(x.ravel()))], names=["unit"])
 
 
 def build(vectors: DataFrame, path: str, cells: int | None = None, target: float | None = TARGET, id_col: str = "vec_id", vector_col: str = "embedding", block: int = BLOCK) -> VectorIndex:
     """Index every vector that has a direction (not null or zero, all components finite) under path.
 
-    Cells are fitted on SAMPLE vectors. The number of probes is the least that gives the share `target` of the TRIAL_K nearest of TRIALS sampled
+    Cells are fitted on about SAMPLE vectors. The number of probes is the least that gives the share `target` of the TRIAL_K nearest of TRIALS sampled
     vectors; without a target all cells are probed. Cells of any size are written as several files. An empty table gives an index that finds nothing. Ids are unique;
     all vectors have one length.
     """
@@ -186,16 +225,15 @@ def build(vectors: DataFrame, path: str, cells: int | None = None, target: float
         spark.createDataFrame([], "cell int, center array<double>, probes int").write.parquet(f"{path}/centers")
         return VectorIndex(spark, path)
     cells = max(1, min(cells or math.ceil(math.sqrt(n)), MAX_CELLS, n))
-    length = F.sqrt(scores.dot(F.col("embedding"), F.col("embedding")))
-    sample = _sampled(rows, SAMPLE).select(array_to_vector(F.transform("embedding", lambda x: x / length)).alias("features"))
+    sample = stored(_sampled(rows, SAMPLE, n).select("embedding").mapInArrow(_normed, "unit array<double>"), "sample").select(array_to_vector("unit").alias("features"))
     centers = [c.tolist() for c in KMeans(k=cells, seed=7, maxIter=10).fit(sample).clusterCenters()]
     held = spark.sparkContext.broadcast(np.array(centers))
     dealt = rows.mapInArrow(lambda it: _dealt(it, held), "vec_id long, embedding array<double>, cell int").hint("rebalance", "cell").sortWithinPartitions("cell", "vec_id")
     dealt.write.partitionBy("cell").parquet(f"{path}/vectors")
-    stored = spark.read.parquet(f"{path}/vectors").select("cell", "vec_id", "embedding").hint("rebalance", "cell").sortWithinPartitions("cell", "vec_id")
-    stored.mapInArrow(lambda it: _blocks(it, held, block), "cell int, ids array<long>, codes binary, scales binary, missed binary").write.partitionBy("cell").parquet(f"{path}/blocks")
+    dealt = spark.read.parquet(f"{path}/vectors").select("cell", "vec_id", "embedding").hint("rebalance", "cell").sortWithinPartitions("cell", "vec_id")
+    dealt.mapInArrow(lambda it: _blocks(it, held, block), "cell int, ids array<long>, codes binary, scales binary, missed binary").write.partitionBy("cell").parquet(f"{path}/blocks")
     index = VectorIndex(spark, path, held.value)
-    trials = _sampled(rows, TRIALS).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    trials = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(TRIALS).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
     if target:
         index.probes = _calibrated(index, trials, target)
     spark.createDataFrame([(i, c, index.probes) for i, c in enumerate(centers)], "cell int, center array<double>, probes int").write.parquet(f"{path}/centers")

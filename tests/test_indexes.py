@@ -78,6 +78,27 @@ def test_codes_bound_cosines(spark):
     assert found(ix.search(asked(rows.filter("vec_id < 150")), 20)) == scan(x, 20, range(0, 150, 50))
 
 
+def test_far_cells_have_a_floor(spark, monkeypatch):
+    """Few rows of the far cells are kept: without a floor each query had k of every cell."""
+    rng = np.random.default_rng(2)
+    x = rng.standard_normal((10, 8))[rng.integers(0, 10, 2000)] + 0.05 * rng.standard_normal((2000, 8))
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    ix, kept, real = vector_index.build(rows, new_folder(spark, "index"), cells=25, target=None), [], vector_index.stored
+    monkeypatch.setattr(vector_index, "stored", lambda df, label: kept.append((label, real(df, label))) or kept[-1][1])
+    assert found(ix.search(asked(rows).filter("query_id % 50 = 0"), 10)) == scan(x, 10, range(0, 2000, 50))
+    bounds = sum(df.count() for label, df in kept if label == "bounds")
+    assert 40 * 10 <= bounds <= 40 * 10 * 10
+
+
+def test_sample_is_bounded(spark):
+    """Rows are chosen one by one, without a sort that ends in one task."""
+    rows = spark.range(20_000).withColumnRenamed("id", "vec_id")
+    chosen = vector_index._sampled(rows, 1000, 20_000)
+    assert 850 < chosen.count() < 1150 and vector_index._sampled(rows, 20_000, 20_000).count() == 20_000
+    plan = chosen._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrdered" not in plan and "Exchange" not in plan
+
+
 WORDS = "the schule straße École naïve data base lake a_b tee toe 日本語 x".split()
 
 
