@@ -2,7 +2,7 @@
 
 Queries are dealt into chunks of bounded size; each chunk meets all contexts in one scan. A task finds the chunk's words in a block of texts,
 sums hits by query, and keeps the k best of each query in a heap of its own, so what leaves it is bounded by chunk and k whatever it
-read. Heaps are merged by query. BM25, feedback, access and masks then work on pools of k rows by query.
+read; there are as many tasks as cores, so heaps grow with the queries alone. Heaps are merged by query. BM25, feedback, access and masks then work on pools of k rows by query.
 """
 
 from __future__ import annotations
@@ -19,8 +19,9 @@ from ..sources.shared import new_folder, small_batches, stored
 from . import access
 from .retrieval import OVER_RETRIEVE, searchable
 
-#: Queries that meet the contexts in one scan, about; documents whose hits are summed together.
-CHUNK, ROWS = 5000, 1024
+#: Queries that meet the contexts in one scan, about; documents and queries whose hits are summed together; words that are summed densely;
+#: pairs of a query and a text with another word that are summed together, about.
+CHUNK, ROWS, SLAB, COMMON, PAIRS = 20_000, 1024, 2048, 256, 4_000_000
 
 
 class Words:
@@ -42,23 +43,91 @@ class Words:
         return [*plain, *(i for i, p in self.patterns if p.search(body))]
 
 
+class Heaps:
+    """The k best (hits, id) of each query so far: more hits first, then the smaller id."""
+
+    def __init__(self, n: int, k: int):
+        self.k, self.hits, self.ids = k, np.zeros((n, k), np.int32), np.full((n, k), np.iinfo(np.int64).max)
+
+    def add(self, start: int, sums: np.ndarray, ids: np.ndarray) -> None:
+        """sums: hits of queries from start by place; ids ascend. Only what beats a query's last is sorted."""
+        worst, worst_id = self.hits[start : start + len(sums), -1], self.ids[start : start + len(sums), -1]
+        row, at = np.nonzero(sums >= np.maximum(worst, 1)[:, None])
+        if len(row) > 3 * self.k * len(sums):  # many: the k best of these rows first
+            key = sums.astype(np.int32) * len(ids) + np.arange(len(ids) - 1, -1, -1, dtype=np.int32)
+            top = np.argpartition(-key, min(self.k, len(ids)) - 1, axis=1)[:, : self.k]
+            row, at = np.repeat(np.arange(len(sums)), top.shape[1]), top.ravel()
+        hits, found = sums[row, at].astype(np.int32), ids[at]
+        better = (hits > worst[row]) | (hits == worst[row]) & (found < worst_id[row])
+        better &= hits > 0
+        row, hits, found = row[better], hits[better], found[better]
+        if not len(row):
+            return
+        mine = np.unique(row)
+        queries = np.concatenate([np.repeat(mine, self.k), row])
+        hits, found = np.concatenate([self.hits[start + mine].ravel(), hits]), np.concatenate([self.ids[start + mine].ravel(), found])
+        order = np.lexsort((found, -hits, queries))
+        firsts = np.searchsorted(queries[order], mine)
+        kept = order[firsts[:, None] + np.arange(self.k)]  # each has k at least
+        self.hits[start + mine], self.ids[start + mine] = hits[kept], found[kept]
+
+
+class Asked:
+    """How often queries have words: a dense matrix for the words of most queries, lists of queries for all others."""
+
+    def __init__(self, members: list[np.ndarray], n_words: int):
+        self.n = len(members)
+        query, word = np.repeat(np.arange(self.n), [len(m) for m in members]), np.concatenate(members)
+        pairs, times = np.unique(word * self.n + query, return_counts=True)
+        word, query = pairs // self.n, pairs % self.n
+        number = np.bincount(word, minlength=n_words)
+        common = np.argsort(-number, kind="stable")[:COMMON]
+        self.place = np.full(n_words, -1)
+        self.place[common] = np.arange(len(common))
+        dense = self.place[word] >= 0
+        self.often = np.zeros((self.n, len(common)), np.float32)
+        self.often[query[dense], self.place[word[dense]]] = times[dense]
+        self.query, self.times = query, times.astype(np.float32)
+        self.starts, self.number = np.cumsum(number) - number, number
+
+    def sums(self, word: np.ndarray, at: np.ndarray, hits: np.ndarray, n: int):
+        """(first query, hits of SLAB queries by place) of n texts with so many hits of a word each; whole numbers, which floats hold."""
+        dense = self.place[word] >= 0
+        texts = np.zeros((self.often.shape[1], n), np.float32)
+        texts[self.place[word[dense]], at[dense]] = hits[dense]
+        word, at, hits = word[~dense], at[~dense], hits[~dense]
+        sizes = self.number[word]
+        parts = []
+        for rows in np.split(np.arange(len(word)), np.flatnonzero(np.diff(np.cumsum(sizes) // PAIRS)) + 1):
+            size = sizes[rows]
+            pair = np.repeat(self.starts[word[rows]] - np.cumsum(size) + size, size) + np.arange(size.sum())
+            query = self.query[pair]
+            order = np.argsort(query // SLAB, kind="stable")
+            parts.append((query[order], np.repeat(at[rows], size)[order], (self.times[pair] * np.repeat(hits[rows], size))[order]))
+        for start in range(0, self.n, SLAB):
+            out = self.often[start : start + SLAB] @ texts
+            for query, place, value in parts:
+                a, b = np.searchsorted(query // SLAB, [start // SLAB, start // SLAB + 1])
+                np.add.at(out.reshape(-1), (query[a:b] - start) * n + place[a:b], value[a:b])
+            yield start, out
+
+
 def _heaps(batches, chunk, k: int):
     queries, members, words = chunk.value
-    finder = Words(words)
-    best, best_ids = np.full((len(queries), k), -1, np.int32), np.full((len(queries), k), np.iinfo(np.int64).max)
+    finder, best, asked = Words(words), Heaps(len(queries), k), Asked(members, len(words))
 
     def merge(rows: pa.Table) -> None:
-        nonlocal best, best_ids
         rows = rows.sort_by("id")
-        ids, hits = rows.column("id").to_numpy(), np.zeros((len(words), rows.num_rows), np.uint8)
+        ids, found, sizes = rows.column("id").to_numpy(), [], []
         for name in ("f0", "f1"):
-            for place, body in enumerate(rows.column(name).to_pylist()):
-                hits[finder.found(body), place] += 1
-        sums = np.stack([hits[m].sum(0, dtype=np.int16) for m in members])
-        top = np.argsort(-sums, axis=1, kind="stable")[:, :k]  # rows are in order of id, so ties are too
-        best, best_ids = np.concatenate([best, np.take_along_axis(sums, top, 1)], 1), np.concatenate([best_ids, ids[top]], 1)
-        kept = np.lexsort((best_ids, -best), axis=1)[:, :k]
-        best, best_ids = np.take_along_axis(best, kept, 1), np.take_along_axis(best_ids, kept, 1)
+            for body in rows.column(name).to_pylist():
+                here = finder.found(body)
+                found += here
+                sizes.append(len(here))
+        places = np.repeat(np.tile(np.arange(len(ids)), 2), sizes)
+        pairs, hits = np.unique(np.array(found, np.int64) * len(ids) + places, return_counts=True)
+        for start, sums in asked.sums(pairs // len(ids), pairs % len(ids), hits.astype(np.float32), len(ids)):
+            best.add(start, sums, ids)
 
     held, n = [], 0
     for batch in batches:
@@ -69,8 +138,8 @@ def _heaps(batches, chunk, k: int):
             held, n = [], 0
     if n:
         merge(pa.Table.from_batches(held))
-    query, place = np.nonzero(best > 0)
-    yield pa.RecordBatch.from_arrays([pa.array(queries[query]), pa.array(best_ids[query, place]), pa.array(best[query, place])], names=["query_id", "id", "hits"])
+    query, place = np.nonzero(best.hits > 0)
+    yield pa.RecordBatch.from_arrays([pa.array(queries[query]), pa.array(best.ids[query, place]), pa.array(best.hits[query, place])], names=["query_id", "id", "hits"])
 
 
 def candidates(contexts: DataFrame, queries: DataFrame, k: int, chunk: int = CHUNK) -> DataFrame:
@@ -90,7 +159,7 @@ def candidates(contexts: DataFrame, queries: DataFrame, k: int, chunk: int = CHU
         if rows:
             number = {w: i for i, w in enumerate(dict.fromkeys(w for r in rows for w in r.words))}
             held = spark.sparkContext.broadcast((np.array([r.query_id for r in rows]), [np.array([number[w] for w in r.words]) for r in rows], list(number)))
-            fields.mapInArrow(lambda it, held=held: _heaps(it, held, k), schema).write.mode("append").parquet(path)
+            fields.coalesce(spark.sparkContext.defaultParallelism).mapInArrow(lambda it, held=held: _heaps(it, held, k), schema).write.mode("append").parquet(path)
     by_query = Window.partitionBy("query_id").orderBy(F.desc("hits"), "id")
     merged = spark.read.schema(schema).parquet(path).withColumn("place", F.row_number().over(by_query)).filter(F.col("place") <= k)
     return merged.join(asked, "query_id").select("query_id", "words", "id", F.round(F.col("hits") / (2 * F.size("words")), 6).alias("score"), "place")

@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+
 from tessera.functions import text
 from tessera.operators import many_searches, retrieval
 
@@ -32,6 +34,27 @@ def test_candidates(spark):
     assert many_searches.candidates(live.limit(0), queries, 7).count() == 0
 
 
+def test_hits_of_few_and_many(monkeypatch):
+    """Dense, listed and split sums, and heaps that keep the best whatever the order, are those of a loop; most sums are never sorted."""
+    monkeypatch.setattr(many_searches, "SLAB", 7)
+    monkeypatch.setattr(many_searches, "COMMON", 3)
+    monkeypatch.setattr(many_searches, "PAIRS", 20)
+    rng = np.random.default_rng(1)
+    members = [rng.integers(0, 12, rng.integers(1, 6)) for _ in range(30)]
+    asked, best, want = many_searches.Asked(members, 12), many_searches.Heaps(30, 4), [[] for _ in members]
+    ids = rng.permutation(400)
+    for part in np.split(ids, 8):
+        part = np.sort(part)
+        hits = rng.integers(0, 3, (12, 50)) * (rng.random((12, 50)) < 0.3)
+        word, at = np.nonzero(hits)
+        for start, sums in asked.sums(word, at, hits[word, at].astype(np.float32), 50):
+            assert (sums == np.stack([hits[m].sum(0) for m in members[start : start + 7]])).all()
+            best.add(start, sums, part)
+        for q, m in enumerate(members):
+            want[q] += [(-int(h), int(i)) for h, i in zip(hits[m].sum(0), part, strict=True) if h]
+    assert [[(-int(h), int(i)) for h, i in zip(best.hits[q], best.ids[q], strict=True) if h] for q in range(30)] == [sorted(w)[:4] for w in want]
+
+
 def test_pipeline(spark):
     rows, queries = contexts(spark), spark.createDataFrame(ASKED, "query_id long, query string")
     policies = spark.createDataFrame([(1, "ctx://datalake/c*", "me", "allow", ["read"], ["LAKE"], 5), (2, "ctx://datalake/d2*", "me", "deny", ["read"], None, 0)], "policy_id long, pattern string, principal string, effect string, actions array<string>, field_masks array<string>, priority int")
