@@ -1,7 +1,7 @@
 """Delivery of outbox events as stream state: claims, leases, results and back-off, with timers for what nobody says any more.
 
-Messages are rows (event_id, ts, kind created | claimed | done | failed | tick). An event's state is kept by its key; its messages are taken in order of
-(ts, kind). A lease that ran out is noticed by the next message, or by a timer if there is none; so a stream in any batches, also
+Messages are rows (event_id, ts, kind created | claimed | done | failed | tick). States are kept by keys of neighbouring event ids; an event's messages are
+taken in order of (ts, kind). A lease that ran out is noticed by the next message, or by a timer if there is none; so a stream in any batches, also
 one that was stopped and started again, ends in the states of the table as a whole.
 """
 
@@ -19,6 +19,8 @@ from ..operators.propagation import LEASE_SECONDS
 
 MESSAGE = "event_id long, ts timestamp, kind string"
 STATE = "event_id long, delivery_status string, attempt_count int, claimed_at timestamp, next_retry_at timestamp, changes int"
+#: Event ids of one key of the state: a batch rewrites the states of all keys it touches.
+GROUP = 256
 _STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -58,37 +60,55 @@ def states(messages: DataFrame, now: Column) -> DataFrame:
 
 
 class Delivery(StatefulProcessor):
-    """The same rules for one key of a stream. Times are microseconds in the state."""
+    """The same rules for a stream, one key for GROUP neighbouring event ids: a call reads and writes their states at once.
+
+    Times are microseconds in the state. A key has one timer, for the lease that ends first.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("state", "status string, attempts int, claimed long, due long, changes int")
-
-    def _kept(self, key, was, s):
-        if was[0] == "processing":
-            self.handle.deleteTimer(_lease_end(was))
-        if s[0] == "processing":
-            self.handle.registerTimer(_lease_end(s))
-        self.state.update(tuple(s))
+        self.state = handle.getValueState("state", "ids array<long>, status array<string>, attempts array<int>, claimed array<long>, due array<long>, changes array<int>, timer long")
+
+    def _held(self) -> tuple[dict, int | None]:
+        if not self.state.exists():
+            return {}, None
+        ids, *columns, timer = self.state.get()
+        return dict(zip(ids, map(list, zip(*columns, strict=True)), strict=True)), timer
+
+    def _kept(self, held: dict, changed: list, timer: int | None) -> Iterator[Row]:
+        if not changed:
+            return
+        ends = min((_lease_end(s) for s in held.values() if s[0] == "processing"), default=None)
+        if ends != timer:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            if ends is not None:
+                self.handle.registerTimer(ends)
+        self.state.update(([*held], *map(list, zip(*held.values(), strict=True)), ends))
         when = lambda x: None if x is None else dt.datetime.fromtimestamp(x // 1_000_000, dt.timezone.utc).replace(microsecond=x % 1_000_000)
-        return Row(event_id=key[0], delivery_status=s[0], attempt_count=s[1], claimed_at=when(s[2]), next_retry_at=when(s[3]), changes=s[4])
+        for i in changed:
+            s = held[i]
+            yield Row(event_id=i, delivery_status=s[0], attempt_count=s[1], claimed_at=when(s[2]), next_retry_at=when(s[3]), changes=s[4])
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        messages = sorted((_micros(r.ts), r.kind) for r in rows if r.kind != "tick")
-        old = self.state.get() if self.state.exists() else (None, 0, None, None, 0)
-        s = list(old)
-        for at, kind in messages:
-            s = advanced(s, at, kind)
-        if tuple(s) != tuple(old):
-            s[4] = old[4] + 1
-            yield self._kept(key, old, s)
+        messages = sorted((_micros(r.ts), r.kind, r.event_id) for r in rows if r.kind != "tick")
+        held, timer = self._held()
+        new: dict = {}
+        for at, kind, i in messages:
+            new[i] = advanced(new.get(i) or held.get(i) or [None, 0, None, None, 0], at, kind)
+        changed = [i for i, s in new.items() if s != held.get(i, [None, 0, None, None, 0])]
+        for i in changed:
+            held[i] = [*new[i][:4], new[i][4] + 1]
+        yield from self._kept(held, changed, timer)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        old = self.state.get()
-        s = expired_state(list(old), expiredTimerInfo.getExpiryTimeInMs() * 1000 + 1)
-        if tuple(s) != tuple(old):
-            s[4] += 1
-            yield self._kept(key, (None,), s)
+        held, _ = self._held()
+        now = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs())
+        changed = [i for i, s in held.items() if s[0] == "processing" and _lease_end(s) <= now]
+        for i in changed:
+            s = expired_state(held[i], now * 1000 + 1)
+            held[i] = [*s[:4], s[4] + 1]
+        yield from self._kept(held, changed, None)
 
     def close(self) -> None:
         pass
@@ -127,7 +147,7 @@ def advanced(s: list, at: int, kind: str) -> list:
 def follow(stream: DataFrame, sink: str, checkpoint: str, late: str = "0 seconds", before_write=None, available_now: bool = True) -> StreamingQuery:
     """States of a stream of messages, each change as a row below sink/batch=<id>; a batch that runs again replaces its own folder."""
     spark = stream.sparkSession
-    changes = stream.withWatermark("ts", late).groupBy("event_id").transformWithState(Delivery(), STATE, "Update", "EventTime")
+    changes = stream.withWatermark("ts", late).withColumn("events", F.expr(f"event_id div {GROUP}")).groupBy("events").transformWithState(Delivery(), STATE, "Update", "EventTime")
 
     def write(batch: DataFrame, batch_id: int) -> None:
         if before_write:

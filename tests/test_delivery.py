@@ -60,3 +60,14 @@ def test_stream_stopped_and_started(spark):
         delivery.follow(source(), f"{base}/out", f"{base}/checkpoint", before_write=fails).awaitTermination()
     delivery.follow(source(), f"{base}/out", f"{base}/checkpoint").awaitTermination()
     assert plain(delivery.latest(spark.read.parquet(f"{base}/out"))) == by_loop(rows)
+
+
+def test_one_call_for_many_events(spark):
+    """Neighbouring events share a key: a call for each event would be 600 of them."""
+    rows = [(i, START + dt.timedelta(seconds=i % 50 + 100 * k), kind) for i in range(600) for k, kind in enumerate(("created", "claimed"))] + [(-1, START + dt.timedelta(days=1), "tick")]
+    base = new_folder(spark, "delivery")
+    spark.createDataFrame(rows, delivery.MESSAGE).write.parquet(f"{base}/in")
+    query = delivery.follow(spark.readStream.schema(delivery.MESSAGE).parquet(f"{base}/in"), f"{base}/out", f"{base}/checkpoint")
+    query.awaitTermination()
+    assert plain(delivery.latest(spark.read.parquet(f"{base}/out"))) == by_loop(rows)
+    assert 0 < max(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]) < 60
