@@ -1,13 +1,15 @@
 """Keyword search for a table of queries at once.
 
 Queries are dealt into chunks of bounded size; each chunk meets all contexts in one scan. A task finds the chunk's words in a block of texts,
-sums hits by query, and keeps the k best of each query in a heap of its own, so what leaves it is bounded by chunk and k whatever it
+adds rows of hits by query, and keeps the k best of each query in a heap of its own, so what leaves it is bounded by chunk and k whatever it
 read; there are as many tasks as cores, so heaps grow with the queries alone. Heaps are merged by query. BM25, feedback, access and masks then work on pools of k rows by query.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -19,28 +21,63 @@ from ..sources.shared import new_folder, small_batches, stored
 from . import access
 from .retrieval import OVER_RETRIEVE, searchable
 
-#: Queries that meet the contexts in one scan, about; documents and queries whose hits are summed together; words that are summed densely;
-#: pairs of a query and a text with another word that are summed together, about.
-CHUNK, ROWS, SLAB, COMMON, PAIRS = 20_000, 1024, 2048, 256, 4_000_000
+#: Queries that meet the contexts in one scan, about; texts and queries whose hits are summed together; texts that are read for words together;
+#: words that have a row of hits for all texts of a block; pairs of a query and a text with another word that are summed together, about.
+CHUNK, ROWS, SLAB, TEXTS, COMMON, PAIRS = 80_000, 32_768, 64, 1024, 2048, 1_000_000
+#: Words of so many characters, all among the commonest ones, are found by tables; texts of a block that raise a query's floor first; texts whose
+#: largest sum is looked at before each of them.
+SHORT, LETTERS, FIRST, FOLD, RARE = 3, 128, 1024, 16, 128
 
 
 class Words:
-    """Which of many words a text holds; _ stands for any character."""
+    """Which of many words a text holds; _ stands for any character (H04). Short words, which most texts have many of, are looked up in tables."""
 
     def __init__(self, words: list[str]):
         import ahocorasick
 
-        self.automaton, self.patterns = ahocorasick.Automaton(), []
+        self.n, self.automaton, self.patterns = len(words), ahocorasick.Automaton(), []
+        often = Counter(c for w in words if len(w) <= SHORT and "_" not in w for c in w)
+        letters = {c: i for i, (c, _) in enumerate(often.most_common(LETTERS), 1)}
+        self.letter, self.base = np.zeros(0x110000, np.uint8), len(letters) + 1
+        self.letter[[ord(c) for c in letters]] = list(letters.values())
+        self.tables = [np.full(self.base**size, -1, np.int32) for size in range(1, SHORT + 1)]
+        short = []
         for i, w in enumerate(words):
             if "_" in w:
                 self.patterns.append((i, re.compile(".".join(map(re.escape, w.split("_"))), re.DOTALL)))
+            elif 0 < len(w) <= SHORT and all(c in letters for c in w):
+                self.tables[len(w) - 1][reduce(lambda code, c: code * self.base + letters[c], w, 0)] = len(short)
+                short.append(i)
             else:
                 self.automaton.add_word(w, i)
+        self.short = np.array(short, np.int32)
         self.automaton.make_automaton()
 
     def found(self, body: str) -> list[int]:
-        plain = {i for _, i in self.automaton.iter(body)} if len(self.automaton) else set()
-        return [*plain, *(i for i, p in self.patterns if p.search(body))]
+        return self.found_in([body])[0].tolist()
+
+    def found_in(self, bodies: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(word, place of its text), each pair once."""
+        found, ends = [], [0]
+        for body in bodies:
+            found += {i for _, i in self.automaton.iter(body)} if len(self.automaton) else ()
+            found += [i for i, p in self.patterns if p.search(body)]
+            ends.append(len(found))
+        word, place = self._short(bodies)
+        return np.append(self.short[word], np.array(found, np.int32)), np.append(place, np.repeat(np.arange(len(bodies)), np.diff(ends).astype(int))).astype(np.int32)
+
+    def _short(self, bodies: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        held = np.zeros((len(self.short), len(bodies)), bool)
+        if held.size:
+            place = np.repeat(np.arange(len(bodies)), [len(body) + 1 for body in bodies])
+            letters = self.letter[np.frombuffer("\0".join([*bodies, ""]).encode("utf-32-le"), "<u4")].astype(np.int32)  # no word has the separator
+            code = np.zeros(len(letters), np.int32)
+            for size, table in enumerate(self.tables):
+                code = code[: len(letters) - size] * self.base + letters[size:]
+                word = table[code]
+                at = np.flatnonzero(word >= 0)
+                held[word[at], place[at]] = True
+        return np.nonzero(held)
 
 
 class Heaps:
@@ -50,10 +87,18 @@ class Heaps:
         self.k, self.hits, self.ids = k, np.zeros((n, k), np.int32), np.full((n, k), np.iinfo(np.int64).max)
 
     def add(self, start: int, sums: np.ndarray, ids: np.ndarray) -> None:
-        """sums: hits of queries from start by place; ids ascend. Only what beats a query's last is sorted."""
+        """sums: hits of queries from start by place; ids ascend. A few places first, which raise the floor that all others have to reach."""
+        a, b = 0, FIRST
+        while a < len(ids):
+            self._add(start, sums[:, a:b], ids[a:b])
+            a, b = b, b * 4
+
+    def _add(self, start: int, sums: np.ndarray, ids: np.ndarray) -> None:
+        """Only what beats a query's last is sorted."""
         worst, worst_id = self.hits[start : start + len(sums), -1], self.ids[start : start + len(sums), -1]
-        row, at = np.nonzero(sums >= np.maximum(worst, 1)[:, None])
-        if len(row) > 3 * self.k * len(sums):  # many: the k best of these rows first
+        floor = np.maximum(np.where(worst_id < ids[0], worst + 1, worst), 1)  # with as many hits a larger id is not better
+        row, at = _places(sums, np.minimum(floor, np.iinfo(sums.dtype).max).astype(sums.dtype))
+        if len(row) > 3 * self.k * len(sums) and len(ids) <= FIRST:  # many: the k best of these rows first
             key = sums.astype(np.int32) * len(ids) + np.arange(len(ids) - 1, -1, -1, dtype=np.int32)
             top = np.argpartition(-key, min(self.k, len(ids)) - 1, axis=1)[:, : self.k]
             row, at = np.repeat(np.arange(len(sums)), top.shape[1]), top.ravel()
@@ -72,61 +117,108 @@ class Heaps:
         self.hits[start + mine], self.ids[start + mine] = hits[kept], found[kept]
 
 
+def _places(sums: np.ndarray, floor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, place) of the sums that reach their row's floor, as few do."""
+    n = sums.shape[1] // FOLD
+    folded = sums[:, : n * FOLD].reshape(len(sums), FOLD, n)
+    row, at = np.divmod(np.flatnonzero(folded.max(axis=1) >= floor[:, None]), max(n, 1))
+    which, part = np.nonzero(folded[row, :, at] >= floor[row][:, None])
+    rest_row, rest = np.nonzero(sums[:, n * FOLD :] >= floor[:, None])
+    return np.append(row[which], rest_row), np.append(part * n + at[which], rest + n * FOLD)
+
+
 class Asked:
-    """How often queries have words: a dense matrix for the words of most queries, lists of queries for all others."""
+    """How often queries have words. Neighbouring queries whose first words are the same share their sum."""
 
     def __init__(self, members: list[np.ndarray], n_words: int):
-        self.n = len(members)
+        self.n, self.n_words = len(members), n_words
         query, word = np.repeat(np.arange(self.n), [len(m) for m in members]), np.concatenate(members)
-        pairs, times = np.unique(word * self.n + query, return_counts=True)
-        word, query = pairs // self.n, pairs % self.n
-        number = np.bincount(word, minlength=n_words)
-        common = np.argsort(-number, kind="stable")[:COMMON]
-        self.place = np.full(n_words, -1)
-        self.place[common] = np.arange(len(common))
-        dense = self.place[word] >= 0
-        self.often = np.zeros((self.n, len(common)), np.float32)
-        self.often[query[dense], self.place[word[dense]]] = times[dense]
-        self.query, self.times = query, times.astype(np.float32)
-        self.starts, self.number = np.cumsum(number) - number, number
+        pairs, self.times = np.unique(query * n_words + word, return_counts=True)
+        self.query, self.word = pairs // n_words, pairs % n_words
+        self.most = int(np.bincount(query, minlength=1).max())
 
     def sums(self, word: np.ndarray, at: np.ndarray, hits: np.ndarray, n: int):
-        """(first query, hits of SLAB queries by place) of n texts with so many hits of a word each; whole numbers, which floats hold."""
-        dense = self.place[word] >= 0
-        texts = np.zeros((self.often.shape[1], n), np.float32)
-        texts[self.place[word[dense]], at[dense]] = hits[dense]
-        word, at, hits = word[~dense], at[~dense], hits[~dense]
-        sizes = self.number[word]
-        parts = []
-        for rows in np.split(np.arange(len(word)), np.flatnonzero(np.diff(np.cumsum(sizes) // PAIRS)) + 1):
-            size = sizes[rows]
-            pair = np.repeat(self.starts[word[rows]] - np.cumsum(size) + size, size) + np.arange(size.sum())
-            query = self.query[pair]
-            order = np.argsort(query // SLAB, kind="stable")
-            parts.append((query[order], np.repeat(at[rows], size)[order], (self.times[pair] * np.repeat(hits[rows], size))[order]))
+        """(first query, hits of SLAB queries by place) of n texts with so many hits of a word; the table is used again. A word that many of the
+        texts have is a row of hits, and rows are added; texts of all other words are added one by one."""
+        number = np.bincount(word, minlength=self.n_words)
+        common = np.argsort(-number, kind="stable")[:COMMON]
+        common = common[number[common] > n // RARE]
+        place = np.full(self.n_words, -1)
+        place[common] = np.arange(len(common))
+        kind = np.min_scalar_type(self.most * 2 * int(hits.max(initial=0)) + 1)
+        dense = place[word] >= 0
+        rows = np.zeros((len(common), n), kind)
+        np.add.at(rows.reshape(-1), place[word[dense]] * n + at[dense], hits[dense].astype(kind))
+        rows = [*rows]
+        word, at, hits = word[~dense], at[~dense], hits[~dense].astype(kind)
+        order = np.argsort(word, kind="stable")
+        at, hits, number = at[order], hits[order], np.bincount(word, minlength=self.n_words)
+        starts = np.cumsum(number) - number
+        row, few = place[self.word], np.flatnonzero(number[self.word])
+        table, spare = np.zeros((SLAB, n), kind), np.zeros((self.most, n), kind)
         for start in range(0, self.n, SLAB):
-            out = self.often[start : start + SLAB] @ texts
-            for query, place, value in parts:
-                a, b = np.searchsorted(query // SLAB, [start // SLAB, start // SLAB + 1])
-                np.add.at(out.reshape(-1), (query[a:b] - start) * n + place[a:b], value[a:b])
+            out = table[: self.n - start]
+            a, b = np.searchsorted(self.query, [start, start + SLAB])
+            mine = np.flatnonzero(row[a:b] >= 0) + a
+            steps = np.repeat(row[mine], self.times[mine]).tolist()
+            ends = np.cumsum(np.bincount(self.query[mine] - start, self.times[mine], len(out))).astype(int).tolist()
+            self._added(rows, steps, ends, out, spare)
+            mine = few[slice(*np.searchsorted(few, [a, b]))]
+            sizes = number[self.word[mine]]
+            for part in np.split(np.arange(len(mine)), np.flatnonzero(np.diff(np.cumsum(sizes) // PAIRS)) + 1):
+                asked, size = mine[part], sizes[part]
+                pair = np.repeat(starts[self.word[asked]] - np.cumsum(size) + size, size) + np.arange(size.sum())
+                value = np.repeat(self.times[asked], size).astype(kind) * hits[pair]
+                np.add.at(out.reshape(-1), np.repeat(self.query[asked] - start, size) * n + at[pair], value)
             yield start, out
 
+    @staticmethod
+    def _added(rows: list[np.ndarray], steps: list[int], ends: list[int], out: np.ndarray, spare: np.ndarray) -> None:
+        """Each query's rows (steps, up to its end) added into its row of out; path has the sums of the query before by step."""
+        before, path, start = [], [], 0
+        for mine, end in zip(out, ends, strict=True):
+            asked, same = steps[start:end], 0
+            while same < len(before) and same < len(asked) and before[same] == asked[same]:
+                same += 1
+            del path[same:]
+            for r in asked[same:]:
+                if path:
+                    path.append(np.add(path[-1], rows[r], mine if len(path) == len(asked) - 1 else spare[len(path)]))
+                else:
+                    path.append(rows[r])
+            if not asked:
+                mine.fill(0)
+            elif same == len(asked) or len(asked) == 1:
+                mine[:] = path[-1]
+            before, start = asked, end
+
+
+def _ordered(members: np.ndarray, lengths: np.ndarray, words: list[str]):
+    """(order of queries, their words by number, words): words that many queries have come first, and queries with the same first words are neighbours."""
+    by_number = np.argsort(-np.bincount(members, minlength=len(words)), kind="stable")
+    place = np.empty(len(words), np.int64)
+    place[by_number] = np.arange(len(words))
+    lists = [np.sort(m) for m in np.split(place[members], np.cumsum(lengths)[:-1])]
+    order = sorted(range(len(lists)), key=lambda q: lists[q].tolist())
+    return np.array(order), [lists[q] for q in order], [words[w] for w in by_number]
+
 
 def _heaps(batches, chunk, k: int):
-    queries, members, words = chunk.value
-    finder, best, asked = Words(words), Heaps(len(queries), k), Asked(members, len(words))
+    queries, members, lengths, words = chunk.value
+    order, members, words = _ordered(members, lengths, words)
+    queries, finder, best, asked = queries[order], Words(words), Heaps(len(queries), k), Asked(members, len(words))
 
     def merge(rows: pa.Table) -> None:
         rows = rows.sort_by("id")
-        ids, found, sizes = rows.column("id").to_numpy(), [], []
-        for name in ("f0", "f1"):
-            for body in rows.column(name).to_pylist():
-                here = finder.found(body)
-                found += here
-                sizes.append(len(here))
-        places = np.repeat(np.tile(np.arange(len(ids)), 2), sizes)
-        pairs, hits = np.unique(np.array(found, np.int64) * len(ids) + places, return_counts=True)
-        for start, sums in asked.sums(pairs // len(ids), pairs % len(ids), hits.astype(np.float32), len(ids)):
+        ids, found, places = rows.column("id").to_numpy(), [], []
+        for start in range(0, len(ids), TEXTS):
+            part = rows.slice(start, TEXTS)
+            for name in ("f0", "f1"):
+                word, place = finder.found_in(part.column(name).to_pylist())
+                found.append(word)
+                places.append(place + np.int32(start))
+        word, place = np.concatenate(found), np.concatenate(places)
+        for start, sums in asked.sums(word, place, np.ones(len(word), np.uint8), len(ids)):
             best.add(start, sums, ids)
 
     held, n = [], 0
@@ -155,10 +247,11 @@ def candidates(contexts: DataFrame, queries: DataFrame, k: int, chunk: int = CHU
     path, schema = new_folder(spark, "heaps"), "query_id long, id long, hits int"
     spark.createDataFrame([], schema).write.parquet(path)
     for c in range(chunks):
-        rows = asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(chunks)) == c).collect()
-        if rows:
-            number = {w: i for i, w in enumerate(dict.fromkeys(w for r in rows for w in r.words))}
-            held = spark.sparkContext.broadcast((np.array([r.query_id for r in rows]), [np.array([number[w] for w in r.words]) for r in rows], list(number)))
+        rows = asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(chunks)) == c).toArrow().combine_chunks()
+        if len(rows):
+            words = rows.column("words").combine_chunks()
+            encoded = words.flatten().dictionary_encode()
+            held = spark.sparkContext.broadcast((rows.column("query_id").to_numpy(), encoded.indices.to_numpy().astype(np.int64), words.value_lengths().to_numpy(), encoded.dictionary.to_pylist()))
             fields.coalesce(spark.sparkContext.defaultParallelism).mapInArrow(lambda it, held=held: _heaps(it, held, k), schema).write.mode("append").parquet(path)
     by_query = Window.partitionBy("query_id").orderBy(F.desc("hits"), "id")
     merged = spark.read.schema(schema).parquet(path).withColumn("place", F.row_number().over(by_query)).filter(F.col("place") <= k)

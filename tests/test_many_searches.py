@@ -1,8 +1,11 @@
 """Search for a table of queries against searches one by one."""
 
 import random
+import re
 
 import numpy as np
+import pyarrow as pa
+import pytest
 
 from tessera.functions import text
 from tessera.operators import many_searches, retrieval
@@ -85,3 +88,64 @@ def test_blocks(spark):
 def test_words():
     words = many_searches.Words(["the", "t_e", "he", "_"])
     assert sorted(words.found("the")) == [0, 1, 2, 3] and sorted(words.found("t\ne")) == [1, 3] and words.found("") == []
+
+
+ALPHABET = "abcdeß日本語ñ𝔘_"
+
+
+def test_words_of_a_block(monkeypatch):
+    """Words from tables (short ones of common letters), from the automaton and with wildcards are those of a loop, each once a text."""
+    rng = random.Random(5)
+    monkeypatch.setattr(many_searches, "LETTERS", 6)
+    some = lambda most: "".join(rng.choices(ALPHABET, k=rng.randint(1, most)))
+    words = list(dict.fromkeys(some(6) for _ in range(300)))
+    bodies = ["", "\0", "a\0b", *(" ".join(some(9) for _ in range(rng.randint(0, 8))) for _ in range(100))]
+    word, place = many_searches.Words(words).found_in(bodies)
+    holds = lambda body, w: re.search(".".join(map(re.escape, w.split("_"))), body, re.DOTALL) is not None
+    assert sorted(zip(word.tolist(), place.tolist(), strict=True)) == [(i, j) for i, w in enumerate(words) for j, body in enumerate(bodies) if holds(body, w)]
+    assert many_searches.Words(["_"]).found_in(["", "x"])[1].tolist() == [1] and many_searches.Words(["abc"]).found_in([])[0].tolist() == []
+
+
+@pytest.mark.parametrize("many", [3, 300])
+def test_heaps_of_blocks(monkeypatch, many):
+    """The best of every query over blocks whose ids come in any order, also where hits need more than a byte."""
+    for name, value in {"ROWS": 64, "TEXTS": 16, "SLAB": 4, "FIRST": 8, "FOLD": 4, "RARE": 8, "COMMON": 5}.items():
+        monkeypatch.setattr(many_searches, name, value)
+    rng = random.Random(many)
+    words = ["a", "b", "ab", "abc", "cab", "dd", "e", "zzzz"]
+    texts = [(i, *("".join(rng.choices("abcde ", k=rng.randint(0, 12))) for _ in range(2))) for i in rng.sample(range(10_000), 500)]
+    asked = [rng.choices(words, k=rng.randint(1, 4)) for _ in range(30)] + [["b"] * many]
+    number = np.array([words.index(w) for q in asked for w in q])
+
+    class Chunk:
+        value = (np.arange(100, 131), number, np.array([len(q) for q in asked]), words)
+
+    rows = pa.table(dict(zip(("id", "f0", "f1"), map(list, zip(*texts, strict=True)), strict=True)))
+    got = {}
+    for batch in many_searches._heaps(iter(rows.to_batches(10)), Chunk, 6):
+        for r in batch.to_pylist():
+            got.setdefault(r["query_id"] - 100, set()).add((-r["hits"], r["id"]))
+    for q, asks in enumerate(asked):
+        want = sorted((-sum((w in f0) + (w in f1) for w in asks), i) for i, f0, f1 in texts)
+        assert got.get(q, set()) == {w for w in want[:6] if w[0]}, asks
+
+
+def test_neighbours_share_sums(monkeypatch):
+    """Queries with the same first words add their rows once; before, each query met each word of the block anew."""
+    calls, real = [], np.add
+
+    class Counted:
+        at = real.at
+
+        def __call__(self, *args):
+            calls.append(1)
+            return real(*args)
+
+    members = [np.array([*range(8), 8 + i % 4]) for i in range(64)]
+    order, members, _ = many_searches._ordered(np.concatenate(members), np.full(64, 9), list("abcdefghijkl"))
+    asked = many_searches.Asked(members, 12)
+    word, at = np.nonzero(np.ones((12, 32)))
+    monkeypatch.setattr(np, "add", Counted())
+    sums = np.concatenate([out.copy() for _, out in asked.sums(word, at, np.ones(len(word), np.uint8), 32)])
+    assert (sums == 9).all() and len(calls) <= 7 + 4  # 64 x 8 without sharing
+    assert sorted(order.tolist()) == list(range(64))
