@@ -25,8 +25,8 @@ from .retrieval import OVER_RETRIEVE, searchable
 #: words that have a row of hits for all texts of a block; pairs of a query and a text with another word that are summed together, about.
 CHUNK, ROWS, SLAB, TEXTS, COMMON, PAIRS = 80_000, 32_768, 64, 1024, 2048, 1_000_000
 #: Words of so many characters, all among the commonest ones, are found by tables; texts of a block that raise a query's floor first; texts whose
-#: largest sum is looked at before each of them.
-SHORT, LETTERS, FIRST, FOLD, RARE = 3, 128, 1024, 16, 128
+#: largest sum is looked at before each of them; a word that fewer than one text in so many has gets no row.
+SHORT, LETTERS, FIRST, FOLD, RARE = 3, 128, 1024, 16, 256
 
 
 class Words:
@@ -87,8 +87,8 @@ class Heaps:
         self.k, self.hits, self.ids = k, np.zeros((n, k), np.int32), np.full((n, k), np.iinfo(np.int64).max)
 
     def add(self, start: int, sums: np.ndarray, ids: np.ndarray) -> None:
-        """sums: hits of queries from start by place; ids ascend. A few places first, which raise the floor that all others have to reach."""
-        a, b = 0, FIRST
+        """sums: hits of queries from start by place; ids ascend. Where most have no floor yet, a few places come first and raise it for all others."""
+        a, b = 0, FIRST if np.median(self.hits[start : start + len(sums), -1]) == 0 else len(ids)
         while a < len(ids):
             self._add(start, sums[:, a:b], ids[a:b])
             a, b = b, b * 4
@@ -152,7 +152,7 @@ class Asked:
         rows = [*rows]
         word, at, hits = word[~dense], at[~dense], hits[~dense].astype(kind)
         order = np.argsort(word, kind="stable")
-        at, hits, number = at[order], hits[order], np.bincount(word, minlength=self.n_words)
+        at, hits, number = at[order].astype(np.int64), hits[order], np.bincount(word, minlength=self.n_words)
         starts = np.cumsum(number) - number
         row, few = place[self.word], np.flatnonzero(number[self.word])
         table, spare = np.zeros((SLAB, n), kind), np.zeros((self.most, n), kind)
@@ -168,8 +168,9 @@ class Asked:
             for part in np.split(np.arange(len(mine)), np.flatnonzero(np.diff(np.cumsum(sizes) // PAIRS)) + 1):
                 asked, size = mine[part], sizes[part]
                 pair = np.repeat(starts[self.word[asked]] - np.cumsum(size) + size, size) + np.arange(size.sum())
-                value = np.repeat(self.times[asked], size).astype(kind) * hits[pair]
-                np.add.at(out.reshape(-1), np.repeat(self.query[asked] - start, size) * n + at[pair], value)
+                where = at[pair]
+                where += np.repeat((self.query[asked] - start) * n, size)
+                np.add.at(out.reshape(-1), where, hits[pair] if self.times[asked].max(initial=1) == 1 else hits[pair] * np.repeat(self.times[asked], size).astype(kind))
             yield start, out
 
     @staticmethod

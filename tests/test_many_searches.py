@@ -149,3 +149,18 @@ def test_neighbours_share_sums(monkeypatch):
     sums = np.concatenate([out.copy() for _, out in asked.sums(word, at, np.ones(len(word), np.uint8), 32)])
     assert (sums == 9).all() and len(calls) <= 7 + 4  # 64 x 8 without sharing
     assert sorted(order.tolist()) == list(range(64))
+
+
+def test_floors_spare_passes(monkeypatch):
+    """A block meets heaps without floors in steps, later blocks in one pass, and what does not reach the floor is never sorted."""
+    monkeypatch.setattr(many_searches, "FIRST", 8)
+    best, passes, sorts, real = many_searches.Heaps(3, 2), [], [], many_searches.Heaps._add
+    monkeypatch.setattr(many_searches.Heaps, "_add", lambda self, start, sums, ids: passes.append(len(ids)) or real(self, start, sums, ids))
+    lexsort = np.lexsort
+    monkeypatch.setattr(np, "lexsort", lambda keys: sorts.append(len(keys[0])) or lexsort(keys))
+    sums = np.tile(np.arange(100, dtype=np.uint8) % 10, (3, 1))
+    best.add(0, sums, np.arange(100))
+    assert passes == [8, 24, 68] and best.ids.tolist() == [[9, 19]] * 3 and max(sorts) < 50
+    del passes[:], sorts[:]
+    best.add(0, sums, np.arange(100, 200))
+    assert passes == [100] and not sorts
