@@ -262,7 +262,7 @@ def candidates(contexts: DataFrame, queries: DataFrame, k: int, chunk: int = CHU
 def bm25(pool: DataFrame) -> DataFrame:
     """I04 within each query's pool (query_id, words, place, l0_content, l1_content): rerank_score and new places."""
     body = text.tokens(F.coalesce("l1_content", "l0_content", F.lit("")))
-    rows = pool.withColumns({"__t": body}).withColumns({"__n": F.size("__t"), "__tf": F.transform("words", lambda w: F.size(F.filter("__t", lambda t: t == w)))}).drop("__t")
+    rows = pool.withColumns({"__t": body}).withColumns({"__n": F.size("__t"), "__tf": F.transform("words", lambda w: F.size("__t") - F.size(F.array_remove("__t", w)))}).drop("__t")
     whole = Window.partitionBy("query_id")
     rows = rows.withColumns({"__mean": F.avg("__n").over(whole), "__docs": F.count("*").over(whole), "__all": F.collect_list("__tf").over(whole)})  # k lists
     df = lambda i: F.size(F.filter("__all", lambda tf: F.get(tf, i) > 0))

@@ -164,3 +164,17 @@ def test_floors_spare_passes(monkeypatch):
     del passes[:], sorts[:]
     best.add(0, sums, np.arange(100, 200))
     assert passes == [100] and not sorts
+
+
+def test_bm25_of_pools(spark):
+    """Scores are those of a loop, also of repeated words; no function runs for each pair of a word and a token."""
+    docs = {1: "the lake the data", 2: "lake", 3: "straße x x x lake", 4: ""}
+    pool = spark.createDataFrame([(7, ["lake", "x", "the", "lake"], i, i, None, body) for i, body in docs.items()], "query_id long, words array<string>, id long, place int, l0_content string, l1_content string")
+    out = many_searches.bm25(pool)
+    tf = {i: [body.split().count(w) for w in ("lake", "x", "the", "lake")] for i, body in docs.items()}
+    mean = sum(len(body.split()) for body in docs.values()) / 4
+    df = [sum(t[j] > 0 for t in tf.values()) for j in range(4)]
+    term = lambda t, n, d: np.log((4 - d + 0.5) / (d + 0.5) + 1) * t * 2.5 / (t + 1.5 * (0.25 + 0.75 * n / mean))
+    want = {i: round(sum(term(t, len(docs[i].split()), d) for t, d in zip(tf[i], df, strict=True) if t), 6) for i in docs}
+    assert {r.id: r.rerank_score for r in out.collect()} == want
+    assert "array_remove" in out._jdf.queryExecution().optimizedPlan().toString()
