@@ -27,6 +27,8 @@ SAMPLE, TRIALS, TARGET, TRIAL_K = 50_000, 100, 0.97, 60
 BLOCK, GROUPS = 4096, 16
 #: Scores are rounded to six places, so bounds leave room for ties.
 SLACK = 3e-6
+#: Tables of an index with a folder for each cell.
+TABLES = {"blocks": "ids array<long>, codes binary, scales binary, missed binary, cell int", "vectors": "vec_id long, embedding array<double>, cell int"}
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -142,7 +144,7 @@ class VectorIndex:
     """An index that was built under path. centers are read from there unless they are given."""
 
     def __init__(self, spark: SparkSession, path: str, centers: np.ndarray | None = None):
-        self.spark, self.path = spark, path
+        self.spark, self.path, self.tables = spark, path, {}
         if centers is None:
             rows = spark.read.parquet(f"{path}/centers").orderBy("cell").collect()  # MAX_CELLS at most
             centers = np.array([r.center for r in rows])
@@ -151,6 +153,12 @@ class VectorIndex:
             self.probes = len(centers)
         self.cells, self.centers = len(centers), spark.sparkContext.broadcast(centers)
 
+    def table(self, name: str) -> DataFrame:
+        """One of TABLES; its folders are listed once, not for each search: a listing is a job with a task for each cell, and the driver holds its files."""
+        if name not in self.tables:
+            self.tables[name] = self.spark.read.schema(TABLES[name]).parquet(f"{self.path}/{name}")
+        return self.tables[name]
+
     def probed(self, queries: DataFrame, probes: int | None = None) -> DataFrame:
         """(cell, probe, query_id, vector): queries (query_id long, vector) with their nearest cells, probe 0 being the nearest."""
         n, centers = min(probes or self.probes, self.cells), self.centers
@@ -169,15 +177,15 @@ class VectorIndex:
         asked = stored(asked, "asked")
         here = F.lit(True)  # prunes both scans
         if n < self.cells:
-            here = F.col("cell").isin([r.cell for r in self.probed(asked, n).select("cell").distinct().collect()])  # MAX_CELLS at most
+            cells = [r.cell for r in self.probed(asked, n).select("cell").distinct().collect()]  # MAX_CELLS at most
+            here = F.col("cell").isin(cells) if len(cells) < self.cells else here
         first = math.ceil(math.sqrt(n))
         found = stored(self._met(asked.withColumn("floor", F.lit(-2.0)), here, 0, first, keep, allowed), "bounds")
         if first < n:
             floors = asked.join(_least(found, k).withColumnRenamed("least", "floor"), "query_id", "left").withColumn("floor", F.coalesce("floor", F.lit(-2.0)))
             found = found.unionByName(stored(self._met(floors, here, first, n, keep, allowed), "bounds"))
         close = found.join(_least(found, k), "query_id").filter("high >= least").select("query_id", "vec_id", "cell")
-        vectors = self.spark.read.parquet(f"{self.path}/vectors").filter(here)
-        compared = close.join(vectors, ["cell", "vec_id"]).join(asked, "query_id")
+        compared = close.join(self.table("vectors").filter(here), ["cell", "vec_id"]).join(asked, "query_id")
         scored = compared.select("query_id", "vec_id", F.round(scores.cosine(F.col("embedding"), F.col("vector")), 6).alias("score"))
         by_score = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
         return scored.withColumn("place", F.row_number().over(by_score)).filter(F.col("place") <= k).select("query_id", "place", "vec_id", "score")
@@ -186,7 +194,7 @@ class VectorIndex:
         """Bounds of queries (query_id, vector, floor) in their cells from the start-th to the stop-th nearest."""
         centers = self.centers
         grouped = asked.select("query_id", "vector", "floor").mapInArrow(lambda it: _grouped(it, centers, start, stop), "cell int, query_ids array<long>, vectors array<double>, floors array<double>")
-        found = self.spark.read.parquet(f"{self.path}/blocks").filter(here).join(grouped, "cell").mapInArrow(lambda it: _bounds(it, centers, keep), "query_id long, vec_id long, cell int, low double, high double")
+        found = self.table("blocks").filter(here).join(grouped, "cell").mapInArrow(lambda it: _bounds(it, centers, keep), "query_id long, vec_id long, cell int, low double, high double")
         return found if allowed is None else found.join(allowed.select("vec_id"), "vec_id", "left_semi")
 
 
@@ -207,6 +215,16 @@ def _normed(batches):
         yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(x.ravel()))], names=["unit"])
 
 
+def _fitted(units: DataFrame, cells: int) -> list[list[float]]:
+    """Centres by k-means. Blocks of rows meet all centres at once: the solver by rows runs a job with a task for each centre in every round
+    and keeps distances of all pairs of centres, all through the driver."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+
+    model = KMeans(k=cells, seed=7, maxIter=10, solver="block").fit(units.select(array_to_vector("unit").alias("features")))
+    return [c.tolist() for c in model.clusterCenters()]
+
+
 def build(vectors: DataFrame, path: str, cells: int | None = None, target: float | None = TARGET, id_col: str = "vec_id", vector_col: str = "embedding", block: int = BLOCK) -> VectorIndex:
     """Index every vector that has a direction (not null or zero, all components finite) under path.
 
@@ -214,9 +232,6 @@ def build(vectors: DataFrame, path: str, cells: int | None = None, target: float
     vectors; without a target all cells are probed. Cells of any size are written as several files. An empty table gives an index that finds nothing. Ids are unique;
     all vectors have one length.
     """
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
     spark = vectors.sparkSession
     small_batches(spark)
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("embedding")).filter(usable(F.col("embedding")))
@@ -225,25 +240,25 @@ def build(vectors: DataFrame, path: str, cells: int | None = None, target: float
         spark.createDataFrame([], "cell int, center array<double>, probes int").write.parquet(f"{path}/centers")
         return VectorIndex(spark, path)
     cells = max(1, min(cells or math.ceil(math.sqrt(n)), MAX_CELLS, n))
-    sample = stored(_sampled(rows, SAMPLE, n).select("embedding").mapInArrow(_normed, "unit array<double>"), "sample").select(array_to_vector("unit").alias("features"))
-    centers = [c.tolist() for c in KMeans(k=cells, seed=7, maxIter=10).fit(sample).clusterCenters()]
+    sample = stored(_sampled(rows, SAMPLE, n).select("embedding").mapInArrow(_normed, "unit array<double>"), "sample")
+    centers = _fitted(sample, cells)
     held = spark.sparkContext.broadcast(np.array(centers))
     dealt = rows.mapInArrow(lambda it: _dealt(it, held), "vec_id long, embedding array<double>, cell int").hint("rebalance", "cell").sortWithinPartitions("cell", "vec_id")
     dealt.write.partitionBy("cell").parquet(f"{path}/vectors")
     dealt = spark.read.parquet(f"{path}/vectors").select("cell", "vec_id", "embedding").hint("rebalance", "cell").sortWithinPartitions("cell", "vec_id")
     dealt.mapInArrow(lambda it: _blocks(it, held, block), "cell int, ids array<long>, codes binary, scales binary, missed binary").write.partitionBy("cell").parquet(f"{path}/blocks")
     index = VectorIndex(spark, path, held.value)
-    trials = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(TRIALS).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
     if target:
-        index.probes = _calibrated(index, trials, target)
+        trials = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(TRIALS).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+        index.probes = _calibrated(index, stored(trials, "trials"), target)
     spark.createDataFrame([(i, c, index.probes) for i, c in enumerate(centers)], "cell int, center array<double>, probes int").write.parquet(f"{path}/centers")
     return index
 
 
 def _calibrated(index: VectorIndex, queries: DataFrame, target: float) -> int:
     """The least number of probes that finds that share of the queries' neighbours."""
-    true = index.search(queries, TRIAL_K)
-    where = true.join(index.spark.read.parquet(f"{index.path}/vectors").select("vec_id", "cell"), "vec_id")
+    true = stored(index.search(queries, TRIAL_K), "true")
+    where = true.join(index.table("vectors").select("vec_id", "cell"), "vec_id")
     by_probe = where.join(index.probed(queries).select("query_id", "cell", "probe"), ["query_id", "cell"]).groupBy("probe").agg(F.count("*").alias("n"))
     counts = {r.probe: r.n for r in few(by_probe, MAX_CELLS)}
     total, so_far = sum(counts.values()), 0
@@ -252,3 +267,12 @@ def _calibrated(index: VectorIndex, queries: DataFrame, target: float) -> int:
         if so_far >= target * total:
             return probe + 1
     return 1
+
+
+def recall(true: DataFrame, found: DataFrame) -> DataFrame:
+    """(query_id, recall): the share of each query's true rows that were found. Both are written first, so no plan holds two searches, and
+    rows meet in a group instead of a join, so neither side is ever taken to the driver."""
+    true, found = (stored(df.select("query_id", "vec_id"), label) for df, label in ((true, "true"), (found, "found")))
+    both = true.withColumns({"wanted": F.lit(1), "hit": F.lit(0)}).unionByName(found.withColumns({"wanted": F.lit(0), "hit": F.lit(1)}))
+    rows = both.groupBy("query_id", "vec_id").agg(F.max("wanted").alias("wanted"), F.max("hit").alias("hit")).filter("wanted = 1")
+    return rows.groupBy("query_id").agg(F.avg("hit").alias("recall"))

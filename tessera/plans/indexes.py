@@ -37,8 +37,7 @@ def all_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 def recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether the measured number of probes gives 0.9 of the true neighbours of all queries."""
     index, asked = vectors_by_cells(spark, sf_dir, vector_index.TARGET), _asked(spark, sf_dir)
-    true, found = index.search(asked, NEAREST, index.cells), index.search(asked, NEAREST).select("query_id", "vec_id", F.lit(1).alias("hit"))
-    by_query = true.join(found, ["query_id", "vec_id"], "left").groupBy("query_id").agg(F.avg(F.coalesce("hit", F.lit(0))).alias("recall"))
+    by_query = vector_index.recall(index.search(asked, NEAREST, index.cells), index.search(asked, NEAREST))
     return by_query.agg(F.count("*").alias("queries"), (F.avg("recall") >= 0.9).alias("reached"))
 
 

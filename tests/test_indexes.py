@@ -99,6 +99,41 @@ def test_sample_is_bounded(spark):
     assert "TakeOrdered" not in plan and "Exchange" not in plan
 
 
+def test_folders_are_listed_once(spark, index, monkeypatch):
+    """Searches share the listing of an index's folders, and a search whose queries probe every cell has no list of cells in its plan."""
+    x, rows, ix = index
+    ix, read, reader = vector_index.VectorIndex(spark, ix.path), [], type(spark.read)
+    real = reader.parquet
+    monkeypatch.setattr(reader, "parquet", lambda self, *paths, **options: read.append(paths[0]) or real(self, *paths, **options))
+    for probes in (ix.cells, ix.cells - 1, 2):
+        ix.search(asked(rows), 5, probes).count()
+    assert sorted(p for p in read if p.startswith(ix.path)) == [f"{ix.path}/blocks", f"{ix.path}/vectors"]
+    every = rows.filter("vec_id < 400").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    assert " IN (" not in ix.search(every, 5, ix.cells - 1)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_recall_without_a_join(spark):
+    pairs = lambda rows: spark.createDataFrame(rows, "query_id long, vec_id long")
+    out = vector_index.recall(pairs([(1, 1), (1, 2), (1, 3), (1, 4), (2, 1), (3, 9)]), pairs([(1, 2), (1, 4), (1, 7), (2, 1), (4, 1)]))
+    assert {r.query_id: r.recall for r in out.collect()} == {1: 0.5, 2: 1.0, 3: 0.0}
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_tasks_of_cells(spark):
+    """Cells are fitted without a task for each of them, whose results all end in the driver."""
+    units = np.random.default_rng(3).standard_normal((400, 64))
+    rows = spark.createDataFrame([(u.tolist(),) for u in units / np.linalg.norm(units, axis=1, keepdims=True)], "unit array<double>").repartition(3)
+    context = spark.sparkContext
+    context.setJobGroup("cells", "cells")
+    try:
+        centers = vector_index._fitted(rows, 130)
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    tracker = context.statusTracker()
+    stages = [tracker.getStageInfo(s) for j in tracker.getJobIdsForGroup("cells") for s in tracker.getJobInfo(j).stageIds]
+    assert len(centers) == 130 and len(stages) > 10 and max(s.numTasks for s in stages if s) < 20
+
+
 WORDS = "the schule straße École naïve data base lake a_b tee toe 日本語 x".split()
 
 
